@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, sharding, toxicity
+from . import bpe, decontaminate, knn, langid, lm, ngram_join, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,30 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str, ranks_path: str | None = None
     return bpe.digest(bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold 0.8 or more of a benchmark item's distinct five-word shingles, with the items."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 0.8)
+
+
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of four-word shingles have a Jaccard similarity of 0.85 or more."""
+    return ngram_join.similar(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
+def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten vectors with the highest integer inner product for each vector whose id is divisible by 100."""
+    vectors = knn.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return knn.top_k(vectors, vectors.where(F.col("id") % 100 == 0), 10)
+
+
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probabilities of every whole text by context mixing (score) and by word counts (base_score)."""
+    docs = table(spark, sf_dir, "documents")
+    out = langid.held_out(F.col("doc_id"), 10, 0)
+    scored = lm.score(docs, docs.where(~out))
+    return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard and slot after the two-pass shuffle; digests are taken from the moved texts."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -50,5 +74,35 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= F.lit(0.7)).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op7_sharding, op8_language_id, op10_toxicity)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_byte_bpe, op2_decontamination, op3_ngram_join, op5_topk_search, op6_lm_scoring, op7_sharding, op8_language_id, op10_toxicity)
+}
+
+#: A text's words: A-Z lower-cased, cut at ASCII white space.
+_WORDS = r"list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+#: A text's words: lower-cased runs of letters and digits.
+_RUNS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
+
+
+def _shingled(words: str, table: str, key: str, n: int) -> str:
+    """SELECT of (key, s): distinct n-word shingles; the whole sequence if there are fewer words."""
+    return f"""SELECT DISTINCT {key}, unnest(list_transform(range(1, greatest(len(w) - {n - 1}, 1) + 1), lambda i: array_to_string(w[i:i + {n - 1}], ' '))) AS s
+        FROM (SELECT {key}, {words} AS w FROM {table} WHERE text IS NOT NULL) WHERE len(w) > 0"""
+
+
+ORACLE_SQL = {
+    "op2_decontamination": f"""WITH d AS ({_shingled(_RUNS, "documents", "doc_id", 5)}), b AS ({_shingled(_RUNS, "benchmark", "item_id", 5)}),
+        n AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY item_id)
+        SELECT doc_id, item_id, n_item, count(*) AS n_shared FROM b JOIN d USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_item HAVING count(*) >= 0.8 * n_item""",
+    "op3_ngram_join": f"""WITH RECURSIVE sh AS ({_shingled(_WORDS, "documents", "doc_id", 4)}),
+        n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+        pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS (SELECT x, y FROM pairs JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 85 * (p.n + q.n - k)),
+        reach(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.y, r.c FROM reach r JOIN links l ON l.x = r.doc_id)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.c) AS component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN reach r USING (doc_id) GROUP BY d.doc_id, n.n""",
+    "op5_topk_search": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS q FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
+        SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s) WHERE rank <= 10""",
+}
