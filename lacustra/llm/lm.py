@@ -38,7 +38,7 @@ SLOTS = 1 << SLOT_BITS
 FREQUENT = 100_000
 #: Tokens of a part of the token table on which counts and weights are gathered by one task.
 PART_TOKENS = 1_500_000
-PRIOR, CLIP, RATE, BUCKETS = 0.35, 8.0, 0.08, 33
+PRIOR, CLIP, RATE, BUCKETS = 0.35, 8.0, 0.02, 33
 #: Levels of confidence: how long a context was seen if the whole beginning wasn't, else how often that was.
 LEVELS = 8
 GATES = LEVELS * 8 * 2
@@ -105,7 +105,7 @@ class Mixer:
 
     @staticmethod
     def fresh(zeros: np.ndarray, ones: np.ndarray) -> Mixer:
-        start = np.tile(np.array([0.0, 0.1, 0.2, 0.3, 0.5], np.float32), (GATES, 1))
+        start = np.tile(np.array([0.0, 0.0, 0.05, 0.15, 0.8], np.float32), (GATES, 1))
         return Mixer(zeros, ones, start, identity())
 
     def guesses(self, b: Bits, without: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -251,7 +251,7 @@ def train(tokens: DataFrame, n_tokens: int) -> Mixer:
         for tokens, n in batches_of(batches):
             for at in range(0, len(tokens), 512):
                 b = bits_of(tokens[at : at + 512])
-                w = np.minimum(n[at : at + 512], 16)[b.token].astype(np.float64)
+                w = np.minimum(n[at : at + 512], 1000)[b.token].astype(np.float64)
                 guess, gate = model.guesses(b, without=True)
                 x = np.clip(sum(weights[gate, i] * guess[i] for i in range(PREDICTORS)), -CLIP, CLIP)
                 off = (b.ones - 1 / (1 + np.exp(-x))) * w

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, knn, langid, lm, ngram_join, sharding, toxicity
+from . import bpe, decontaminate, knn, langid, lm, ngram_join, sharding, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every whole text without 100-byte strings that start earlier as well."""
+    left = suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every whole text, learned from labelled rows that aren't held out."""
     docs = table(spark, sf_dir, "documents")
@@ -76,7 +82,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_byte_bpe, op2_decontamination, op3_ngram_join, op5_topk_search, op6_lm_scoring, op7_sharding, op8_language_id, op10_toxicity)
+    for f in (op1_byte_bpe, op2_decontamination, op3_ngram_join, op5_topk_search, op6_lm_scoring, op7_sharding, op8_language_id, op9_suffix_dedup, op10_toxicity)
 }
 
 #: A text's words: A-Z lower-cased, cut at ASCII white space.
