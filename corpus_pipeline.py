@@ -1,13 +1,75 @@
-"""The corpus pipeline: stages over documents, each an operator of lacustra.llm."""
+"""The corpus pipeline: five stages over documents, each an operator of lacustra.llm.
+
+Each stage works on all that the one before kept, and is written as Parquet and read again in between. All but
+the last return the columns of `documents`.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lacustra.llm import bpe, decontaminate, line_dedup, ngram_join, toxicity
+from lacustra.llm.common import staged
+
+#: Documents of this score or more are rejected.
+TOXIC = 0.7
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that a weighted lexicon, learned from all labelled rows, finds toxic."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.rejected(docs, toxicity.train(docs, labels), TOXIC)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without lines that an earlier line matches; n_chars follows; documents of which no word is left go."""
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    done = line_dedup.deduplicated(docs, percent=80, carry=others)
+    left = done.where((F.col("n_removed") == 0) | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
+    values = {c: F.col(f"rest.`{c}`") for c in others} | {"doc_id": F.col("doc_id"), "text": F.col("kept")}
+    if "n_chars" in others:
+        values["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(values["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return left.select(*[values[c].alias(c) for c in docs.columns])
+
+
+def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group that links of five-word shingles at 0.8 connect.
+
+    Documents with a null id link with nothing and stay; of rows that repeat an id one stays.
+    """
+    groups = ngram_join.similar(docs, n=5, percent=80)
+    first = groups.where("doc_id = component_id").select("doc_id").distinct()
+    return docs.where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that hold 0.8 or more of the five-word shingles of a benchmark item."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 0.8)
+
+
+def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, and the text decoded from them."""
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    done = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").cast("string").alias("text"))
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("ngram_join", keep_one_of_similar),
+    ("decontamination", drop_contaminated),
+    ("byte_bpe", encode_bytes),
+]
+#: The lexicon is learned from a hashed sample by a greedy search, which SQL can't express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

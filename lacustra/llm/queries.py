@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, knn, langid, lm, ngram_join, sharding, suffix_dedup, toxicity
+from . import bpe, decontaminate, knn, langid, line_dedup, lm, ngram_join, sharding, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,12 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its lines that an earlier line matches with a Jaccard similarity of 0.8 or more."""
+    left = line_dedup.deduplicated(table(spark, sf_dir, "documents"), percent=80)
+    return left.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), F.sha2(F.coalesce(F.col("kept"), F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten vectors with the highest integer inner product for each vector whose id is divisible by 100."""
     vectors = knn.integer_vectors(table(spark, sf_dir, "embeddings"))
@@ -82,7 +88,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_byte_bpe, op2_decontamination, op3_ngram_join, op5_topk_search, op6_lm_scoring, op7_sharding, op8_language_id, op9_suffix_dedup, op10_toxicity)
+    for f in (op1_byte_bpe, op2_decontamination, op3_ngram_join, op4_line_dedup, op5_topk_search, op6_lm_scoring, op7_sharding, op8_language_id, op9_suffix_dedup, op10_toxicity)
 }
 
 #: A text's words: A-Z lower-cased, cut at ASCII white space.
@@ -107,6 +113,17 @@ ORACLE_SQL = {
         links AS (SELECT x, y FROM pairs JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 85 * (p.n + q.n - k)),
         reach(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.y, r.c FROM reach r JOIN links l ON l.x = r.doc_id)
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.c) AS component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN reach r USING (doc_id) GROUP BY d.doc_id, n.n""",
+    "op4_line_dedup": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents WHERE text <> ''),
+        w AS (SELECT doc_id, k, list_distinct(list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS ws
+            FROM l WHERE regexp_matches(line, '[\p{L}\p{N}]')),
+        df AS (SELECT x, count(*) AS n FROM (SELECT unnest(ws) AS x FROM w) GROUP BY x),
+        t AS (SELECT doc_id, k, len(ws) AS n, x, row_number() OVER (PARTITION BY doc_id, k ORDER BY df.n, x) AS pos FROM (SELECT doc_id, k, ws, unnest(ws) AS x FROM w) JOIN df USING (x)),
+        p AS (SELECT doc_id, k, n, x FROM t WHERE pos <= n - ceil(0.8 * n) + 1),
+        c AS (SELECT DISTINCT a.doc_id AS i, a.k AS ik, b.doc_id AS j, b.k AS jk FROM p a JOIN p b USING (x) WHERE (a.doc_id, a.k) < (b.doc_id, b.k) AND a.n >= 0.8 * b.n AND b.n >= 0.8 * a.n),
+        r AS (SELECT DISTINCT j AS doc_id, jk AS k FROM c JOIN w a ON a.doc_id = i AND a.k = ik JOIN w b ON b.doc_id = j AND b.k = jk
+            WHERE 100 * len(list_intersect(a.ws, b.ws)) >= 80 * (len(a.ws) + len(b.ws) - len(list_intersect(a.ws, b.ws)))),
+        s AS (SELECT l.doc_id, count(*) AS n_lines, count(r.k) AS n_removed, coalesce(string_agg(l.line, chr(10) ORDER BY l.k) FILTER (WHERE r.k IS NULL), '') AS kept FROM l LEFT JOIN r USING (doc_id, k) GROUP BY l.doc_id)
+        SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN s USING (doc_id)""",
     "op5_topk_search": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS q FROM embeddings
             WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
         s AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
