@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_bounds, bucketwise, components, estimated_bytes, exchanged, mixed, partitions, rows_of, staged, texts_of
+from .common import bucket_bounds, bucketwise, components, exchanged, mixed, partitions, rows_of, staged, texts_of
 
 #: Shingles that are broadcast with the id of their group; 16 bytes each.
 HOT = 200_000
@@ -314,7 +314,6 @@ def roots(link: np.ndarray) -> np.ndarray:
         label = least
 
 
-_MEMBERS = "group long, block long, id long, s binary"
 
 
 def _joined(members: DataFrame, percent: int, parts: int) -> DataFrame:
@@ -366,13 +365,14 @@ def _crossed(members: DataFrame, percent: int, parts: int) -> DataFrame:
     return members.repartition(parts, "group", "x", "y").sortWithinPartitions("group", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def join_groups(members: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Links that connect all linked sets of each group; members: staged (group, id, s)."""
-    sizes = members.groupBy("group").agg(F.count("*").alias("m"))
-    large = staged(sizes.where(F.col("m") > GROUP))
-    n_large = large.count()
-    if not n_large:
+def join_groups(members: DataFrame, large: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Links that connect all linked sets of each group.
+
+    members: (group, id, s); large: staged (group, m) with the number of members of groups of more than GROUP.
+    """
+    if large.isEmpty():
         return staged(_joined(members.withColumn("block", F.lit(0).cast("long")).select("group", "block", "id", "s"), percent, parts))
+    members = staged(members)
     blocked = members.join(large, "group", "left").withColumn("block", F.when(F.col("m").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("id", "s"), F.ceil(F.col("m") / F.lit(GROUP // 2)))).cast("long"))
     links = staged(_joined(blocked.select("group", "block", "id", "s"), percent, parts))
     while True:
@@ -418,8 +418,9 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_i
     asked = F.greatest(F.lit(1), F.floor(F.ceil(size * F.lit(percent) / F.lit(100)) / F.lit(20)))
     enough = found.groupBy("id", "n").agg(F.sum("hits").alias("hits")).where(F.col("hits") >= asked).select("id").distinct()
     kept = staged(found.select("group", "id").distinct().join(enough, "id").join(classes.select(F.col("rep").alias("id")).distinct(), "id"))
-    several = kept.groupBy("group").agg(F.count("*").alias("m")).where("m > 1").select("group")
-    wanted = kept.join(several, "group").groupBy("id").agg(F.collect_set("group").alias("groups"))  # at most a prefix of one document
+    sizes = kept.groupBy("group").agg(F.count("*").alias("m")).where("m > 1")
+    large = staged(sizes.where(F.col("m") > GROUP))
+    wanted = kept.join(sizes, "group").groupBy("id").agg(F.collect_set("group").alias("groups"))  # at most a prefix of one document
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -429,9 +430,8 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_i
                 g, k, s = zip(*out[at : at + 256], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(k, pa.int64()), pa.array(s, pa.binary())], ["group", "id", "s"])
 
-    parts = partitions(docs, 1.0)
-    members = staged(rows.join(wanted, "id").select("id", "t", "groups").mapInArrow(sets, "group long, id long, s binary"))
-    links = join_groups(members, percent, max(parts, int(estimated_bytes(members) // (8 << 20))))
+    members = rows.join(wanted.hint("shuffle_hash"), "id").select("id", "t", "groups").mapInArrow(sets, "group long, id long, s binary")
+    links = join_groups(members, large, percent, partitions(docs, 2.0))
     twice = base.where("digest IS NOT NULL AND id IS NOT NULL").join(classes, "digest").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     # Copies of a class hang on its first; only firsts (and repeated ids) take part in the search for components.
     root = components(links.select("a", "b").union(twice.join(links.select(F.col("a").alias("x")).union(links.select(F.col("b").alias("x"))).distinct(), twice["a"] == F.col("x"), "left_semi")))
