@@ -2,48 +2,22 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lacustra.operators.graph import components  # noqa: F401  for the operators
+from lacustra.storage import staged  # noqa: F401  for the operators
+
 #: Bytes of text that one Python step holds at a time.
 CHUNK_BYTES = 4 << 20
 #: Multipliers of a 64-bit finalizer (public: splitmix64).
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where the session names none, a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lacustra-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session has ended; the folder's owner clears it
-        pass
-
-
-def staged(df: DataFrame) -> DataFrame:
-    """df written to the shared folder as Parquet and read again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of df's size (for files: their size); costs no job."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -121,33 +95,3 @@ def bucketwise(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[tu
 def exchanged(packed: DataFrame, buckets: int) -> DataFrame:
     """Rows (bucket, ...) with each bucket whole in one partition and the buckets of a partition one after the other."""
     return packed.repartition(min(max(1, buckets // 4), 1 << 20), "bucket").sortWithinPartitions("bucket")
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for the nodes of edges (a long, b long): root is the smallest node reachable.
-
-    Alternates the large-star and small-star steps until nothing changes. Each step is two shuffles over the
-    edges, staged in the shared folder; minima are combined before the shuffle, so hubs don't gather anywhere.
-    Nodes without an edge don't come out.
-    """
-    now = staged(edges.where("a <> b AND a IS NOT NULL AND b IS NOT NULL").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    mark = _mark(now)
-    while mark[0]:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        now, before = staged(small), mark
-        mark = _mark(now)
-        if mark == before:
-            break
-    roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-
-
-def _mark(edges: DataFrame) -> tuple:
-    """Count and checksum of a set of edges."""
-    r = edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit((1 << 40) - 87)))).first()
-    return tuple(r)
