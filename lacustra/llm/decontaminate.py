@@ -24,10 +24,17 @@ def words(text: Column) -> Column:
 
 
 def shingles(w: Column, n: int = WORDS) -> Column:
-    """Distinct n-word shingles of an array of words; the whole sequence if it is shorter; empty without words."""
-    return F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - F.lit(n - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " ")))
-    )
+    """Distinct n-word shingles of an array of words; the whole sequence if it is shorter; empty without words.
+
+    w is bound as a lambda's variable: as a plain expression it would be evaluated anew for every shingle.
+    """
+
+    def of(w: Column) -> Column:
+        return F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(
+            F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - F.lit(n - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " ")))
+        )
+
+    return F.transform(F.array(w), of)[0]
 
 
 def _hash(h: Column, i: Column, n: int) -> Column:
@@ -37,10 +44,11 @@ def _hash(h: Column, i: Column, n: int) -> Column:
 
 def _hashed(rows: DataFrame, *keep: str) -> DataFrame:
     """(keep..., n, k): one row for each shingle position of column w."""
-    h = rows.select(*keep, F.transform("w", lambda x: F.xxhash64(x)).alias("h")).where(F.size("h") > 0)
-    return h.select(*keep, "h", F.explode(F.sequence(F.lit(0), F.greatest(F.size("h") - F.lit(WORDS), F.lit(0)))).alias("i")).select(
-        *keep, F.greatest(F.size("h") - F.lit(WORDS - 1), F.lit(1)).alias("most"), _hash(F.col("h"), F.col("i"), WORDS).alias("key")
-    )
+    # explode_outer: for explode, the optimizer would infer a filter that splits every text once more.
+    h = rows.select(*keep, F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    places = F.when(F.size("h") > 0, F.sequence(F.lit(0), F.greatest(F.size("h") - F.lit(WORDS), F.lit(0))))
+    each = h.select(*keep, "h", F.explode_outer(places).alias("i")).where("i IS NOT NULL")
+    return each.select(*keep, F.greatest(F.size("h") - F.lit(WORDS - 1), F.lit(1)).alias("most"), _hash(F.col("h"), F.col("i"), WORDS).alias("key"))
 
 
 def sketches(items: DataFrame, threshold: float) -> DataFrame:
