@@ -44,7 +44,7 @@ LEVELS = 8
 GATES = LEVELS * 8 * 2
 END = b"\xff"
 TOKEN = re.compile(rb"[^\xff\x09-\x0d ]*[\xff\x09-\x0d ]")
-CACHED_TOKENS = 250_000
+CACHED_TOKENS = 450_000
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -131,18 +131,44 @@ class Mixer:
 
     def refine(self, x: np.ndarray) -> np.ndarray:
         """Probabilities of a one: the mixture and the table's value there, half and half."""
-        p = 1 / (1 + np.exp(-x))
-        bucket = bucket_of(x)
-        return 0.5 * p + 0.5 * self.refined[np.arange(8)[:, None], bucket]
+        half = x.dtype.type(0.5)
+        p = half / (1 + np.exp(-x))
+        return p + half * self.refined.astype(x.dtype)[np.arange(8)[:, None], bucket_of(x)]
+
+    def known(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """For each predictor the stretched guess and the level of confidence of every slot; worked out once in a process."""
+        if not hasattr(self, "_known"):
+            guess = [np.clip(np.log((o + PRIOR) / (z + PRIOR)), -CLIP, CLIP).astype(np.float32) for z, o in zip(self.zeros, self.ones, strict=True)]
+            level = []
+            for i in range(PREDICTORS):
+                n, x = self.zeros[i] + self.ones[i], np.zeros(SLOTS, np.uint8)
+                if 0 < i < PREDICTORS - 1:
+                    x[n > 0] = i - 1
+                elif i:
+                    for k, least in enumerate((1, 2, 4, 16, 256), 3):
+                        x[n >= least] = k
+                level.append(x)
+            self._known = guess, level
+        return self._known
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_known"}
 
     def costs(self, tokens: list[bytes]) -> np.ndarray:
         """log10 of the probability of each token."""
         if not tokens:
             return np.zeros(0)
         b = bits_of(tokens)
-        guess, gate = self.guesses(b)
-        x = np.clip(sum(self.weights[gate, i] * guess[i] for i in range(PREDICTORS)), -CLIP, CLIP)
-        p = self.refine(x)
+        guess, level = self.known()
+        most = level[2][b.slots[2]]
+        for i in range(3, PREDICTORS):  # the others' level is 0
+            np.maximum(most, level[i][b.slots[i]], out=most)
+        gate = (most.astype(np.int32) * 8 + np.arange(8, dtype=np.int32)[:, None]) * 2 + b.later
+        weights = np.ascontiguousarray(self.weights.T)
+        x = weights[0][gate] * guess[0][b.slots[0]]
+        for i in range(1, PREDICTORS):
+            x += weights[i][gate] * guess[i][b.slots[i]]
+        p = self.refine(np.clip(x, -CLIP, CLIP))
         bit = np.log10(np.where(b.ones, p, 1 - p)).sum(0)
         return np.bincount(b.token, bit, len(tokens))
 
@@ -152,7 +178,7 @@ def identity() -> np.ndarray:
 
 
 def bucket_of(x: np.ndarray) -> np.ndarray:
-    return np.rint((x + CLIP) * ((BUCKETS - 1) / (2 * CLIP))).astype(np.int64)
+    return np.rint((x + CLIP) * ((BUCKETS - 1) / (2 * CLIP))).astype(np.int32)
 
 
 def _packed(a: np.ndarray) -> bytes:
@@ -289,6 +315,60 @@ def train(tokens: DataFrame, n_tokens: int) -> Mixer:
     return Mixer(zeros, ones, (held[:cut] / held[-1]).reshape(GATES, PREDICTORS).astype(np.float32), np.clip(refined, 1e-5, 1 - 1e-5))
 
 
+class Ledger(dict):
+    """What a task knows of the tokens it has met: numbers for them and, by number, cost, word and its count."""
+
+    def __init__(self, mixer: Mixer, frequent: dict[bytes, float], usual: dict[bytes, float]):
+        super().__init__()
+        self.mixer, self.frequent, self.usual = mixer, frequent, usual
+        self.order: list[bytes] = []
+        self.words: list[bytes | None] = []  # of words that aren't frequent
+        self.table = np.zeros((4, 1 << 16))  # 1 for a word, 1 for a frequent one, log10 of its count, cost
+
+    def __missing__(self, token: bytes) -> int:
+        n = self[token] = len(self.order)
+        self.order.append(token)
+        return n
+
+    def codes(self, tokens: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+
+    def settle(self) -> None:
+        """Fills in what came up since the last time."""
+        at, n = len(self.words), len(self.order)
+        while n > self.table.shape[1]:
+            self.table = np.hstack([self.table, np.zeros_like(self.table)])
+        new = self.order[at:]
+        words = [t[:-1].lower() for t in new]
+        found = [self.frequent.get(w) for w in words]
+        self.words += [w if w and f is None else None for w, f in zip(words, found, strict=True)]
+        self.table[0, at:n] = [bool(w) for w in words]
+        self.table[1, at:n] = [f is not None and bool(w) for w, f in zip(words, found, strict=True)]
+        self.table[2, at:n] = [f if f is not None and w else 0.0 for w, f in zip(words, found, strict=True)]
+        cost = list(map(self.usual.get, new))
+        open_ = [i for i, c in enumerate(cost) if c is None]
+        for k in range(0, len(open_), 8192):
+            part = open_[k : k + 8192]
+            for i, c in zip(part, self.mixer.costs([new[i] for i in part]).tolist(), strict=True):
+                cost[i] = c
+        self.table[3, at:n] = cost
+
+    def totals(self, codes: np.ndarray) -> tuple[int, int, float, float]:
+        """Words, frequent words, sum of their logarithms, cost."""
+        words, known, sure, cost = (row[codes].sum() for row in self.table)
+        return int(words), int(known), float(sure), float(cost)
+
+    def rare_words(self, codes: np.ndarray) -> list[bytes]:
+        rare = codes[(self.table[0, codes] > 0) & (self.table[1, codes] == 0)]
+        return list(map(self.words.__getitem__, rare.tolist()))
+
+    def trim(self) -> None:
+        """Forgets all once there is too much."""
+        if len(self.order) > CACHED_TOKENS:
+            self.clear()
+            self.order, self.words = [], []
+
+
 def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For every row of docs: id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
@@ -301,14 +381,18 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
     counts = staged(word_counts(tokens))
     size = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = size["n"] or 0, size["v"]
-    model = spark.sparkContext.broadcast(train(tokens, tokens.count()))
+    mixer = train(tokens, tokens.count())
+    model = spark.sparkContext.broadcast(mixer)
     frequent = spark.sparkContext.broadcast({bytes(r["word"]): float(np.log10(r["c"] + 0.1)) for r in counts.orderBy(F.desc("c"), "word").limit(FREQUENT).collect()})  # bounded by FREQUENT
+    # The costs of the most frequent tokens are worked out once instead of in every task.
+    often_seen = [bytes(r["token"]) for r in tokens.orderBy(F.desc("n"), "token").limit(FREQUENT).select("token").collect()]  # bounded by FREQUENT
+    usual = spark.sparkContext.broadcast({t: c for at in range(0, len(often_seen), 8192) for t, c in zip(often_seen[at : at + 8192], mixer.costs(often_seen[at : at + 8192]).tolist(), strict=True)})
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     schema = f"row long, `{id_col}` {kind}, n_tokens long, known long, sure double, score double, n_bytes long, rare array<binary>"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, often = model.value, frequent.value
-        cost: dict[bytes, float] = {}
+        ledger = Ledger(model.value, frequent.value, usual.value)
+        end = frequent.value.get(b" ")
         id_type = pa.null()
 
         def seen(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,28 +402,16 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
                 yield b
 
         for held in texts_of(seen(batches), 1 << 20):
-            cut = [tokens_of(t) for _, t, _ in held]
-            new = sorted({t for ts in cut for t in ts} - cost.keys())
-            for at in range(0, len(new), 8192):
-                part = new[at : at + 8192]
-                cost.update(zip(part, mixer.costs(part).tolist(), strict=True))
+            codes = [ledger.codes(tokens_of(t)) for _, t, _ in held]
+            ledger.settle()
             out: list[tuple] = []
-            for (row, text, key), ts in zip(held, cut, strict=True):
-                raw = (text or "").encode("utf-8", "replace")
-                words = raw.lower().split()
-                got = list(map(often.get, words))
-                rare = [w for w, g in zip(words, got, strict=True) if g is None]
-                known = [g for g in got if g is not None]
-                end = often.get(b" ")
-                if end is None:
-                    rare.append(b" ")
-                else:
-                    known.append(end)
-                out.append((row, key, len(words) + 1, len(known), sum(known), sum(map(cost.__getitem__, ts)), len(raw), rare))
-            if len(cost) > CACHED_TOKENS:
-                cost = {}
+            for (row, text, key), c in zip(held, codes, strict=True):
+                words, known, sure, cost = ledger.totals(c)
+                rare = ledger.rare_words(c) + ([b" "] if end is None else [])
+                out.append((row, key, words + 1, known + (end is not None), sure + (end or 0.0), cost, len((text or "").encode("utf-8", "replace")), rare))
             kinds = (pa.int64(), id_type, pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.binary()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["row", id_col, "n_tokens", "known", "sure", "score", "n_bytes", "rare"])
+            ledger.trim()
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("t"), F.col(id_col))
     scored = numbered.mapInArrow(run, schema)
