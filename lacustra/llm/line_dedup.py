@@ -6,12 +6,12 @@ has a Jaccard similarity of percent / 100 or more; all is judged on the input.
 1. A scan finds the most frequent words, FREQUENT at most, which are broadcast. Words are ordered by rarity:
    first all others (by hash), then these from the rarest to the most frequent.
 2. A second scan sends prefixes. Matching lines share at least l words within their prefixes of length
-   n - ceil(p n) + l (prefix filter). A word that isn't frequent is sent by itself, two frequent ones as a pair,
-   so no index list belongs to a frequent word alone. Lists are cut by size (length filter). A line stays only
-   if enough of its prefix is shared, which bounds by position what it can still have in common with another
-   (positional filter).
-3. Lines that share a list form groups, named by their first line; their whole sets meet there and all pairs
-   are verified. Groups of more than GROUP lines are cut into blocks; a line that no earlier line of its block
+   n - ceil(p n) + l (prefix filter). Words are sent one by one, but the COMMON most frequent ones in pairs,
+   so no index list belongs to such a word alone. Of the lines of a list only those stay that have a partner of
+   a fitting size (length filter), that can have enough in common by the bit maps of the sets and by what follows
+   the word in both orders (positional filter). A line needs such partners for l words of its prefix.
+3. Lines that share a list are linked with its first; the components of these links are groups. The whole sets
+   of a group meet once and all pairs are verified. Groups of more than GROUP lines are cut into blocks; a line that no earlier line of its block
    matches then visits the group's other blocks.
 Equal lines within a chunk of documents are settled when the chunk is read: only the first is sent.
 """
@@ -28,10 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_bounds, bucketwise, exchanged, mixed, partitions, rows_of, staged, texts_of
-from .ngram_join import _arrays, _blob, at_least, overlaps, size_class
+from .common import bucket_bounds, bucketwise, components, exchanged, mixed, partitions, rows_of, staged, texts_of
+from .ngram_join import _arrays, _blob, at_least, overlaps
 
 FREQUENT, GROUP = 100_000, 1024
+#: Of the frequent words the most frequent ones, which are listed in pairs only.
+COMMON = 2_000
 #: Lines that a task holds before it sends their prefixes.
 LINES = 40_000
 _TOP = np.uint64(1 << 63)
@@ -43,13 +45,13 @@ class OrderKeys(dict):
 
     def __init__(self, frequent: dict[bytes, int]):
         super().__init__()
-        self.frequent = frequent
+        self.frequent, self.common = frequent, len(frequent) - COMMON
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > 300_000:
             self.clear()
         h, rank = xxhash.xxh3_64_intdigest(word), self.frequent.get(word)
-        k = self[word] = h >> 1 if rank is None else 1 << 63 | rank << 40 | h & (1 << 40) - 1
+        k = self[word] = h >> 2 if rank is None else (1 << 63 if rank >= self.common else 1 << 62) | rank << 40 | h & (1 << 40) - 1
         return k
 
 
@@ -64,7 +66,7 @@ def line_words(line: str) -> list[bytes]:
 
 
 class LineSets:
-    """Sets of many lines: keys in order of rarity, the starts of the lines in them, their sizes, and two hashes of each set."""
+    """Sets of many lines: keys in order of rarity, the starts of the lines in them, their sizes, two hashes and a bit map of each set; no line is empty."""
 
     def __init__(self, words: list[list[bytes]], keys: OrderKeys):
         size = np.fromiter(map(len, words), np.int64, len(words))
@@ -80,14 +82,19 @@ class LineSets:
             a, b = mixed(self.keys), mixed(self.keys ^ np.uint64(0x5851F42D4C957F2D))
             sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x)]) for x in (a, b)]
             self.hashes = [x[self.starts + self.sizes] - x[self.starts] for x in sums]
+        self.bits = np.bitwise_or.reduceat(np.uint64(1) << (a >> np.uint64(58)), self.starts) if len(self.keys) else np.zeros(len(words), np.uint64)
 
     def set(self, i: int) -> np.ndarray:
         return self.keys[self.starts[i] : self.starts[i] + self.sizes[i]]
 
 
 def shared_words(n):
-    """How many words the prefixes of matching lines share at least, by the size of the smaller one."""
-    return np.maximum(2, n // 6)
+    """How many words the prefixes of matching lines share at least, by the size of the smaller one; matching lines that aren't equal share two or more."""
+    return np.maximum(2, n // 10)
+
+
+#: Lists of up to so many lines are narrowed down to the pairs that bit maps leave; longer ones stay whole.
+LISTED = 8192
 
 
 def frequent_words(docs: DataFrame) -> dict[bytes, int]:
@@ -111,22 +118,75 @@ def frequent_words(docs: DataFrame) -> dict[bytes, int]:
     return {w: len(top) - 1 - i for i, w in enumerate(top.column(0).to_pylist())}
 
 
-def _prefixes(s: np.ndarray, h: np.uint64, percent: int) -> tuple[np.ndarray, int]:
-    """What a set of size n is listed under, and how many of its listed rare words another line must share."""
-    n = len(s)
-    if n * 100 // percent == n == at_least(n, percent):
-        return np.array([h >> np.uint64(1)]), 1  # only an equal set matches
-    prefix = s[: n - at_least(n, percent) + int(shared_words(n))]
-    often = prefix[prefix >= _TOP]
-    rare = prefix[prefix < _TOP]
-    a, b = np.triu_indices(len(often), 1)
+def listed(sets: LineSets, lines: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What these lines are listed under: tokens, the line of each, its place in the order, and for each line how many listed single words another must share."""
+    n = sets.sizes
+    chosen = np.zeros(len(n), bool)
+    chosen[lines] = True
+    least = at_least(n, percent)
+    equal = (n * 100 // percent == n) & (least == n)  # only an equal set matches
+    prefix = np.where(equal | ~chosen, 0, np.minimum(n, n - least + shared_words(n)))
+    line = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(line)) - sets.starts[line]
+    inside = place < prefix[line]
+    key, of, place = sets.keys[inside], line[inside], place[inside]
+    common = key >= _TOP
+    asked = np.where(equal, 1, shared_words(least) - np.bincount(of[common], minlength=len(n)))
+    whole = np.flatnonzero(chosen & equal)
+    tokens, owners, places = [key[~common], sets.hashes[0][whole] >> np.uint64(1)], [of[~common], whole], [place[~common], np.zeros(len(whole), np.int64)]
+    key, of = key[common], of[common]
+    start = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else []
+    count = np.diff(np.append(start, len(of))).astype(np.int64)
+    for k in np.unique(count):
+        a, b = np.triu_indices(k, 1)
+        rows = np.asarray(start)[count == k]
+        with np.errstate(over="ignore"):
+            pairs = mixed(key[rows[:, None] + a] * np.uint64(0x9E3779B97F4A7C15) + key[rows[:, None] + b]) | _TOP
+        tokens.append(pairs.ravel())
+        owners.append(np.repeat(of[rows], len(a)))
+        places.append(np.zeros(len(rows) * len(a), np.int64))
+    return np.concatenate(tokens), np.concatenate(owners), np.concatenate(places), asked
+
+
+def partnered(token: np.ndarray, uid: np.ndarray, bits: np.ndarray, n: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
+    """For rows sorted by (token, uid): the first row of those that it is connected with by pairs that may match; -1 without any."""
+    out = np.full(len(token), -1, np.int64)
+    start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+    count = np.diff(np.append(start, len(token)))
+    single = token < _TOP
+    for m in np.unique(count):
+        runs = start[count == m]
+        if m > LISTED:
+            for s in runs:
+                out[s : s + m] = s
+            continue
+        step = max(1, 2_000_000 // (int(m) * int(m)))
+        for lo in range(0, len(runs), step):
+            row = runs[lo : lo + step, None] + np.arange(m)
+            x, y = row[:, :, None], row[:, None, :]
+            both = n[x] + n[y]
+            least = -(-percent * both // (100 + percent))  # what a matching pair shares
+            can = (both - np.bitwise_count(bits[x] ^ bits[y]).astype(np.int64)) // 2
+            rest = np.minimum(at[x], at[y]) + np.minimum(n[x] - at[x], n[y] - at[y])
+            fits = (np.minimum(can, np.where(single[x], rest, can)) >= least) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & (uid[x] != uid[y])
+            label = np.broadcast_to(np.arange(m), row.shape).copy()
+            while True:
+                new = np.minimum(label, np.where(fits, label[:, None, :], m).min(2))
+                if (new == label).all():
+                    break
+                label = new
+            out[row] = np.where(fits.any(2), row[:, :1] + label, -1)
+    return out
+
+
+def uids(k: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each line; two lines with one name would only share a group."""
     with np.errstate(over="ignore"):
-        pairs = mixed(often[a] * np.uint64(0x9E3779B97F4A7C15) + often[b]) | _TOP
-    return np.concatenate([rare, pairs]), int(shared_words(at_least(n, percent))) - len(often)
+        return mixed(k.view(np.uint64) + line.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def _lists(docs: DataFrame, frequent, percent: int) -> DataFrame:
-    """(kind, id, v, line, group, hits, asked): lines that share a list (kind 0, one row for each group) and lines that an equal earlier one of their chunk matches (kind 1)."""
+    """(kind, k, line, uid, group, hits, asked): lines that share a list (kind 0, one row for each group) and lines that an equal earlier one of their chunk matches (kind 1)."""
     buckets = 4 * partitions(docs, 0.9, 12 << 20)
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,33 +202,27 @@ def _lists(docs: DataFrame, frequent, percent: int) -> DataFrame:
             head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
             # Equal to the first of its kind, but not in the same place (a repeated id).
             later = order[(place[order, 0] != place[head, 0]) | (place[order, 2] != place[head, 2])]
-            first = np.sort(order[new])
-            listed, asked = zip(*(_prefixes(sets.set(i), sets.hashes[0][i], percent) for i in first), strict=True) if len(first) else ((), ())
-            token, of = np.concatenate(listed), np.repeat(first, [len(x) for x in listed])
-            need = np.zeros(len(words), np.int64)
-            need[first] = asked
+            token, of, at, asked = listed(sets, order[new], percent)
             by, found, bounds = bucket_bounds(token, buckets)
-            token, of = token[by], of[by]
-            rows = []
-            for b, lo, hi in zip(found.tolist(), bounds, bounds[1:], strict=False):
-                mine, back = np.unique(of[lo:hi], return_inverse=True)
-                p = place[mine]
-                rows.append((b, 0, _blob(p[:, 0].copy(), p[:, 1].copy(), p[:, 2].astype(np.int32), sets.sizes[mine].astype(np.int32), need[mine].astype(np.int32), token[lo:hi], back.astype(np.uint16 if len(mine) < 65536 else np.uint32).astype(np.uint32))))
+            token, of, at = token[by], of[by], at[by].astype(np.int32)
+            k, line, n, need = np.ascontiguousarray(place[of, 1]), place[of, 2].astype(np.int32), sets.sizes[of].astype(np.int32), asked[of].astype(np.int8)
+            bits = sets.bits[of]
+            rows = [(b, 0, _blob(token[lo:hi], k[lo:hi], bits[lo:hi], line[lo:hi], n[lo:hi], at[lo:hi], need[lo:hi])) for b, lo, hi in zip(found.tolist(), bounds, bounds[1:], strict=False)]
             if len(later):
-                by, found, bounds = bucket_bounds(mixed(place[later, 0].view(np.uint64)), buckets)
+                by, found, bounds = bucket_bounds(mixed(place[later, 1].view(np.uint64)), buckets)
                 for b, lo, hi in zip(found.tolist(), bounds, bounds[1:], strict=False):
-                    rows.append((b, 1, np.ascontiguousarray(place[later[by[lo:hi]]]).tobytes()))
+                    rows.append((b, 1, np.ascontiguousarray(place[later[by[lo:hi]], 1:]).tobytes()))
             where.clear()
             words.clear()
-            b, k, x = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(k, pa.int32()), pa.array(x, pa.binary())], ["bucket", "kind", "blob"])
+            b, kind, x = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(kind, pa.int32()), pa.array(x, pa.binary())], ["bucket", "kind", "blob"])
 
         held = 0
-        for i, text, v in rows_of(batches):
-            for k, line in enumerate(lines_of(text)):
+        for i, text, k in rows_of(batches):
+            for at, line in enumerate(lines_of(text)):
                 if w := line_words(line):
                     words.append(w)
-                    where.append((i, v, k))
+                    where.append((i, k, at))
                     held += 8 + len(w)
                     if held > 40 * LINES:
                         yield sent()
@@ -177,45 +231,34 @@ def _lists(docs: DataFrame, frequent, percent: int) -> DataFrame:
             yield sent()
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("v", pa.int64()), ("line", pa.int64()), ("group", pa.int64()), ("hits", pa.int64()), ("asked", pa.int64())])
+        schema = pa.schema([("kind", pa.int32()), ("k", pa.int64()), ("line", pa.int64()), ("uid", pa.int64()), ("group", pa.int64()), ("hits", pa.int64()), ("asked", pa.int64())])
         for _, rows in bucketwise(batches):
             parts = []
             for kind, blob in rows:
                 if kind:
-                    p = np.frombuffer(blob, np.int64).reshape(-1, 3)
+                    p = np.frombuffer(blob, np.int64).reshape(-1, 2)
                     zero = np.zeros(len(p), np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(zero.astype(np.int32) + 1), *(pa.array(np.ascontiguousarray(p[:, j])) for j in range(3)), *(pa.array(zero) for _ in range(3))], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(zero.astype(np.int32) + 1), *(pa.array(np.ascontiguousarray(p[:, j])) for j in range(2)), *(pa.array(zero) for _ in range(4))], schema=schema)
                 else:
-                    i, v, k, n, asked, token, back = _arrays(blob, np.int64, np.int64, np.int32, np.int32, np.int32, np.uint64, np.uint32)
-                    parts.append((token, i[back], v[back], k[back].astype(np.int64), n[back].astype(np.int64), asked[back].astype(np.int64)))
+                    parts.append(_arrays(blob, np.uint64, np.int64, np.uint64, np.int32, np.int32, np.int32, np.int8))
             if not parts:
                 continue
-            token, *rest = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(token, kind="stable")
-            token, rest = token[order], [x[order] for x in rest]
-            same = token[1:] == token[:-1]
-            more = np.append(same, False) | np.append(False, same)
-            token, (i, v, k, n, asked) = token[more], [x[more] for x in rest]
+            token, k, bits, line, n, at, asked = (np.concatenate(x) for x in zip(*parts, strict=True))
+            line, n, at, asked = (x.astype(np.int64) for x in (line, n, at, asked))
+            uid = uids(k, line)
+            order = np.lexsort((uid, token))
+            same = token[order][1:] == token[order][:-1]
+            order = order[np.append(same, False) | np.append(False, same)]
+            token, k, bits, line, n, at, asked, uid = (x[order] for x in (token, k, bits, line, n, at, asked, uid))
             if not len(token):
                 continue
-            row = np.tile(np.arange(len(token)), 2)
-            grade = size_class(n, percent)
-            grade = np.append(grade, grade + 1)
-            order = np.lexsort((k[row], i[row], grade, token[row]))
-            row, grade = row[order], grade[order]
-            t = token[row]
-            start = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (grade[1:] != grade[:-1])))
-            count = np.diff(np.append(start, len(row)))
-            lead = np.repeat(row[start], count)
-            several = np.repeat(count > 1, count)
-            row, lead = row[several], lead[several]
+            lead = partnered(token, uid, bits, n, at, percent)
+            row = np.flatnonzero(lead >= 0)
+            lead = lead[row]
             if not len(row):
                 continue
-            with np.errstate(over="ignore"):
-                uid = mixed(mixed(i.view(np.uint64) ^ v.view(np.uint64) * np.uint64(31)) + k.view(np.uint64))
-            # A line counts each shared rare word once; a row for each of its groups, the hits on the first.
-            hit = np.unique(row)
-            hit = hit[token[hit] < _TOP]
+            # A line counts each shared single word once; a row for each of its groups, the hits on the first.
+            hit = row[token[row] < _TOP]
             ids, hits = np.unique(uid[hit], return_counts=True)
             by = np.lexsort((uid[lead], uid[row]))
             row, lead = row[by], lead[by]
@@ -224,12 +267,12 @@ def _lists(docs: DataFrame, frequent, percent: int) -> DataFrame:
             first = np.append(True, uid[row][1:] != uid[row][:-1])
             found = np.zeros(len(row), np.int64)
             if len(ids):
-                at = np.minimum(np.searchsorted(ids, uid[row]), len(ids) - 1)
-                found = np.where(first & (ids[at] == uid[row]), hits[at], 0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(row), np.int32)), pa.array(i[row]), pa.array(v[row]), pa.array(k[row]), pa.array(uid[lead].view(np.int64)), pa.array(found), pa.array(asked[row])], schema=schema)
+                where = np.minimum(np.searchsorted(ids, uid[row]), len(ids) - 1)
+                found = np.where(first & (ids[where] == uid[row]), hits[where], 0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(row), np.int32)), pa.array(k[row]), pa.array(line[row]), pa.array(uid[row].view(np.int64)), pa.array(uid[lead].view(np.int64)), pa.array(found), pa.array(asked[row])], schema=schema)
 
-    packed = docs.select("id", "t", "v").mapInArrow(emit, "bucket long, kind int, blob binary")
-    return exchanged(packed, buckets).mapInArrow(meet, "kind int, id long, v long, line long, `group` long, hits long, asked long")
+    packed = docs.select("id", "t", "k").mapInArrow(emit, "bucket long, kind int, blob binary")
+    return exchanged(packed, buckets).mapInArrow(meet, "kind int, k long, line long, uid long, `group` long, hits long, asked long")
 
 
 def matched(rows: list[tuple[int, int, bytes]], percent: int) -> np.ndarray:
@@ -242,44 +285,45 @@ def matched(rows: list[tuple[int, int, bytes]], percent: int) -> np.ndarray:
     return (link & earlier).any(0)
 
 
-def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """(id, v, line) of the lines of docs (id, t, v) that an earlier line matches."""
+def removed_lines(docs: DataFrame, dealt: DataFrame, percent: int = 80) -> DataFrame:
+    """(k, line) of the lines of docs (id, t, k) that an earlier line matches; dealt: the same rows, partitioned by k, a hash of id and text."""
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_words(docs))
     lists = staged(_lists(docs, frequent, percent))
-    at_once = lists.where("kind = 1").select("id", "v", "line")
-    line = ["id", "v", "line"]
-    enough = lists.where("kind = 0").groupBy(*line).agg(F.sum("hits").alias("hits"), F.max("asked").alias("asked"), F.collect_set("group").alias("groups")).where("hits >= asked")  # groups: at most a prefix of one line
-    wanted = staged(enough.select(*line, "groups"))
-    sizes = wanted.select(F.explode("groups").alias("group")).groupBy("group").agg(F.count("*").alias("m"))
+    at_once = lists.where("kind = 1").select("k", "line")
+    line = ["k", "line"]
+    enough = lists.where("kind = 0").groupBy(*line, "uid").agg(F.sum("hits").alias("hits"), F.max("asked").alias("asked"), F.collect_set("group").alias("groups")).where("hits >= asked")  # groups: at most a prefix of one line
+    lined = staged(enough.select(*line, "uid", "groups"))
+    root = components(lined.select(F.col("uid").alias("a"), F.explode("groups").alias("b"))).withColumnsRenamed({"node": "uid", "root": "group"})
+    sizes = root.groupBy("group").agg(F.count("*").alias("m"))
+    wanted = staged(lined.select(*line, "uid").join(root, "uid").join(sizes.where("m > 1"), "group").select(*line, "group"))
+    sizes = wanted.groupBy("group").agg(F.count("*").alias("m"))
     large = staged(sizes.where(F.col("m") > GROUP))
     any_large = not large.isEmpty()
-    per_doc = wanted.groupBy("id", "v").agg(F.collect_list(F.struct("line", "groups")).alias("asked"))
+    per_doc = wanted.groupBy("k").agg(F.collect_list(F.struct("line", "group")).alias("asked"))
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = OrderKeys(frequent.value)
         for held in texts_of(batches):
             out = []
-            for i, text, v, asked in held:
+            for i, text, k, asked in held:
                 lines = lines_of(text)
                 chosen = LineSets([line_words(lines[a["line"]]) for a in asked], keys)
-                for j, a in enumerate(asked):
-                    s = chosen.set(j).tobytes()
-                    out += [(g, i, v, a["line"], s) for g in a["groups"]]
+                out += [(a["group"], i, k, a["line"], chosen.set(j).tobytes()) for j, a in enumerate(asked)]
             for at in range(0, len(out), 4096):
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 4096], strict=True), kinds, strict=True)], ["group", "id", "v", "line", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 4096], strict=True), kinds, strict=True)], ["group", "id", "k", "line", "s"])
 
-    members = docs.join(per_doc.hint("shuffle_hash"), ["id", "v"]).select("id", "t", "v", "asked").mapInArrow(sets, "`group` long, id long, v long, line long, s binary")
+    members = dealt.join(per_doc.hint("shuffle_hash"), "k").select("id", "t", "k", "asked").mapInArrow(sets, "`group` long, id long, k long, line long, s binary")
     if any_large:
         members = staged(members).join(large, "group", "left").withColumn("block", F.when(F.col("m").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("id", "line"), F.ceil(F.col("m") / F.lit(GROUP // 2)))).cast("long"))
     else:
         members = members.withColumns({"m": F.lit(None).cast("long"), "block": F.lit(0).cast("long")})
     parts = partitions(docs, 1.0)
-    blocked = members.select("group", "block", "id", "v", "line", "m", "s").repartition(parts, "group", "block").sortWithinPartitions("group", "block")
+    blocked = members.select("group", "block", "id", "k", "line", "m", "s").repartition(parts, "group", "block").sortWithinPartitions("group", "block")
 
     def solve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-        names = ["group", "block", "id", "v", "line", "m", "gone", "s"]
+        names = ["group", "block", "id", "k", "line", "m", "gone", "s"]
 
         def out(key: tuple[int, int], rows: list[tuple]) -> list[tuple]:
             if len(rows) < 2:
@@ -302,15 +346,15 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
         if ready:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*ready, strict=True), kinds, strict=True)], names)
 
-    solved = blocked.mapInArrow(solve, "`group` long, block long, id long, v long, line long, m long, gone boolean, s binary")
+    solved = blocked.mapInArrow(solve, "`group` long, block long, id long, k long, line long, m long, gone boolean, s binary")
     if not any_large:
         return at_once.union(solved.where("gone").select(*line)).distinct()
     solved = staged(solved)
     # Lines of large groups that nothing in their block matches visit the other blocks.
     gone = solved.where("gone").select(*line).distinct()
     open_ = solved.where("NOT gone AND m IS NOT NULL").join(gone, line, "left_anti").withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("m") / F.lit(GROUP // 2)).cast("long") - F.lit(1)))).where("o <> block")
-    visits = open_.select("group", F.col("o").alias("block"), "id", "v", "line", "s", F.lit(True).alias("asks"))
-    hosts = members.where("m IS NOT NULL").select("group", "block", "id", "v", "line", "s", F.lit(False).alias("asks")).join(visits.select("group", "block").distinct(), ["group", "block"], "left_semi")
+    visits = open_.select("group", F.col("o").alias("block"), "id", "k", "line", "s", F.lit(True).alias("asks"))
+    hosts = members.where("m IS NOT NULL").select("group", "block", "id", "k", "line", "s", F.lit(False).alias("asks")).join(visits.select("group", "block").distinct(), ["group", "block"], "left_semi")
 
     def visit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list[tuple]) -> pa.RecordBatch:
@@ -319,9 +363,9 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
             for at in range(0, len(guests), GROUP):
                 part = guests[at : at + GROUP]
                 both = [(r[0], r[2], r[3]) for r in hosts + part]
-                found += [(r[0], r[1], r[2]) for r, g in zip(part, matched(both, percent)[len(hosts) :], strict=True) if g]
-            a = np.array(found, np.int64).reshape(-1, 3)
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a[:, j])) for j in range(3)], line)
+                found += [(r[1], r[2]) for r, g in zip(part, matched(both, percent)[len(hosts) :], strict=True) if g]
+            a = np.array(found, np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a[:, j])) for j in range(2)], line)
 
         now, held = None, []
         for group, block, *rest in rows_of(b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
@@ -333,7 +377,7 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
         if held:
             yield out(held)
 
-    crossed = hosts.union(visits).repartition(parts, "group", "block").sortWithinPartitions("group", "block").mapInArrow(visit, "id long, v long, line long")
+    crossed = hosts.union(visits).repartition(parts, "group", "block").sortWithinPartitions("group", "block").mapInArrow(visit, "k long, line long")
     return at_once.union(gone).union(crossed).distinct()
 
 
@@ -348,12 +392,15 @@ def deduplicated(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", tex
     """
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50 and at most 100")
-    rest = F.struct(*[F.col(c) for c in carry]) if carry else F.struct(F.lit(0).alias("none"))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("v"), rest.alias("rest"))
-    dealt = rows.repartition(partitions(docs, 1.5, 24 << 20), "id", "v")
-    # The lines are found with the same rows, dealt in the same way, so that without `carry` the texts are shuffled once.
-    gone = removed_lines(dealt, percent).groupBy("id", "v").agg(F.collect_set("line").alias("gone"))
-    joined = dealt.join(gone.hint("shuffle_hash"), ["id", "v"], "left").select("id", "t", "gone", "rest")
+    rest = [F.struct(*[F.col(c) for c in carry]).alias("rest")] if carry else []
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    rows = docs.select(key.alias("id"), F.col(text_col).alias("t"), F.xxhash64(key, F.col(text_col)).alias("k"), *rest)
+    n = partitions(docs, 1.5, 24 << 20)
+    dealt = rows.repartition(n, "k")
+    # Without `carry` both uses of the dealt rows are one exchange, as they are in one job.
+    bare = dealt if not carry else rows.select("id", "t", "k").repartition(n, "k")
+    gone = removed_lines(rows, bare, percent).groupBy("k").agg(F.collect_set("line").alias("gone"))
+    joined = dealt.join(gone.hint("shuffle_hash"), "k", "left").select("id", "t", "gone", "rest" if carry else F.struct(F.lit(0).alias("none")).alias("rest"))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
