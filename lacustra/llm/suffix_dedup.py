@@ -32,7 +32,7 @@ from .common import bucket_bounds, bucketwise, exchanged, mixed, partitions, row
 WIDTH, GRAM = 100, 40
 SPAN = WIDTH - GRAM + 1
 #: From how many places on an anchor's windows are sent one by one.
-OFTEN = 20_000
+OFTEN = 200_000
 #: Bytes of documents in a chunk, and of segments whose suffixes are sorted together.
 CHUNK, SORTED = 3 << 20, 1 << 20
 #: Hashes among which minima are sought at once (places in it take 24 bits).
@@ -340,6 +340,7 @@ def _removed(docs: DataFrame, found: DataFrame, n: int, buckets: int) -> DataFra
                 if len(places) > 1:
                     runs += [(j, w, b, b + len(piece) - WIDTH) for j, b, w in places if (j, b) != (i, a)]
             rows = [(b, *packed_segments(x)) for b, x in out.items()]
+            runs = merged_runs(runs)
             # Runs known already go along, to the bucket of their document.
             for b, x in _by(runs, lambda r: r[0] % buckets).items():
                 rows.append((b, np.array(x, np.int64).tobytes(), None))
@@ -357,7 +358,7 @@ def _removed(docs: DataFrame, found: DataFrame, n: int, buckets: int) -> DataFra
                     continue
                 for key, piece, i, v, a in unpacked_segments(places, data):
                     groups.setdefault(key, []).append((piece, i, v, a))
-            runs += settle([g for g in groups.values() if len(g) > 1])
+            runs = merged_runs(runs + list(settle([g for g in groups.values() if len(g) > 1])))
             if runs:
                 yield _run_rows(*map(list, zip(*runs, strict=True)))
 
@@ -365,6 +366,17 @@ def _removed(docs: DataFrame, found: DataFrame, n: int, buckets: int) -> DataFra
     return exchanged(joined.select("id", "v", "t", "blobs").mapInArrow(send, "bucket long, places binary, bytes binary"), buckets).mapInArrow(judge, "id long, v long, first long, last long")
 
 
+def merged_runs(runs: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Runs (id, v, first, last) with those that touch made one."""
+    out: list[tuple[int, int, int, int]] = []
+    for i, v, a, b in sorted(runs):
+        if out and out[-1][:2] == (i, v) and a <= out[-1][3] + 1:
+            out[-1] = (i, v, out[-1][2], max(b, out[-1][3]))
+        else:
+            out.append((i, v, a, b))
+    return out
+
+
 def _by(rows: list[tuple], key) -> dict[int, list[tuple]]:
     out: dict[int, list[tuple]] = {}
     for r in rows:
