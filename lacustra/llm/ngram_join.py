@@ -7,7 +7,7 @@ a percentage. Nothing is approximate but the hashing (two of a pair's shingles c
    within a task. The most frequent ones, at most HOT of them, are broadcast and go last in the order of
    shingles. Any fixed order gives the same result; this one keeps common passages out of the prefixes.
 2. A second scan emits prefixes. Linked sets x, y share at least l(x) shingles of their prefixes of length
-   n - ceil(p n) + l(n), with l a twentieth of the size. The index lists of the prefix shingles are cut into
+   n - ceil(p n) + l(n), with l a tenth of the size. The index lists of the prefix shingles are cut into
    blocks of sizes that can link, and whole blocks with one set are skipped. A set stays only if l(x) of its
    prefix shingles stand in a block with another set. Those of a block share a group, named by its smallest id.
    For hot shingles the group is known from the first scan, so their lists are never gathered at all.
@@ -35,6 +35,8 @@ from .common import bucket_bounds, bucketwise, components, exchanged, mixed, par
 HOT = 200_000
 #: Sets of a group that one task joins.
 GROUP = 1024
+#: Prefixes are longer by this part of a set than one shared shingle needs.
+EXTEND = 10
 #: Hashes that a task holds before it looks for repeated ones, and prefix entries before it sends them.
 HELD, SENT = 1_500_000, 1_000_000
 _TURN = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -78,8 +80,8 @@ def at_least(n, percent: int):
 
 def extension(n, percent: int):
     """By how much a prefix is longer than one shared shingle needs: what its partners share at least, and what it asks itself."""
-    longer = np.maximum(1, n // 20)
-    asked = np.maximum(1, at_least(n, percent) // 20)
+    longer = np.maximum(1, n // EXTEND)
+    asked = np.maximum(1, at_least(n, percent) // EXTEND)
     return longer, asked
 
 
@@ -415,9 +417,11 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_i
     classes = base.where("digest IS NOT NULL AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"))
     found = staged(_memberships(rows, n, percent, hot))
     size = F.col("n")
-    asked = F.greatest(F.lit(1), F.floor(F.ceil(size * F.lit(percent) / F.lit(100)) / F.lit(20)))
+    asked = F.greatest(F.lit(1), F.floor(F.ceil(size * F.lit(percent) / F.lit(100)) / F.lit(EXTEND)))
     enough = found.groupBy("id", "n").agg(F.sum("hits").alias("hits")).where(F.col("hits") >= asked).select("id").distinct()
-    kept = staged(found.select("group", "id").distinct().join(enough, "id").join(classes.select(F.col("rep").alias("id")).distinct(), "id"))
+    # A task sends one text of each class, whichever comes first; here its class's first document takes its place.
+    named = base.where("digest IS NOT NULL AND id IS NOT NULL").join(classes, "digest").select("id", "rep").distinct()
+    kept = staged(found.select("group", "id").distinct().join(enough, "id").join(named, "id").select("group", F.col("rep").alias("id")).distinct())
     sizes = kept.groupBy("group").agg(F.count("*").alias("m")).where("m > 1")
     large = staged(sizes.where(F.col("m") > GROUP))
     wanted = kept.join(sizes, "group").groupBy("id").agg(F.collect_set("group").alias("groups"))  # at most a prefix of one document
