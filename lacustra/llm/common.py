@@ -18,15 +18,20 @@ CHUNK_BYTES = 4 << 20
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
+#: Beyond this an estimate of Catalyst's only says that it doesn't know; rows are then counted, at so many bytes each.
+UNKNOWN_BYTES, ROW_BYTES = 10**17, 4096
+
+
 def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of df's size (for files: their size); costs no job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's estimate of df's size (for files: their size), without a job; where it has none, from the number of rows."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < UNKNOWN_BYTES else df.count() * ROW_BYTES
 
 
 def partitions(df: DataFrame, ratio: float = 1.0, target: int = 24 << 20) -> int:
     """How many partitions of about `target` bytes hold `ratio` times df; at least spark.sql.shuffle.partitions."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = min(estimated_bytes(df) * ratio, 1e17)
+    size = estimated_bytes(df) * ratio
     return int(min(max(least, size // target + 1), 1 << 20))
 
 
