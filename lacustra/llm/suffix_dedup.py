@@ -31,8 +31,8 @@ from .common import bucket_bounds, bucketwise, exchanged, mixed, partitions, row
 
 WIDTH, GRAM = 100, 40
 SPAN = WIDTH - GRAM + 1
-#: From how many places on an anchor's windows are sent one by one.
-OFTEN = 200_000
+#: From how many places on an anchor's windows are sent one by one, and of how many such anchors at most (8 bytes each are broadcast).
+OFTEN, OFTEN_ANCHORS = 200_000, 500_000
 #: Bytes of documents in a chunk, and of segments whose suffixes are sorted together.
 CHUNK, SORTED = 3 << 20, 1 << 20
 #: Hashes among which minima are sought at once (places in it take 24 bits).
@@ -181,7 +181,7 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _candidates(docs: DataFrame) -> DataFrame:
-    """(id, v, places): places of anchors that come more than once, four bytes each; the top bit marks very common ones."""
+    """(id, v, places): places of anchors that come more than once, four bytes each; without places, a very common anchor and how often it comes."""
     buckets = 4 * partitions(docs, 0.8, 16 << 20)
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +196,7 @@ def _candidates(docs: DataFrame) -> DataFrame:
             run = np.cumsum(new) - 1
             ids, vs = np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], np.int64)
             out_bucket, out_kind, out_blob = [], [], []
-            # The first of each hash is sent for all; the others are candidates anyway and only want to know whether it is very common.
+            # The first of each hash is sent for all; the others are candidates anyway.
             for kind, mask in ((0, new), (1, ~new)):
                 if not mask.any():
                     continue
@@ -207,7 +207,7 @@ def _candidates(docs: DataFrame) -> DataFrame:
                 for b, lo, hi in zip(found.tolist(), bounds, bounds[1:], strict=False):
                     mine, back = np.unique(o[lo:hi], return_inverse=True)
                     x = hh[lo:hi] if kind == 0 else np.zeros(0, np.uint64)
-                    arrays = (ids[mine], vs[mine], back.astype(np.uint16 if len(mine) < 65536 else np.uint32), (p[lo:hi] | (np.int64(1) << 31) * (c[lo:hi] >= OFTEN)).astype(np.uint32), (x >> np.uint64(16)).astype(np.uint32), (x & np.uint64(0xFFFF)).astype(np.uint16), np.minimum(c[lo:hi], 65535).astype(np.uint16) if kind == 0 else np.zeros(0, np.uint16))
+                    arrays = (ids[mine], vs[mine], back.astype(np.uint16 if len(mine) < 65536 else np.uint32), p[lo:hi].astype(np.uint32), (x >> np.uint64(16)).astype(np.uint32), (x & np.uint64(0xFFFF)).astype(np.uint16), np.minimum(c[lo:hi], 65535).astype(np.uint16) if kind == 0 else np.zeros(0, np.uint16))
                     out_bucket.append(b)
                     out_kind.append(kind)
                     out_blob.append(np.array([len(a) for a in arrays] + [arrays[2].itemsize], np.int64).tobytes() + b"".join(a.tobytes() for a in arrays))
@@ -241,7 +241,10 @@ def _candidates(docs: DataFrame) -> DataFrame:
                 kept = by[total > 1]
                 ids.append(i[kept])
                 vs.append(v[kept])
-                places.append(p[kept] & np.uint32(0x7FFFFFFF) | np.where(total[total > 1] >= OFTEN, np.uint32(1 << 31), np.uint32(0)))
+                places.append(p[kept])
+                often = start[total[start] >= OFTEN]
+                if len(often):
+                    yield pa.RecordBatch.from_arrays([pa.array(h[by][often].view(np.int64)), pa.array(total[often]), pa.nulls(len(often), pa.binary())], ["id", "v", "places"])
             if not ids:
                 continue
             i, v, p = np.concatenate(ids), np.concatenate(vs), np.concatenate(places)
@@ -311,8 +314,10 @@ def settle(groups: list[list[tuple[bytes, int, int, int]]]) -> Iterator[tuple[in
             yield i, v, int(start + offset[lo]), int(start + offset[hi])
 
 
-def _removed(docs: DataFrame, found: DataFrame, n: int, buckets: int) -> DataFrame:
+def _removed(docs: DataFrame, found: DataFrame, buckets: int) -> DataFrame:
     """(id, v, first, last): removed runs of window starts."""
+    often = found.where("places IS NULL").orderBy(F.desc("v"), "id").limit(OFTEN_ANCHORS).select("id").toArrow()  # bounded by OFTEN_ANCHORS
+    common = docs.sparkSession.sparkContext.broadcast(np.sort(often.column(0).to_numpy()))
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held, sizes, data in _chunks(batches, 2):
@@ -320,12 +325,11 @@ def _removed(docs: DataFrame, found: DataFrame, n: int, buckets: int) -> DataFra
             pieces: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
             ends = np.searchsorted(owner, np.arange(len(held) + 1))
             for k, (i, v, raw, blobs) in enumerate(held):
-                marked = np.concatenate([np.frombuffer(b, np.uint32) for b in blobs])
-                at, often = marked & np.uint32(0x7FFFFFFF), np.sort(marked[marked >> np.uint32(31) > 0] & np.uint32(0x7FFFFFFF))
+                at = np.concatenate([np.frombuffer(b, np.uint32) for b in blobs])
                 lo, hi = ends[k], ends[k + 1]
                 mine = np.flatnonzero(np.isin(place[lo:hi], at)) + lo
-                common = np.isin(place[mine], often)
-                for key, a, b, c in zip(h[mine].tolist(), first[mine].tolist(), last[mine].tolist(), common.tolist(), strict=True):
+                often = np.isin(h[mine].view(np.int64), common.value)
+                for key, a, b, c in zip(h[mine].tolist(), first[mine].tolist(), last[mine].tolist(), often.tolist(), strict=True):
                     if c:
                         for s in range(a, b + 1):
                             w = raw[s : s + WIDTH]
@@ -362,7 +366,7 @@ def _removed(docs: DataFrame, found: DataFrame, n: int, buckets: int) -> DataFra
             if runs:
                 yield _run_rows(*map(list, zip(*runs, strict=True)))
 
-    joined = docs.join(found.groupBy("id", "v").agg(F.collect_list("places").alias("blobs")).hint("shuffle_hash"), ["id", "v"])
+    joined = docs.join(found.where("places IS NOT NULL").groupBy("id", "v").agg(F.collect_list("places").alias("blobs")).hint("shuffle_hash"), ["id", "v"])
     return exchanged(joined.select("id", "v", "t", "blobs").mapInArrow(send, "bucket long, places binary, bytes binary"), buckets).mapInArrow(judge, "id long, v long, first long, last long")
 
 
@@ -409,7 +413,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = staged(_candidates(rows))
     n = partitions(docs, 1.5, 24 << 20)
     dealt = rows.repartition(n, "id", "v")
-    runs = _removed(dealt, found, n, 4 * partitions(docs, 1.0, 12 << 20))
+    runs = _removed(dealt, found, 4 * partitions(docs, 1.0, 12 << 20))
     spans = runs.groupBy("id", "v").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     joined = dealt.join(spans.hint("shuffle_hash"), ["id", "v"], "left").select("id", "t", "runs")
 
