@@ -10,8 +10,8 @@ has a Jaccard similarity of percent / 100 or more; all is judged on the input.
    so no index list belongs to such a word alone. Of the lines of a list only those stay that have a partner of
    a fitting size (length filter), that can have enough in common by the bit maps of the sets and by what follows
    the word in both orders (positional filter). A line needs such partners for l words of its prefix.
-3. Lines that share a list are linked with its first; the components of these links are groups. The whole sets
-   of a group meet once and all pairs are verified. Groups of more than GROUP lines are cut into blocks; a line that no earlier line of its block
+3. Lines that may match within a list form groups, named by their first line, and a group goes over to a group of
+   that line. The whole sets of a group meet there and all pairs are verified. Groups of more than GROUP lines are cut into blocks; a line that no earlier line of its block
    matches then visits the group's other blocks.
 Equal lines within a chunk of documents are settled when the chunk is read: only the first is sent.
 """
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_bounds, bucketwise, components, exchanged, mixed, partitions, rows_of, staged, texts_of
+from .common import bucket_bounds, bucketwise, exchanged, mixed, partitions, rows_of, staged, texts_of
 from .ngram_join import _arrays, _blob, at_least, overlaps
 
 FREQUENT, GROUP = 100_000, 1024
@@ -293,9 +293,12 @@ def removed_lines(docs: DataFrame, dealt: DataFrame, percent: int = 80) -> DataF
     line = ["k", "line"]
     enough = lists.where("kind = 0").groupBy(*line, "uid").agg(F.sum("hits").alias("hits"), F.max("asked").alias("asked"), F.collect_set("group").alias("groups")).where("hits >= asked")  # groups: at most a prefix of one line
     lined = staged(enough.select(*line, "uid", "groups"))
-    root = components(lined.select(F.col("uid").alias("a"), F.explode("groups").alias("b"))).withColumnsRenamed({"node": "uid", "root": "group"})
-    sizes = root.groupBy("group").agg(F.count("*").alias("m"))
-    wanted = staged(lined.select(*line, "uid").join(root, "uid").join(sizes.where("m > 1"), "group").select(*line, "group"))
+    each = lined.select(*line, "uid", F.explode("groups").alias("group"))
+    # A group goes over to the least group of the line that it is named by: fewer groups for a line, none split.
+    over = lined.select(F.col("uid").alias("group"), F.array_min("groups").alias("least"))
+    moved = each.join(over, "group", "left").select(*line, F.coalesce("least", "group").alias("group")).distinct()
+    sizes = moved.groupBy("group").agg(F.count("*").alias("m")).where("m > 1")
+    wanted = staged(moved.join(sizes, "group").select(*line, "group"))
     sizes = wanted.groupBy("group").agg(F.count("*").alias("m"))
     large = staged(sizes.where(F.col("m") > GROUP))
     any_large = not large.isEmpty()
