@@ -82,7 +82,15 @@ class LineSets:
             a, b = mixed(self.keys), mixed(self.keys ^ np.uint64(0x5851F42D4C957F2D))
             sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x)]) for x in (a, b)]
             self.hashes = [x[self.starts + self.sizes] - x[self.starts] for x in sums]
-        self.bits = np.bitwise_or.reduceat(np.uint64(1) << (a >> np.uint64(58)), self.starts) if len(self.keys) else np.zeros(len(words), np.uint64)
+        # Bit maps of the words that a hash picks, about half of them, and how many these are.
+        picked = b & np.uint64(1) == 0
+        self.picked = np.bincount(line[picked], minlength=len(words))
+        self.bits = np.zeros((len(words), LONG_BITS), np.uint64)
+        place = (a >> np.uint64(50)).astype(np.int64) % (64 * LONG_BITS)
+        for w in range(LONG_BITS):
+            mine = picked & (place // 64 == w)
+            np.bitwise_or.at(self.bits[:, w], line[mine], np.uint64(1) << (place[mine] % 64).astype(np.uint64))
+        self.folded = np.bitwise_or.reduce(self.bits, axis=1)
 
     def set(self, i: int) -> np.ndarray:
         return self.keys[self.starts[i] : self.starts[i] + self.sizes[i]]
@@ -90,9 +98,12 @@ class LineSets:
 
 def shared_words(n):
     """How many words the prefixes of matching lines share at least, by the size of the smaller one; matching lines that aren't equal share two or more."""
-    return np.maximum(2, n // 10)
+    return np.minimum(2, n)
 
 
+#: Lines of so many words or more have bit maps of LONG_BITS words of 64 bits, shorter ones of one; lists are apart. Those
+#: that can match lines on the other side as well are listed on both.
+LONG, LONG_BITS = 128, 4
 #: Lists of up to so many lines are narrowed down to the pairs that bit maps leave; longer ones stay whole.
 LISTED = 8192
 
@@ -148,12 +159,12 @@ def listed(sets: LineSets, lines: np.ndarray, percent: int) -> tuple[np.ndarray,
     return np.concatenate(tokens), np.concatenate(owners), np.concatenate(places), asked
 
 
-def partnered(token: np.ndarray, uid: np.ndarray, bits: np.ndarray, n: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
+def partnered(token: np.ndarray, uid: np.ndarray, bits: np.ndarray, picked: np.ndarray, n: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
     """For rows sorted by (token, uid): the first row of those that it is connected with by pairs that may match; -1 without any."""
     out = np.full(len(token), -1, np.int64)
     start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
     count = np.diff(np.append(start, len(token)))
-    single = token < _TOP
+    single, columns = token < _TOP, [np.ascontiguousarray(b) for b in bits.T]
     for m in np.unique(count):
         runs = start[count == m]
         if m > LISTED:
@@ -166,7 +177,8 @@ def partnered(token: np.ndarray, uid: np.ndarray, bits: np.ndarray, n: np.ndarra
             x, y = row[:, :, None], row[:, None, :]
             both = n[x] + n[y]
             least = -(-percent * both // (100 + percent))  # what a matching pair shares
-            can = (both - np.bitwise_count(bits[x] ^ bits[y]).astype(np.int64)) // 2
+            apart = sum(np.bitwise_count(b[x] ^ b[y]).astype(np.int64) for b in columns)
+            can = (picked[x] + picked[y] - apart) // 2 + np.minimum(n[x] - picked[x], n[y] - picked[y])
             rest = np.minimum(at[x], at[y]) + np.minimum(n[x] - at[x], n[y] - at[y])
             fits = (np.minimum(can, np.where(single[x], rest, can)) >= least) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & (uid[x] != uid[y])
             label = np.broadcast_to(np.arange(m), row.shape).copy()
@@ -189,6 +201,19 @@ def _lists(docs: DataFrame, frequent, percent: int) -> DataFrame:
     """(kind, k, line, uid, group, hits, asked): lines that share a list (kind 0, one row for each group) and lines that an equal earlier one of their chunk matches (kind 1)."""
     buckets = 4 * partitions(docs, 0.9, 12 << 20)
 
+    def _posted(sets: LineSets, place: np.ndarray, chosen: np.ndarray, percent: int, kind: int) -> list[tuple]:
+        """Packed lists of these lines, by bucket; kind 0 with short bit maps, 2 with long ones."""
+        if not len(chosen):
+            return []
+        token, of, at, asked = listed(sets, chosen, percent)
+        if kind:
+            token = mixed(token) & ~_TOP | token & _TOP
+        by, found, bounds = bucket_bounds(token, buckets)
+        token, of, at = token[by], of[by], at[by].astype(np.int32)
+        k, line, n, need = np.ascontiguousarray(place[of, 1]), place[of, 2].astype(np.int32), sets.sizes[of].astype(np.int32), asked[of].astype(np.int8)
+        bits, picked = (sets.bits if kind else sets.folded[:, None])[of], sets.picked[of].astype(np.int32)
+        return [(b, kind, _blob(token[lo:hi], k[lo:hi], bits[lo:hi].ravel(), line[lo:hi], n[lo:hi], picked[lo:hi], at[lo:hi], need[lo:hi])) for b, lo, hi in zip(found.tolist(), bounds, bounds[1:], strict=False)]
+
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = OrderKeys(frequent.value)
         where: list[tuple[int, int, int]] = []
@@ -202,12 +227,8 @@ def _lists(docs: DataFrame, frequent, percent: int) -> DataFrame:
             head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
             # Equal to the first of its kind, but not in the same place (a repeated id).
             later = order[(place[order, 0] != place[head, 0]) | (place[order, 2] != place[head, 2])]
-            token, of, at, asked = listed(sets, order[new], percent)
-            by, found, bounds = bucket_bounds(token, buckets)
-            token, of, at = token[by], of[by], at[by].astype(np.int32)
-            k, line, n, need = np.ascontiguousarray(place[of, 1]), place[of, 2].astype(np.int32), sets.sizes[of].astype(np.int32), asked[of].astype(np.int8)
-            bits = sets.bits[of]
-            rows = [(b, 0, _blob(token[lo:hi], k[lo:hi], bits[lo:hi], line[lo:hi], n[lo:hi], at[lo:hi], need[lo:hi])) for b, lo, hi in zip(found.tolist(), bounds, bounds[1:], strict=False)]
+            chosen = order[new]
+            rows = _posted(sets, place, chosen[sets.sizes[chosen] < LONG], percent, 0) + _posted(sets, place, chosen[sets.sizes[chosen] >= at_least(LONG, percent)], percent, 2)
             if len(later):
                 by, found, bounds = bucket_bounds(mixed(place[later, 1].view(np.uint64)), buckets)
                 for b, lo, hi in zip(found.tolist(), bounds, bounds[1:], strict=False):
@@ -231,45 +252,49 @@ def _lists(docs: DataFrame, frequent, percent: int) -> DataFrame:
             yield sent()
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("kind", pa.int32()), ("k", pa.int64()), ("line", pa.int64()), ("uid", pa.int64()), ("group", pa.int64()), ("hits", pa.int64()), ("asked", pa.int64())])
         for _, rows in bucketwise(batches):
-            parts = []
+            by_kind: dict[int, list] = {0: [], 2: []}
             for kind, blob in rows:
-                if kind:
+                if kind == 1:
                     p = np.frombuffer(blob, np.int64).reshape(-1, 2)
                     zero = np.zeros(len(p), np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(zero.astype(np.int32) + 1), *(pa.array(np.ascontiguousarray(p[:, j])) for j in range(2)), *(pa.array(zero) for _ in range(4))], schema=schema)
                 else:
-                    parts.append(_arrays(blob, np.uint64, np.int64, np.uint64, np.int32, np.int32, np.int32, np.int8))
-            if not parts:
-                continue
-            token, k, bits, line, n, at, asked = (np.concatenate(x) for x in zip(*parts, strict=True))
-            line, n, at, asked = (x.astype(np.int64) for x in (line, n, at, asked))
-            uid = uids(k, line)
-            order = np.lexsort((uid, token))
-            same = token[order][1:] == token[order][:-1]
-            order = order[np.append(same, False) | np.append(False, same)]
-            token, k, bits, line, n, at, asked, uid = (x[order] for x in (token, k, bits, line, n, at, asked, uid))
-            if not len(token):
-                continue
-            lead = partnered(token, uid, bits, n, at, percent)
-            row = np.flatnonzero(lead >= 0)
-            lead = lead[row]
-            if not len(row):
-                continue
-            # A line counts each shared single word once; a row for each of its groups, the hits on the first.
-            hit = row[token[row] < _TOP]
-            ids, hits = np.unique(uid[hit], return_counts=True)
-            by = np.lexsort((uid[lead], uid[row]))
-            row, lead = row[by], lead[by]
-            fresh = np.append(True, (uid[row][1:] != uid[row][:-1]) | (uid[lead][1:] != uid[lead][:-1]))
-            row, lead = row[fresh], lead[fresh]
-            first = np.append(True, uid[row][1:] != uid[row][:-1])
-            found = np.zeros(len(row), np.int64)
-            if len(ids):
-                where = np.minimum(np.searchsorted(ids, uid[row]), len(ids) - 1)
-                found = np.where(first & (ids[where] == uid[row]), hits[where], 0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(row), np.int32)), pa.array(k[row]), pa.array(line[row]), pa.array(uid[row].view(np.int64)), pa.array(uid[lead].view(np.int64)), pa.array(found), pa.array(asked[row])], schema=schema)
+                    token, k, bits, *rest = _arrays(blob, np.uint64, np.int64, np.uint64, np.int32, np.int32, np.int32, np.int32, np.int8)
+                    by_kind[kind].append((token, k, bits.reshape(len(token), -1), *rest))
+            for parts in filter(None, by_kind.values()):
+                yield from narrowed(parts)
+
+    schema = pa.schema([("kind", pa.int32()), ("k", pa.int64()), ("line", pa.int64()), ("uid", pa.int64()), ("group", pa.int64()), ("hits", pa.int64()), ("asked", pa.int64())])
+
+    def narrowed(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        token, k, bits, line, n, picked, at, asked = (np.concatenate(x) for x in zip(*parts, strict=True))
+        line, n, picked, at, asked = (x.astype(np.int64) for x in (line, n, picked, at, asked))
+        uid = uids(k, line)
+        order = np.lexsort((uid, token))
+        same = token[order][1:] == token[order][:-1]
+        order = order[np.append(same, False) | np.append(False, same)]
+        token, k, bits, line, n, picked, at, asked, uid = (x[order] for x in (token, k, bits, line, n, picked, at, asked, uid))
+        if not len(token):
+            return
+        lead = partnered(token, uid, bits, picked, n, at, percent)
+        row = np.flatnonzero(lead >= 0)
+        lead = lead[row]
+        if not len(row):
+            return
+        # A line counts each shared single word once; a row for each of its groups, the hits on the first.
+        hit = row[token[row] < _TOP]
+        ids, hits = np.unique(uid[hit], return_counts=True)
+        by = np.lexsort((uid[lead], uid[row]))
+        row, lead = row[by], lead[by]
+        fresh = np.append(True, (uid[row][1:] != uid[row][:-1]) | (uid[lead][1:] != uid[lead][:-1]))
+        row, lead = row[fresh], lead[fresh]
+        first = np.append(True, uid[row][1:] != uid[row][:-1])
+        found = np.zeros(len(row), np.int64)
+        if len(ids):
+            where = np.minimum(np.searchsorted(ids, uid[row]), len(ids) - 1)
+            found = np.where(first & (ids[where] == uid[row]), hits[where], 0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(row), np.int32)), pa.array(k[row]), pa.array(line[row]), pa.array(uid[row].view(np.int64)), pa.array(uid[lead].view(np.int64)), pa.array(found), pa.array(asked[row])], schema=schema)
 
     packed = docs.select("id", "t", "k").mapInArrow(emit, "bucket long, kind int, blob binary")
     return exchanged(packed, buckets).mapInArrow(meet, "kind int, k long, line long, uid long, `group` long, hits long, asked long")
