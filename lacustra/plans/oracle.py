@@ -132,8 +132,8 @@ ORACLE_SQL: dict[str, str] = {
         count(*) FILTER (WHERE l_discount > 0.05::DOUBLE AND NOT l_tax > 0.04::DOUBLE) AS only_a, count(*) FILTER (WHERE l_discount > 0.05::DOUBLE AND l_tax > 0.04::DOUBLE) AS in_both,
         count(*) FILTER (WHERE isfinite({_P})) AS finite, count(*) FILTER (WHERE abs(l_discount - l_tax) > 0.02::DOUBLE) AS apart FROM lineitem""",
     "r1_resample_nearest": _resampled(60, 70, "nearest", 6),
-    "r1_resample_bilinear": _resampled(60, 150, "bilinear", 4),
-    "r1_resample_average": _resampled(30, 40, "average", 4),
+    "r1_resample_bilinear": _resampled(60, 150, "bilinear", 8),
+    "r1_resample_average": _resampled(30, 40, "average", 8),
     "r2_components": f"WITH RECURSIVE {_BODIES} SELECT row, col, body_id FROM body",
     "r3_shape_metrics": f"WITH RECURSIVE {_BODIES}, {_SHAPES} SELECT body_id, pixels, " + ", ".join(f"{_r(c)} AS {c}" for c in ("perimeter", "compactness", "elongation", "orientation")) + " FROM shape",
     "r4_water_stats": f"""WITH RECURSIVE {_BODIES}, z AS (SELECT body_id, count(*) AS n FROM body GROUP BY body_id)

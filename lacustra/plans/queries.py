@@ -188,12 +188,12 @@ def r1_resample_nearest(spark, sf_dir):
 
 @query
 def r1_resample_bilinear(spark, sf_dir):
-    return rounds(resample.resample(_orders(spark, sf_dir), (60, 150), "bilinear").df, 4)
+    return rounds(resample.resample(_orders(spark, sf_dir), (60, 150), "bilinear").df, 8)
 
 
 @query
 def r1_resample_average(spark, sf_dir):
-    return rounds(resample.resample(_orders(spark, sf_dir), (30, 40), "average").df, 4)
+    return rounds(resample.resample(_orders(spark, sf_dir), (30, 40), "average").df, 8)
 
 
 @query
