@@ -35,7 +35,7 @@ FREQUENT, GROUP = 100_000, 1024
 #: Of the frequent words the most frequent ones, which are listed in pairs only.
 COMMON = 2_000
 #: Lines that a task holds before it sends their prefixes.
-LINES = 40_000
+LINES = 16_000
 _TOP = np.uint64(1 << 63)
 _WORD = regex.compile(r"[\p{L}\p{N}]")
 
@@ -105,7 +105,9 @@ def shared_words(n):
 #: that can match lines on the other side as well are listed on both.
 LONG, LONG_BITS = 128, 4
 #: Lists of up to so many lines are narrowed down to the pairs that bit maps leave; longer ones stay whole.
-LISTED = 8192
+LISTED = 4096
+#: Pairs of lines that are compared at once.
+PAIRS = 250_000
 
 
 def frequent_words(docs: DataFrame) -> dict[bytes, int]:
@@ -165,29 +167,43 @@ def partnered(token: np.ndarray, uid: np.ndarray, bits: np.ndarray, picked: np.n
     start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
     count = np.diff(np.append(start, len(token)))
     single, columns = token < _TOP, [np.ascontiguousarray(b) for b in bits.T]
-    for m in np.unique(count):
+    def fits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        both = n[x] + n[y]
+        least = -(-percent * both // (100 + percent))  # what a matching pair shares
+        apart = sum(np.bitwise_count(b[x] ^ b[y]).astype(np.int64) for b in columns)
+        can = (picked[x] + picked[y] - apart) // 2 + np.minimum(n[x] - picked[x], n[y] - picked[y])
+        rest = np.minimum(at[x], at[y]) + np.minimum(n[x] - at[x], n[y] - at[y])
+        return (np.minimum(can, np.where(single[x], rest, can)) >= least) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & (uid[x] != uid[y])
+
+    for m in np.unique(count).tolist():
         runs = start[count == m]
         if m > LISTED:
             for s in runs:
                 out[s : s + m] = s
-            continue
-        step = max(1, 2_000_000 // (int(m) * int(m)))
-        for lo in range(0, len(runs), step):
-            row = runs[lo : lo + step, None] + np.arange(m)
-            x, y = row[:, :, None], row[:, None, :]
-            both = n[x] + n[y]
-            least = -(-percent * both // (100 + percent))  # what a matching pair shares
-            apart = sum(np.bitwise_count(b[x] ^ b[y]).astype(np.int64) for b in columns)
-            can = (picked[x] + picked[y] - apart) // 2 + np.minimum(n[x] - picked[x], n[y] - picked[y])
-            rest = np.minimum(at[x], at[y]) + np.minimum(n[x] - at[x], n[y] - at[y])
-            fits = (np.minimum(can, np.where(single[x], rest, can)) >= least) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & (uid[x] != uid[y])
-            label = np.broadcast_to(np.arange(m), row.shape).copy()
-            while True:
-                new = np.minimum(label, np.where(fits, label[:, None, :], m).min(2))
-                if (new == label).all():
-                    break
-                label = new
-            out[row] = np.where(fits.any(2), row[:, :1] + label, -1)
+        elif m * m > PAIRS:
+            step = max(1, PAIRS // m)
+            for s in runs:
+                row = np.arange(s, s + m)
+                may = np.concatenate([fits(row[lo : lo + step, None], row[None, :]) for lo in range(0, m, step)])
+                label = np.arange(m)
+                while True:
+                    new = np.minimum(label, np.concatenate([np.where(may[lo : lo + step], label[None, :], m).min(1) for lo in range(0, m, step)]))
+                    if (new == label).all():
+                        break
+                    label = new
+                out[row] = np.where(may.any(1), s + label, -1)
+        else:
+            step = max(1, PAIRS // (m * m))
+            for lo in range(0, len(runs), step):
+                row = runs[lo : lo + step, None] + np.arange(m)
+                may = fits(row[:, :, None], row[:, None, :])
+                label = np.broadcast_to(np.arange(m), row.shape).copy()
+                while True:
+                    new = np.minimum(label, np.where(may, label[:, None, :], m).min(2))
+                    if (new == label).all():
+                        break
+                    label = new
+                out[row] = np.where(may.any(2), row[:, :1] + label, -1)
     return out
 
 
