@@ -284,3 +284,14 @@ def test_suffix_order(letters):
 def test_digest_columns(spark, ranks):
     rows = bpe.digest(bpe.decode(bpe.encode(hard_documents(spark), ranks, public_tokenizers.PATTERN), ranks)).where("doc_id = 2").collect()
     assert rows[0]["n_tokens"] == 0 and rows[0]["ids_sha256"] == rows[0]["decoded_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_lists_are_narrowed_alike_in_any_pieces(monkeypatch):
+    rng = np.random.default_rng(6)
+    sizes = rng.integers(5, 12, 300)
+    sets = line_dedup.LineSets([[f"w{rng.integers(40)}".encode() for _ in range(k)] for k in sizes], line_dedup.OrderKeys({}))
+    token, at = np.zeros(300, np.uint64), np.zeros(300, np.int64)
+    uid = np.sort(rng.permutation(300).astype(np.uint64))
+    whole = line_dedup.partnered(token, uid, sets.bits, sets.picked, sets.sizes, at, 80)
+    monkeypatch.setattr(line_dedup, "PAIRS", 500)
+    assert (line_dedup.partnered(token, uid, sets.bits, sets.picked, sets.sizes, at, 80) == whole).all() and (whole >= 0).any()
