@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacustra.llm import bpe, decontaminate, line_dedup, ngram_join, toxicity
-from lacustra.llm.common import staged
+from lacustra.llm.common import modest, staged
 
 #: Documents of this score or more are rejected.
 TOXIC = 0.7
@@ -19,12 +19,13 @@ TOXIC = 0.7
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that a weighted lexicon, learned from all labelled rows, finds toxic."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    labels = modest(spark).read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.rejected(docs, toxicity.train(docs, labels), TOXIC)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without lines that an earlier line matches; n_chars follows; documents of which no word is left go."""
+    modest(spark)
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     done = line_dedup.deduplicated(docs, percent=80, carry=others)
     left = done.where((F.col("n_removed") == 0) | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
@@ -39,6 +40,7 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     Documents with a null id link with nothing and stay; of rows that repeat an id one stays.
     """
+    modest(spark)
     groups = ngram_join.similar(docs, n=5, percent=80)
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
     return docs.where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
@@ -51,6 +53,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and the text decoded from them."""
+    modest(spark)
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     done = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").cast("string").alias("text"))

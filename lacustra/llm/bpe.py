@@ -21,10 +21,10 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_of
+from .common import lean, rows_of
 
 #: Characters of text whose distinct pieces are encoded together, and distinct pieces at most.
-CHUNK_CHARS, CHUNK_PIECES = 12 << 20, 400_000
+CHUNK_CHARS, CHUNK_PIECES = 8 << 20, 250_000
 #: Longer texts are cut into pieces part by part.
 PART_CHARS = 1 << 20
 
@@ -211,7 +211,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
                     yield from ready()
         yield from ready()
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(lean(run), f"`{id_col}` {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -242,7 +242,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id",
                 found = pa.Array.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(out)])
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, found.cast(pa.binary())], [id_col, ids_col, "decoded"])
 
-    return encoded.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, `{ids_col}` array<int>, decoded binary")
+    return encoded.select(id_col, ids_col).mapInArrow(lean(run), f"`{id_col}` {kind}, `{ids_col}` array<int>, decoded binary")
 
 
 def digest(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacustra.operators.graph import components  # noqa: F401  for the operators
@@ -35,6 +36,27 @@ def partitions(df: DataFrame, ratio: float = 1.0, target: int = 24 << 20) -> int
     return int(min(max(least, size // target + 1), 1 << 20))
 
 
+def lean(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, giving memory back to the system when its task is done: worker processes live on, idle, between tasks."""
+
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return whole
+
+
+def modest(spark: SparkSession) -> SparkSession:
+    """The session with Arrow batches of 1000 rows unless it sets a size itself: rows here are whole texts."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return spark
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """splitmix64's finalizer over uint64."""
     x = x ^ (x >> np.uint64(30))

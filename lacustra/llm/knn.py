@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import rows_of, staged
+from .common import lean, rows_of, staged
 
 #: The sample that pivots come from, and pivots for each dimension.
 SAMPLE, PIVOTS = 4096, 16
@@ -141,8 +141,8 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         for g in list(held):
             yield block(g)
 
-    blocks = staged(d.mapInArrow(grouped, schema))
-    asked = staged(queries.select("id", "v", F.size("v").alias("dim")).where("dim > 0").mapInArrow(grouped, schema))
+    blocks = staged(d.mapInArrow(lean(grouped), schema))
+    asked = staged(queries.select("id", "v", F.size("v").alias("dim")).where("dim > 0").mapInArrow(lean(grouped), schema))
     summary = {(r["dim"], r["cell"]): (r["n"], r["radius"]) for r in blocks.groupBy("dim", "cell").agg(F.sum("n").alias("n"), F.max("radius").alias("radius")).collect()}  # a row for each cell
     groups = {(r["dim"], r["cell"]): r["radius"] for r in asked.groupBy("dim", "cell").agg(F.max("radius").alias("radius")).collect()}
     needed = [(dim, int(q), int(c)) for dim, q, c in _needed(pivots, summary, groups, k)]
@@ -173,7 +173,7 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                 r, c = np.concatenate(rows), np.concatenate(cols)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 256][r]), pa.array(d_ids[c]), pa.array(scores[r, c])], schema=kind)
 
-    found = met.mapInArrow(solved, "query_id long, vec_id long, score long").dropDuplicates()
+    found = met.mapInArrow(lean(solved), "query_id long, vec_id long, score long").dropDuplicates()
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

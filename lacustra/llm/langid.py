@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, rows_of, sliced
+from .common import lean, mixed, rows_of, sliced
 
 SLOTS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -125,10 +125,10 @@ def train(rows: DataFrame, text_col: str = "text", label_col: str = "lang") -> L
             held += np.frombuffer(counts, np.int64)
         yield pa.RecordBatch.from_pydict({"l": list(sums), "c": [v.tobytes() for v in sums.values()]}, pa.schema([("l", pa.string()), ("c", pa.binary())]))
 
-    partial = rows.mapInArrow(count, "l string, c binary").withColumn("g", F.spark_partition_id())
+    partial = rows.mapInArrow(lean(count), "l string, c binary").withColumn("g", F.spark_partition_id())
     groups = max(1, round(rows.rdd.getNumPartitions() ** 0.5))
-    partial = partial.repartition(groups, F.pmod("g", F.lit(groups))).select("l", "c").mapInArrow(total, "l string, c binary")
-    summed = partial.repartition(max(1, min(groups, 32)), "l").mapInArrow(total, "l string, c binary").collect()  # a row of SLOTS counts for each language
+    partial = partial.repartition(groups, F.pmod("g", F.lit(groups))).select("l", "c").mapInArrow(lean(total), "l string, c binary")
+    summed = partial.repartition(max(1, min(groups, 32)), "l").mapInArrow(lean(total), "l string, c binary").collect()  # a row of SLOTS counts for each language
     if len(summed) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     found = sorted((r["l"], np.frombuffer(bytes(r["c"]), np.int64)) for r in summed) if len({r["l"] for r in summed}) == len(summed) else []
@@ -161,7 +161,7 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
                     scores += s
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [id_col, "lang_pred", "score"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"`{id_col}` {kind}, lang_pred string, score double")
 
 
 def held_out(id_col: Column, folds: int, remainder: int) -> Column:

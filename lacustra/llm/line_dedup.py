@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_bounds, bucketwise, exchanged, mixed, partitions, rows_of, staged, texts_of
+from .common import bucket_bounds, bucketwise, exchanged, lean, mixed, partitions, rows_of, staged, texts_of
 from .ngram_join import _arrays, _blob, at_least, overlaps
 
 FREQUENT, GROUP = 100_000, 1024
@@ -123,11 +123,11 @@ def frequent_words(docs: DataFrame) -> dict[bytes, int]:
 
         for (text,) in rows_of(batches):
             found.update((text or "").encode("utf-8", "replace").lower().split())
-            if len(found) > 500_000:
+            if len(found) > 250_000:
                 yield out()
         yield out()
 
-    top = docs.select("t").mapInArrow(run, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(FREQUENT).select("w").toArrow()  # bounded by FREQUENT
+    top = docs.select("t").mapInArrow(lean(run), "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(FREQUENT).select("w").toArrow()  # bounded by FREQUENT
     return {w: len(top) - 1 - i for i, w in enumerate(top.column(0).to_pylist())}
 
 
@@ -312,8 +312,8 @@ def _lists(docs: DataFrame, frequent, percent: int) -> DataFrame:
             found = np.where(first & (ids[where] == uid[row]), hits[where], 0)
         yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(row), np.int32)), pa.array(k[row]), pa.array(line[row]), pa.array(uid[row].view(np.int64)), pa.array(uid[lead].view(np.int64)), pa.array(found), pa.array(asked[row])], schema=schema)
 
-    packed = docs.select("id", "t", "k").mapInArrow(emit, "bucket long, kind int, blob binary")
-    return exchanged(packed, buckets).mapInArrow(meet, "kind int, k long, line long, uid long, `group` long, hits long, asked long")
+    packed = docs.select("id", "t", "k").mapInArrow(lean(emit), "bucket long, kind int, blob binary")
+    return exchanged(packed, buckets).mapInArrow(lean(meet), "kind int, k long, line long, uid long, `group` long, hits long, asked long")
 
 
 def matched(rows: list[tuple[int, int, bytes]], percent: int) -> np.ndarray:
@@ -357,7 +357,7 @@ def removed_lines(docs: DataFrame, dealt: DataFrame, percent: int = 80) -> DataF
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 4096], strict=True), kinds, strict=True)], ["group", "id", "k", "line", "s"])
 
-    members = dealt.join(per_doc.hint("shuffle_hash"), "k").select("id", "t", "k", "asked").mapInArrow(sets, "`group` long, id long, k long, line long, s binary")
+    members = dealt.join(per_doc.hint("shuffle_hash"), "k").select("id", "t", "k", "asked").mapInArrow(lean(sets), "`group` long, id long, k long, line long, s binary")
     if any_large:
         members = staged(members).join(large, "group", "left").withColumn("block", F.when(F.col("m").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("id", "line"), F.ceil(F.col("m") / F.lit(GROUP // 2)))).cast("long"))
     else:
@@ -390,7 +390,7 @@ def removed_lines(docs: DataFrame, dealt: DataFrame, percent: int = 80) -> DataF
         if ready:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*ready, strict=True), kinds, strict=True)], names)
 
-    solved = blocked.mapInArrow(solve, "`group` long, block long, id long, k long, line long, m long, gone boolean, s binary")
+    solved = blocked.mapInArrow(lean(solve), "`group` long, block long, id long, k long, line long, m long, gone boolean, s binary")
     if not any_large:
         return at_once.union(solved.where("gone").select(*line)).distinct()
     solved = staged(solved)
@@ -421,7 +421,7 @@ def removed_lines(docs: DataFrame, dealt: DataFrame, percent: int = 80) -> DataF
         if held:
             yield out(held)
 
-    crossed = hosts.union(visits).repartition(parts, "group", "block").sortWithinPartitions("group", "block").mapInArrow(visit, "k long, line long")
+    crossed = hosts.union(visits).repartition(parts, "group", "block").sortWithinPartitions("group", "block").mapInArrow(lean(visit), "k long, line long")
     return at_once.union(gone).union(crossed).distinct()
 
 
@@ -459,5 +459,5 @@ def deduplicated(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), part.column(3)], ["id", "n_lines", "n_removed", "kept", "rest"])
 
     kind = joined.schema["rest"].dataType.simpleString()
-    done = joined.mapInArrow(cut, f"id long, n_lines long, n_removed long, kept string, rest {kind}")
+    done = joined.mapInArrow(lean(cut), f"id long, n_lines long, n_removed long, kept string, rest {kind}")
     return done.select(F.nullif("id", F.lit(-(1 << 63))).alias(id_col), "n_lines", "n_removed", "kept", "rest")

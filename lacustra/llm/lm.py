@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, rows_of, staged, texts_of
+from .common import lean, mixed, rows_of, staged, texts_of
 
 #: Slots of each predictor's table (two counts each), predictors, and slices in which tables are summed.
 SLOT_BITS, PREDICTORS, SLICES = 19, 5, 8
@@ -205,7 +205,7 @@ def gather_tokens(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 yield from out()
         yield from out()
 
-    return docs.select(text_col).mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return docs.select(text_col).mapInArrow(lean(run), "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def word_counts(tokens: DataFrame) -> DataFrame:
@@ -221,7 +221,7 @@ def word_counts(tokens: DataFrame) -> DataFrame:
                     found[b" "] += n
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "c"])
 
-    return tokens.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return tokens.mapInArrow(lean(run), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def train(tokens: DataFrame, n_tokens: int) -> Mixer:
@@ -259,7 +259,7 @@ def train(tokens: DataFrame, n_tokens: int) -> Mixer:
         for k, v in sums.items():
             yield pa.RecordBatch.from_pydict({"k": [k], "c": [_packed(v.astype(np.float32))]}, pa.schema([("k", pa.int32()), ("c", pa.binary())]))
 
-    summed = table.mapInArrow(count, "k int, c binary").repartition(PREDICTORS * SLICES, "k").mapInArrow(total, "k int, c binary")
+    summed = table.mapInArrow(lean(count), "k int, c binary").repartition(PREDICTORS * SLICES, "k").mapInArrow(lean(total), "k int, c binary")
     zeros, ones = np.zeros((PREDICTORS, SLOTS), np.float32), np.zeros((PREDICTORS, SLOTS), np.float32)
     step = SLOTS // SLICES
     for r in summed.toLocalIterator():  # tables of fixed size
@@ -303,7 +303,7 @@ def train(tokens: DataFrame, n_tokens: int) -> Mixer:
             yield pa.RecordBatch.from_pydict({"g": [0], "c": [held.tobytes()]}, pa.schema([("g", pa.int32()), ("c", pa.binary())]))
 
     groups = max(1, round(parts**0.5))
-    learned = table.mapInArrow(learn, "g int, c binary").withColumn("g", F.pmod(F.spark_partition_id(), F.lit(groups))).repartition(groups, "g").mapInArrow(add, "g int, c binary")
+    learned = table.mapInArrow(lean(learn), "g int, c binary").withColumn("g", F.pmod(F.spark_partition_id(), F.lit(groups))).repartition(groups, "g").mapInArrow(lean(add), "g int, c binary")
     got = sorted(bytes(r["c"]) for r in learned.collect())  # about the root of the number of parts, 15 KB each
     if not got:
         return fresh
@@ -414,7 +414,7 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
             ledger.trim()
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("t"), F.col(id_col))
-    scored = numbered.mapInArrow(run, schema)
+    scored = numbered.mapInArrow(lean(run), schema)
     # A text without rare words gets a word of its own that no text has, so that such rows don't meet in one task.
     own = F.concat(F.lit("\t").cast("binary"), F.col("row").cast("string").cast("binary"))
     rare = scored.withColumn("word", F.explode(F.when(F.size("rare") > 0, F.col("rare")).otherwise(F.array(own)))).drop("rare")

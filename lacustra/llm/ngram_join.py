@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_bounds, bucketwise, components, exchanged, mixed, partitions, rows_of, staged, texts_of
+from .common import bucket_bounds, bucketwise, components, exchanged, lean, mixed, partitions, rows_of, staged, texts_of
 
 #: Shingles that are broadcast with the id of their group; 16 bytes each.
 HOT = 200_000
@@ -143,7 +143,7 @@ def profiles(docs: DataFrame, n: int) -> DataFrame:
         if total:
             yield repeated()
 
-    return docs.mapInArrow(run, "kind int, id long, n long, digest binary, ref long")
+    return docs.mapInArrow(lean(run), "kind int, id long, n long, digest binary, ref long")
 
 
 def _memberships(docs: DataFrame, n: int, percent: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -248,8 +248,8 @@ def _memberships(docs: DataFrame, n: int, percent: int, hot: tuple[np.ndarray, n
                 count[first] = hits[np.searchsorted(docs_found, pairs[0, first])]
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[1]), pa.array(pairs[0]), pa.array(pairs[2]), pa.array(count)], schema=schema)
 
-    packed = docs.mapInArrow(prefixes, "bucket long, kind int, blob binary")
-    return exchanged(packed, buckets).mapInArrow(met, "group long, id long, n long, hits long")
+    packed = docs.mapInArrow(lean(prefixes), "bucket long, kind int, blob binary")
+    return exchanged(packed, buckets).mapInArrow(lean(met), "group long, id long, n long, hits long")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -339,7 +339,7 @@ def _joined(members: DataFrame, percent: int, parts: int) -> DataFrame:
         if held:
             yield solve(held)
 
-    return members.repartition(parts, "group", "block").sortWithinPartitions("group", "block", "id").mapInArrow(run, "a long, b long")
+    return members.repartition(parts, "group", "block").sortWithinPartitions("group", "block", "id").mapInArrow(lean(run), "a long, b long")
 
 
 def _crossed(members: DataFrame, percent: int, parts: int) -> DataFrame:
@@ -364,7 +364,7 @@ def _crossed(members: DataFrame, percent: int, parts: int) -> DataFrame:
         if held:
             yield solve(held)
 
-    return members.repartition(parts, "group", "x", "y").sortWithinPartitions("group", "x", "y").mapInArrow(run, "a long, b long")
+    return members.repartition(parts, "group", "x", "y").sortWithinPartitions("group", "x", "y").mapInArrow(lean(run), "a long, b long")
 
 
 def join_groups(members: DataFrame, large: DataFrame, percent: int, parts: int) -> DataFrame:
@@ -434,7 +434,7 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_i
                 g, k, s = zip(*out[at : at + 256], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(k, pa.int64()), pa.array(s, pa.binary())], ["group", "id", "s"])
 
-    members = rows.join(wanted.hint("shuffle_hash"), "id").select("id", "t", "groups").mapInArrow(sets, "group long, id long, s binary")
+    members = rows.join(wanted.hint("shuffle_hash"), "id").select("id", "t", "groups").mapInArrow(lean(sets), "group long, id long, s binary")
     links = join_groups(members, large, percent, partitions(docs, 2.0))
     twice = base.where("digest IS NOT NULL AND id IS NOT NULL").join(classes, "digest").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     # Copies of a class hang on its first; only firsts (and repeated ids) take part in the search for components.

@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, knn, langid, line_dedup, lm, ngram_join, sharding, suffix_dedup, toxicity
+from .common import modest
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return modest(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str, ranks_path: str | None = None) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import estimated_bytes, staged
+from .common import estimated_bytes, lean, staged
 
 #: Bytes of records that a bucket holds on average.
 BUCKET_BYTES = 16 << 20
@@ -82,7 +82,7 @@ def shuffled_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if held:
             yield from out(held)
 
-    return sent.mapInArrow(run, schema)
+    return sent.mapInArrow(lean(run), schema)
 
 
 def with_slots(shuffled: DataFrame) -> DataFrame:

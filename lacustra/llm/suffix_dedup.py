@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_bounds, bucketwise, exchanged, mixed, partitions, rows_of, sliced, staged
+from .common import bucket_bounds, bucketwise, exchanged, lean, mixed, partitions, rows_of, sliced, staged
 
 WIDTH, GRAM = 100, 40
 SPAN = WIDTH - GRAM + 1
@@ -254,8 +254,8 @@ def _candidates(docs: DataFrame) -> DataFrame:
             blobs = [x.tobytes() for x in np.split(p, start[1:])] if len(i) else []
             yield pa.RecordBatch.from_arrays([pa.array(i[start]), pa.array(v[start]), pa.array(blobs, pa.binary())], ["id", "v", "places"])
 
-    packed = docs.mapInArrow(emit, "bucket long, kind int, blob binary")
-    return exchanged(packed, buckets).mapInArrow(meet, "id long, v long, places binary")
+    packed = docs.mapInArrow(lean(emit), "bucket long, kind int, blob binary")
+    return exchanged(packed, buckets).mapInArrow(lean(meet), "id long, v long, places binary")
 
 
 def _run_rows(ids: list[int], vs: list[int], first: list[int], last: list[int]) -> pa.RecordBatch:
@@ -367,7 +367,7 @@ def _removed(docs: DataFrame, found: DataFrame, buckets: int) -> DataFrame:
                 yield _run_rows(*map(list, zip(*runs, strict=True)))
 
     joined = docs.join(found.where("places IS NOT NULL").groupBy("id", "v").agg(F.collect_list("places").alias("blobs")).hint("shuffle_hash"), ["id", "v"])
-    return exchanged(joined.select("id", "v", "t", "blobs").mapInArrow(send, "bucket long, places binary, bytes binary"), buckets).mapInArrow(judge, "id long, v long, first long, last long")
+    return exchanged(joined.select("id", "v", "t", "blobs").mapInArrow(lean(send), "bucket long, places binary, bytes binary"), buckets).mapInArrow(lean(judge), "id long, v long, first long, last long")
 
 
 def merged_runs(runs: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
@@ -436,5 +436,5 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    done = joined.mapInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    done = joined.mapInArrow(lean(cut), "id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return done.select(F.nullif("id", F.lit(-(1 << 63))).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_of, staged
+from .common import lean, rows_of, staged
 
 #: Bounds of the labelled sample, in rows.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 3000, 12000
@@ -128,7 +128,7 @@ def _counted(rows: DataFrame, only: object = None) -> DataFrame:
         if found:
             yield pa.RecordBatch.from_pydict({"f": list(found), "n": list(found.values())})
 
-    return rows.select("t").mapInArrow(run, "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
+    return rows.select("t").mapInArrow(lean(run), "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
 
 
 def learn_lexicon(toxic: list[tuple[int, ...]], names: list[str], positive: np.ndarray, negative: np.ndarray, n_toxic: int, n_clean: int) -> dict[str, float]:
@@ -213,7 +213,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             out = [[at[f] for f in sorted(features(fold(t))) if f in at] for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32()))], ["x"])
 
-    rows = [tuple(r["x"]) for r in toxic.select("t").mapInArrow(incidence, "x array<int>").collect()]  # bounded by SAMPLE_TOXIC
+    rows = [tuple(r["x"]) for r in toxic.select("t").mapInArrow(lean(incidence), "x array<int>").collect()]  # bounded by SAMPLE_TOXIC
     lexicon = learn_lexicon(sorted(rows), names, np.array([g[1] for g in good], float), np.array([g[2] for g in good], float), n_toxic, n_clean)
     model = ToxicityModel(lexicon)
     model.exceptions = _exceptions(sample, model)
@@ -236,7 +236,7 @@ def _exceptions(sample: DataFrame, model: ToxicityModel) -> frozenset[str]:
             found.update((p, y) for p in own)
         yield pa.RecordBatch.from_pydict({"p": [p for p, _ in found], "y": [y for _, y in found], "n": list(found.values())}, pa.schema([("p", pa.string()), ("y", pa.int32()), ("n", pa.int64())]))
 
-    by = sample.select("t", "y").mapInArrow(run, "p string, y int, n long").groupBy("p").agg(F.sum(F.expr("IF(y = 0, n, 0)")).alias("c"), F.sum(F.expr("IF(y = 1, n, 0)")).alias("x"))
+    by = sample.select("t", "y").mapInArrow(lean(run), "p string, y int, n long").groupBy("p").agg(F.sum(F.expr("IF(y = 0, n, 0)")).alias("c"), F.sum(F.expr("IF(y = 1, n, 0)")).alias("x"))
     return frozenset(r["p"] for r in by.where("c >= 2 AND x = 0").orderBy(F.desc("c"), "p").limit(ENTRIES).collect())
 
 
@@ -253,7 +253,7 @@ def _weighed(rows: DataFrame, model: ToxicityModel, key: str) -> DataFrame:
                 score = [m.score(*g) for g in got]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.int64()), pa.array(score, pa.float64())], [key, "w", "n", "score"])
 
-    return rows.select(key, "t").mapInArrow(run, f"`{key}` {kind}, w double, n long, score double")
+    return rows.select(key, "t").mapInArrow(lean(run), f"`{key}` {kind}, w double, n long, score double")
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -276,4 +276,4 @@ def rejected(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> D
                 part = batch.slice(k, 512)
                 yield part.filter(pa.array([m.score(*m.weigh(fold(t))) < threshold for t in part.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
