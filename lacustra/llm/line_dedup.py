@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_bounds, bucketwise, exchanged, lean, mixed, partitions, rows_of, staged, texts_of
+from .common import bucket_bounds, bucketwise, exchanged, lean, mixed, most_frequent, partitions, rows_of, staged, texts_of
 from .ngram_join import _arrays, _blob, at_least, overlaps
 
 FREQUENT, GROUP = 100_000, 1024
@@ -127,7 +127,8 @@ def frequent_words(docs: DataFrame) -> dict[bytes, int]:
                 yield out()
         yield out()
 
-    top = docs.select("t").mapInArrow(lean(run), "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(FREQUENT).select("w").toArrow()  # bounded by FREQUENT
+    counts = staged(docs.select("t").mapInArrow(lean(run), "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")))
+    top = most_frequent(counts, "n", FREQUENT, "w").select("w").toArrow()  # bounded by FREQUENT
     return {w: len(top) - 1 - i for i, w in enumerate(top.column(0).to_pylist())}
 
 

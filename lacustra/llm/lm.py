@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, mixed, rows_of, staged, texts_of
+from .common import lean, mixed, most_frequent, rows_of, staged, texts_of
 
 #: Slots of each predictor's table (two counts each), predictors, and slices in which tables are summed.
 SLOT_BITS, PREDICTORS, SLICES = 19, 5, 8
@@ -383,9 +383,9 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
     n, v = size["n"] or 0, size["v"]
     mixer = train(tokens, tokens.count())
     model = spark.sparkContext.broadcast(mixer)
-    frequent = spark.sparkContext.broadcast({bytes(r["word"]): float(np.log10(r["c"] + 0.1)) for r in counts.orderBy(F.desc("c"), "word").limit(FREQUENT).collect()})  # bounded by FREQUENT
+    frequent = spark.sparkContext.broadcast({bytes(r["word"]): float(np.log10(r["c"] + 0.1)) for r in most_frequent(counts, "c", FREQUENT, "word").collect()})  # bounded by FREQUENT
     # The costs of the most frequent tokens are worked out once instead of in every task.
-    often_seen = [bytes(r["token"]) for r in tokens.orderBy(F.desc("n"), "token").limit(FREQUENT).select("token").collect()]  # bounded by FREQUENT
+    often_seen = [bytes(r["token"]) for r in most_frequent(tokens, "n", FREQUENT, "token").select("token").collect()]  # bounded by FREQUENT
     usual = spark.sparkContext.broadcast({t: c for at in range(0, len(often_seen), 8192) for t, c in zip(often_seen[at : at + 8192], mixer.costs(often_seen[at : at + 8192]).tolist(), strict=True)})
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     schema = f"row long, `{id_col}` {kind}, n_tokens long, known long, sure double, score double, n_bytes long, rare array<binary>"

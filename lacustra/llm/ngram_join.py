@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_bounds, bucketwise, components, exchanged, lean, mixed, partitions, rows_of, staged, texts_of
+from .common import bucket_bounds, bucketwise, components, exchanged, lean, mixed, most_frequent, partitions, rows_of, staged, texts_of
 
 #: Shingles that are broadcast with the id of their group; 16 bytes each.
 HOT = 200_000
@@ -410,7 +410,8 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_i
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     profile = staged(profiles(rows, n))
     base = profile.where("kind = 0").select("id", "n", "digest")
-    top = profile.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n"), F.min("ref").alias("ref")).where("n >= 8").orderBy(F.desc("n"), "id").limit(HOT).select("id", "ref").toArrow()  # bounded by HOT
+    repeated = staged(profile.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n"), F.min("ref").alias("ref")).where("n >= 8"))
+    top = most_frequent(repeated, "n", HOT, "id").select("id", "ref").toArrow()  # bounded by HOT
     keys, refs = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy()
     order = np.argsort(keys)
     hot = (keys[order].copy(), refs[order].copy())

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_bounds, bucketwise, exchanged, lean, mixed, partitions, rows_of, sliced, staged
+from .common import bucket_bounds, bucketwise, exchanged, lean, mixed, most_frequent, partitions, rows_of, sliced, staged
 
 WIDTH, GRAM = 100, 40
 SPAN = WIDTH - GRAM + 1
@@ -316,7 +316,7 @@ def settle(groups: list[list[tuple[bytes, int, int, int]]]) -> Iterator[tuple[in
 
 def _removed(docs: DataFrame, found: DataFrame, buckets: int) -> DataFrame:
     """(id, v, first, last): removed runs of window starts."""
-    often = found.where("places IS NULL").orderBy(F.desc("v"), "id").limit(OFTEN_ANCHORS).select("id").toArrow()  # bounded by OFTEN_ANCHORS
+    often = most_frequent(found.where("places IS NULL"), "v", OFTEN_ANCHORS, "id").select("id").toArrow()  # bounded by OFTEN_ANCHORS
     common = docs.sparkSession.sparkContext.broadcast(np.sort(often.column(0).to_numpy()))
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
