@@ -360,7 +360,8 @@ def removed_lines(docs: DataFrame, dealt: DataFrame, percent: int = 80) -> DataF
 
     members = dealt.join(per_doc.hint("shuffle_hash"), "k").select("id", "t", "k", "asked").mapInArrow(lean(sets), "`group` long, id long, k long, line long, s binary")
     if any_large:
-        members = staged(members).join(large, "group", "left").withColumn("block", F.when(F.col("m").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("id", "line"), F.ceil(F.col("m") / F.lit(GROUP // 2)))).cast("long"))
+        block = F.when(F.col("m").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("id", "line"), F.ceil(F.col("m") / F.lit(GROUP // 2)))).cast("long")
+        members = staged(members.join(large, "group", "left").withColumn("block", block))
     else:
         members = members.withColumns({"m": F.lit(None).cast("long"), "block": F.lit(0).cast("long")})
     parts = partitions(docs, 1.0)
