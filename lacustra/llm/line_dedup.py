@@ -227,7 +227,7 @@ def _lists(docs: DataFrame, frequent, percent: int) -> DataFrame:
             token = mixed(token) & ~_TOP | token & _TOP
         by, found, bounds = bucket_bounds(token, buckets)
         token, of, at = token[by], of[by], at[by].astype(np.int32)
-        k, line, n, need = np.ascontiguousarray(place[of, 1]), place[of, 2].astype(np.int32), sets.sizes[of].astype(np.int32), asked[of].astype(np.int8)
+        k, line, n, need = np.ascontiguousarray(place[of, 1]), place[of, 2].astype(np.int32), sets.sizes[of].astype(np.int32), np.maximum(asked, 0).astype(np.int8)[of]  # below 0 nothing is asked either
         bits, picked = (sets.bits if kind else sets.folded[:, None])[of], sets.picked[of].astype(np.int32)
         return [(b, kind, _blob(token[lo:hi], k[lo:hi], bits[lo:hi].ravel(), line[lo:hi], n[lo:hi], picked[lo:hi], at[lo:hi], need[lo:hi])) for b, lo, hi in zip(found.tolist(), bounds, bounds[1:], strict=False)]
 
