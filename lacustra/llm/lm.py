@@ -5,39 +5,46 @@ predictors guess each bit from hashed contexts within the token (none, one, two
 beginning). Their guesses are mixed in the logistic domain by weights that a gate selects (how well its
 context is known, bit position, first byte or later), and an adaptive table refines the mixture. All the bits' costs sum up.
 
-Because contexts end at a token's borders, a token's cost is a function of the token. So all training documents
-are gathered as one table of distinct tokens with their counts (it grows with the corpus and stays
-distributed); bit counts are summed over that whole table into hashed tables of fixed size; the weights are
-learned online, token batch after token batch, in each part of the table and averaged. In learning, a token's
-own occurrence is taken out of the counts first, so that the weights suit texts not seen. Scoring is a scan with
-the fixed-size tables broadcast.
-
-The word-level base score needs exact counts of all words, which no broadcast can hold: the FREQUENT most
-frequent words are broadcast, all other words of a text are joined with the counts by a shuffle.
+Because contexts end at a token's borders, a token's cost is a function of the token. So all tokens of the texts and
+of the training documents are gathered as one table of distinct tokens with their training counts (it grows with
+the corpus and stays distributed), dealt into parts of about PART tokens:
+
+1. Each part names the (context, next byte) pairs of its tokens and sends them with their counts to buckets of
+   contexts. A bucket sums up what all parts sent and answers each part with the counts along the path of each
+   pair's bits. No context shares counts with another: those of up to three bytes are named as they are, whole beginnings
+   by a hash of 55 bits. Nothing of this is broadcast or collected.
+2. The weights are learned online, token batch after token batch, in runs of parts, and averaged. A token's own
+   occurrence is taken out of the counts first, so that the weights suit texts not seen.
+3. Each part works out the costs of its tokens, and the counts of their words are joined to them.
+
+Scoring is a scan with the FREQUENT most frequent tokens broadcast; all other tokens of a text are joined with their
+costs and counts by a shuffle.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, mixed, most_frequent, rows_of, staged, texts_of
+from .common import bucket_bounds, bucketwise, exchanged, lean, mixed, most_frequent, rows_of, staged, texts_of
 
-#: Slots of each predictor's table (two counts each), predictors, and slices in which tables are summed.
-SLOT_BITS, PREDICTORS, SLICES = 19, 5, 8
+PREDICTORS = 5
+#: Slots of each predictor's table in a mixer that holds counts itself.
+SLOT_BITS = 19
 SLOTS = 1 << SLOT_BITS
-#: Words whose counts are broadcast.
+#: Tokens whose costs and counts are broadcast.
 FREQUENT = 100_000
-#: Tokens of a part of the token table on which counts and weights are gathered by one task.
-PART_TOKENS = 1_500_000
+#: Tokens of a part, whose counts are held at once, and tokens on which weights are learned by one task.
+PART, PART_TOKENS = 50_000, 1_500_000
+#: (Context, next byte) pairs of a bucket, about; how many a token has, as parts send them.
+PAIRS, TOKEN_PAIRS = 150_000, 8
 PRIOR, CLIP, RATE, BUCKETS = 0.35, 8.0, 0.02, 33
 #: Levels of confidence: how long a context was seen if the whole beginning wasn't, else how often that was.
 LEVELS = 8
@@ -45,6 +52,7 @@ GATES = LEVELS * 8 * 2
 END = b"\xff"
 TOKEN = re.compile(rb"[^\xff\x09-\x0d ]*[\xff\x09-\x0d ]")
 CACHED_TOKENS = 450_000
+_TOKENS = -1  # the bucket of the rows that hold a part's tokens
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -58,9 +66,9 @@ _R_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 @dataclass
 class Bits:
-    """The bits of a batch of tokens: slot by predictor, bit and byte; the bit; which gate without the longest context; the token of each byte."""
+    """The bits of a batch of tokens: the (context, next byte) pair by predictor and byte; the bit; which gate without the longest context; the token of each byte."""
 
-    slots: np.ndarray  # predictors x 8 x bytes
+    pairs: np.ndarray  # predictors x bytes
     ones: np.ndarray  # 8 x bytes, bool
     later: np.ndarray  # bytes, bool: not the first byte of its token
     token: np.ndarray  # bytes
@@ -82,21 +90,48 @@ def bits_of(tokens: list[bytes]) -> Bits:
         forth = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(data), _R, np.uint64)]))[: len(data)]
         total = np.concatenate([[np.uint64(0)], np.cumsum((data + np.uint64(1)) * back)])
         begin = (total[np.arange(len(data))] - total[starts[token]]) * forth[starts[token]] if len(data) else data
-        contexts = [mixed(c * np.uint64(8) + np.uint64(i)) for i, c in enumerate((np.zeros(len(data), np.uint64), one, two, three, mixed(begin)))]
-        slots, ones = np.empty((PREDICTORS, 8, len(data)), np.uint32), np.empty((8, len(data)), bool)
-        for j in range(8):
-            node = np.uint64(1 << j) | data >> np.uint64(8 - j)
-            ones[j] = (data >> np.uint64(7 - j) & np.uint64(1)).astype(bool)
-            salt = node * _R
-            for i, c in enumerate(contexts):
-                x = (c ^ salt) * np.uint64(0xD6E8FEB86659FD93)
-                slots[i, j] = (x >> np.uint64(64 - SLOT_BITS)).astype(np.uint32)
-    return Bits(slots, ones, place > 0, token)
+        contexts = (np.zeros(len(data), np.uint64), one, two, three, mixed(begin) >> np.uint64(9))
+        pairs = np.stack([(np.uint64(1 << 55 if i == PREDICTORS - 1 else i << 25) | c) << np.uint64(8) | data for i, c in enumerate(contexts)])
+    ones = np.stack([(data >> np.uint64(7 - j) & np.uint64(1)).astype(bool) for j in range(8)])
+    return Bits(pairs, ones, place > 0, token)
+
+
+def paths(pairs: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For sorted, distinct pairs with counts: how often the context comes with the first 0 to 8 bits of the next byte (9 x pairs)."""
+    out = np.empty((9, len(pairs)))
+    for j in range(9):
+        start = np.flatnonzero(np.append(True, np.diff(pairs >> np.uint64(8 - j)) > 0))
+        out[j] = np.repeat(np.add.reduceat(n, start), np.diff(np.append(start, len(pairs)))) if len(pairs) else 0
+    return out
+
+
+def guessed(zeros: np.ndarray, ones: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """Predictor i's stretched guesses from counts of zeros and ones, and levels of confidence."""
+    n, level = zeros + ones, np.zeros(zeros.shape, np.uint8)
+    if 0 < i < PREDICTORS - 1:
+        level[n > 0] = i - 1
+    elif i:
+        for k, least in enumerate((1, 2, 4, 16, 256), 3):
+            level[n >= least] = k
+    return np.clip(np.log((ones + PRIOR) / (zeros + PRIOR)), -CLIP, CLIP).astype(np.float32), level
+
+
+def guessed_pairs(pairs: np.ndarray, path: np.ndarray, without: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Guesses and levels (pairs x 8) of sorted pairs with their paths; without: as if each bit's own occurrence were not counted."""
+    guess, level = np.empty((len(pairs), 8), np.float32), np.empty((len(pairs), 8), np.uint8)
+    bounds = [0, *np.searchsorted(pairs, np.array([*(i << 33 for i in range(1, PREDICTORS - 1)), 1 << 63], np.uint64)).tolist(), len(pairs)]
+    for i, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)):
+        same, other = path[lo:hi, 1:], path[lo:hi, :-1] - path[lo:hi, 1:]
+        if without:
+            same = np.maximum(same - 1, 0)
+        bit = (pairs[lo:hi, None] >> np.arange(7, -1, -1).astype(np.uint64) & np.uint64(1)).astype(bool)
+        guess[lo:hi], level[lo:hi] = guessed(np.where(bit, other, same), np.where(bit, same, other), i)
+    return guess, level
 
 
 @dataclass
 class Mixer:
-    """Counts of zeros and ones by predictor and slot; weights by gate; the refinement's table of probabilities."""
+    """Weights by gate; the refinement's table of probabilities; counts of zeros and ones by predictor and slot, of use only where no exact ones are given."""
 
     zeros: np.ndarray
     ones: np.ndarray
@@ -108,26 +143,12 @@ class Mixer:
         start = np.tile(np.array([0.0, 0.0, 0.05, 0.15, 0.8], np.float32), (GATES, 1))
         return Mixer(zeros, ones, start, identity())
 
-    def guesses(self, b: Bits, without: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """Stretched guesses (predictors x 8 x bytes) and gates (8 x bytes); without: as if each bit's own occurrence were not counted."""
-        guess = np.empty(b.slots.shape, np.float32)
-        longest = np.zeros(b.ones.shape, np.int64)
-        for i in range(PREDICTORS):
-            n0, n1 = self.zeros[i][b.slots[i]].astype(np.float32), self.ones[i][b.slots[i]].astype(np.float32)
-            if without:
-                n1 -= b.ones
-                n0 -= ~b.ones
-                np.maximum(n0, 0, out=n0)
-                np.maximum(n1, 0, out=n1)
-            if 0 < i < PREDICTORS - 1:
-                longest[(n0 + n1) > 0] = i - 1
-            elif i:
-                for level, least in enumerate((1, 2, 4, 16, 256), 3):
-                    longest[(n0 + n1) >= least] = level
-            guess[i] = np.log((n1 + PRIOR) / (n0 + PRIOR))
-        np.clip(guess, -CLIP, CLIP, out=guess)
-        gate = (longest * 8 + np.arange(8)[:, None]) * 2 + b.later
-        return guess, gate
+    def looked_up(self, b: Bits) -> tuple[np.ndarray, np.ndarray]:
+        """Guesses and levels (predictors x 8 x bytes) from the mixer's own hashed tables."""
+        node = np.stack([np.uint64(1 << j) | (b.pairs[0] & np.uint64(255)) >> np.uint64(8 - j) for j in range(8)])
+        with np.errstate(over="ignore"):
+            slots = mixed((b.pairs >> np.uint64(8))[:, None] * _R + node) >> np.uint64(64 - SLOT_BITS)
+        return tuple(map(np.stack, zip(*(guessed(self.zeros[i][slots[i]], self.ones[i][slots[i]], i) for i in range(PREDICTORS)), strict=True)))
 
     def refine(self, x: np.ndarray) -> np.ndarray:
         """Probabilities of a one: the mixture and the table's value there, half and half."""
@@ -135,44 +156,26 @@ class Mixer:
         p = half / (1 + np.exp(-x))
         return p + half * self.refined.astype(x.dtype)[np.arange(8)[:, None], bucket_of(x)]
 
-    def known(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """For each predictor the stretched guess and the level of confidence of every slot; worked out once in a process."""
-        if not hasattr(self, "_known"):
-            guess = [np.clip(np.log((o + PRIOR) / (z + PRIOR)), -CLIP, CLIP).astype(np.float32) for z, o in zip(self.zeros, self.ones, strict=True)]
-            level = []
-            for i in range(PREDICTORS):
-                n, x = self.zeros[i] + self.ones[i], np.zeros(SLOTS, np.uint8)
-                if 0 < i < PREDICTORS - 1:
-                    x[n > 0] = i - 1
-                elif i:
-                    for k, least in enumerate((1, 2, 4, 16, 256), 3):
-                        x[n >= least] = k
-                level.append(x)
-            self._known = guess, level
-        return self._known
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_known"}
-
-    def costs(self, tokens: list[bytes]) -> np.ndarray:
-        """log10 of the probability of each token."""
+    def costs(self, tokens: list[bytes], said: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """log10 of the probability of each token; said: guesses and levels of its bits (predictors x 8 x bytes)."""
         if not tokens:
             return np.zeros(0)
         b = bits_of(tokens)
-        guess, level = self.known()
-        most = level[2][b.slots[2]]
-        for i in range(3, PREDICTORS):  # the others' level is 0
-            np.maximum(most, level[i][b.slots[i]], out=most)
-        gate = (most.astype(np.int32) * 8 + np.arange(8, dtype=np.int32)[:, None]) * 2 + b.later
+        guess, level = said or self.looked_up(b)
+        gate = gates(level, b)
         weights = np.ascontiguousarray(self.weights.T)
-        x = weights[0][gate] * guess[0][b.slots[0]]
+        x = weights[0][gate] * guess[0]
         for i in range(1, PREDICTORS):
-            x += weights[i][gate] * guess[i][b.slots[i]]
+            x += weights[i][gate] * guess[i]
         p = self.refine(np.clip(x, -CLIP, CLIP))
         bit = np.log10(np.where(b.ones, p, 1 - p)).sum(0)
         return np.bincount(b.token, bit, len(tokens))
 
 
+def gates(level: np.ndarray, b: Bits) -> np.ndarray:
+    return (level.max(0).astype(np.int32) * 8 + np.arange(8, dtype=np.int32)[:, None]) * 2 + b.later
+
+
 def identity() -> np.ndarray:
     return np.tile(1 / (1 + np.exp(-np.linspace(-CLIP, CLIP, BUCKETS))), (8, 1))
 
@@ -181,12 +184,8 @@ def bucket_of(x: np.ndarray) -> np.ndarray:
     return np.rint((x + CLIP) * ((BUCKETS - 1) / (2 * CLIP))).astype(np.int32)
 
 
-def _packed(a: np.ndarray) -> bytes:
-    return zlib.compress(a.tobytes(), 1)
-
-
-def gather_tokens(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(token binary, n long): every distinct token of all the texts and how often it comes."""
+def gather_tokens(texts: DataFrame) -> DataFrame:
+    """(token binary, n long): every distinct token of texts (text, whether it is for training) and how often it comes in those for training."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.schema([("token", pa.binary()), ("n", pa.int64())])
@@ -199,13 +198,17 @@ def gather_tokens(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([found[x] for x in part], pa.int64())], schema=kind)
             found.clear()
 
-        for (text,) in rows_of(batches):
-            found.update(tokens_of(text))
+        for text, training in rows_of(batches):
+            if training:
+                found.update(tokens_of(text))
+            else:
+                for t in set(tokens_of(text)):
+                    found[t] += 0
             if len(found) > 600_000:
                 yield from out()
         yield from out()
 
-    return docs.select(text_col).mapInArrow(lean(run), "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(lean(run), "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def word_counts(tokens: DataFrame) -> DataFrame:
@@ -224,49 +227,124 @@ def word_counts(tokens: DataFrame) -> DataFrame:
     return tokens.mapInArrow(lean(run), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def train(tokens: DataFrame, n_tokens: int) -> Mixer:
-    """A mixer from a token table (staged) of n_tokens rows; an empty one gives a mixer that knows nothing."""
-    spark = tokens.sparkSession
-    parts = max(1, -(-n_tokens // PART_TOKENS))
-    table = tokens.repartition(parts, "token") if parts > 1 else tokens.coalesce(1)
+def parts_of(tokens: DataFrame, parts: int) -> DataFrame:
+    """(part int, bucket int, blob binary): the tokens of each part and their counts, in the order of a hash."""
 
-    def batches_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray]]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                yield part.column(0).to_pylist(), part.column(1).to_numpy()
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((2, PREDICTORS, SLOTS), np.float64)
-        for tokens, n in batches_of(batches):
-            b = bits_of(tokens)
-            weight = np.broadcast_to(n[b.token].astype(np.float64), b.ones.shape)
-            for y in (0, 1):
-                mask = b.ones == bool(y)
-                for i in range(PREDICTORS):
-                    np.add.at(held[y, i], b.slots[i][mask], weight[mask])
-        step = SLOTS // SLICES
-        for i in range(PREDICTORS):
-            for s in range(SLICES):
-                blob = _packed(held[:, i, s * step : (s + 1) * step])
-                yield pa.RecordBatch.from_pydict({"k": [i * SLICES + s], "c": [blob]}, pa.schema([("k", pa.int32()), ("c", pa.binary())]))
-
-    def total(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for k, blob in rows_of(b.slice(i, 1) for b in batches for i in range(b.num_rows)):
-            part = np.frombuffer(zlib.decompress(blob))
-            sums[k] = sums[k] + part if k in sums else part
-        for k, v in sums.items():
-            yield pa.RecordBatch.from_pydict({"k": [k], "c": [_packed(v.astype(np.float32))]}, pa.schema([("k", pa.int32()), ("c", pa.binary())]))
-
-    summed = table.mapInArrow(lean(count), "k int, c binary").repartition(PREDICTORS * SLICES, "k").mapInArrow(lean(total), "k int, c binary")
-    zeros, ones = np.zeros((PREDICTORS, SLOTS), np.float32), np.zeros((PREDICTORS, SLOTS), np.float32)
-    step = SLOTS // SLICES
-    for r in summed.toLocalIterator():  # tables of fixed size
-        part = np.frombuffer(zlib.decompress(bytes(r["c"])), np.float32).reshape(2, step)
-        i, s = divmod(r["k"], SLICES)
-        zeros[i, s * step : (s + 1) * step], ones[i, s * step : (s + 1) * step] = part
-    fresh = Mixer.fresh(zeros, ones)
+        def out() -> pa.RecordBatch:
+            names, n = zip(*held, strict=True)
+            return blobs([now], [_TOKENS], [np.array([len(names), *map(len, names), *n], np.int64).tobytes() + b"".join(names)])
+
+        for part, token, n in rows_of(batches):
+            if held and part != now:
+                yield out()
+                held = []
+            now = part
+            held.append((token, n))
+        if held:
+            yield out()
+
+    h = F.xxhash64("token")
+    dealt = tokens.select(F.pmod(h, F.lit(parts)).cast("int").alias("part"), "token", "n", h.alias("h"))
+    return dealt.repartition(parts, "part").sortWithinPartitions("part", "h", "token").select("part", "token", "n").mapInArrow(lean(pack), BLOBS)
+
+
+BLOBS = "part int, bucket int, blob binary"
+
+
+def blobs(part: list, bucket: list, blob: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(bucket, pa.int32()), pa.array(blob, pa.binary())], ["part", "bucket", "blob"])
+
+
+def unpacked(blob: bytes) -> tuple[list[bytes], np.ndarray]:
+    """The tokens of a part and their counts."""
+    size = int(np.frombuffer(blob, np.int64, 1)[0])
+    sizes, n = np.frombuffer(blob, np.int64, 2 * size, 8).reshape(2, size)
+    ends = (8 + 16 * size + np.cumsum(sizes)).tolist()
+    return [blob[a:b] for a, b in zip([8 + 16 * size, *ends], ends, strict=False)], n
+
+
+def pairs_of(tokens: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray, Bits, tuple]:
+    """The distinct pairs of a part, which of them each byte is for each predictor, the bits, and the pairs' buckets."""
+    b = bits_of(tokens)
+    pairs, inverse = np.unique(b.pairs.ravel(), return_inverse=True)
+    return pairs, inverse.astype(np.int32).reshape(b.pairs.shape), b, bucket_bounds(mixed(pairs >> np.uint64(8)), buckets)
+
+
+def answers(parts: DataFrame, buckets: int) -> DataFrame:
+    """(part, bucket, blob): for the pairs of each part by bucket, the counts over all parts along their paths."""
+
+    def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, _, blob in rows_of(b.slice(i, 1) for b in batches for i in range(b.num_rows)):
+            tokens, n = unpacked(blob)
+            pairs, inverse, b, (by, found, bounds) = pairs_of(tokens, buckets)
+            total = np.bincount(inverse.ravel(), np.tile(n[b.token].astype(np.float64), PREDICTORS), len(pairs))
+            for bucket, lo, hi in zip(found.tolist(), bounds, bounds[1:], strict=False):
+                x = by[lo:hi]
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([part], pa.int32()), pa.array([pairs[x].tobytes() + total[x].tobytes()], pa.binary())], ["bucket", "part", "blob"])
+
+    def answer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in bucketwise(batches):
+            asked = [np.frombuffer(blob, np.uint64, len(blob) // 16) for _, blob in rows]
+            pairs, inverse = np.unique(np.concatenate(asked), return_inverse=True)
+            path = paths(pairs, np.bincount(inverse, np.concatenate([np.frombuffer(blob, np.float64, len(blob) // 16, len(blob) // 2) for _, blob in rows]), len(pairs)))
+            steps, at = np.diff(path, axis=0, prepend=0.0), 0  # mostly zeros
+            for (part, _), x in zip(rows, asked, strict=True):
+                yield blobs([part], [bucket], [pa.compress(np.ascontiguousarray(steps[:, inverse[at : at + len(x)]]), "zstd", asbytes=True)])
+                at += len(x)
+
+    return exchanged(parts.mapInArrow(lean(ask), "bucket long, part int, blob binary"), buckets).mapInArrow(lean(answer), BLOBS)
+
+
+def known_parts(rows: DataFrame, tasks: int) -> DataFrame:
+    """The rows of a part, its tokens first, one after the other."""
+    return rows.repartition(tasks, "part").sortWithinPartitions("part", "bucket")
+
+
+@dataclass
+class Part:
+    """Tokens and their counts; where each starts in the bytes; the pair of each byte for each predictor; the pairs and their paths."""
+
+    tokens: list[bytes]
+    n: np.ndarray
+    starts: np.ndarray
+    of: np.ndarray  # predictors x bytes
+    pairs: np.ndarray
+    path: np.ndarray  # pairs x 9
+
+    def batches(self, size: int, training: bool) -> Iterator[tuple[list[bytes], np.ndarray, tuple[np.ndarray, np.ndarray]]]:
+        """Batches of `size` tokens, their counts, and guesses and levels of their bits (predictors x 8 x bytes); training: only tokens that count, as if each bit's own occurrence were not counted."""
+        chosen = np.flatnonzero(self.n > 0) if training else np.arange(len(self.tokens))
+        said, sizes = guessed_pairs(self.pairs, self.path, training), np.diff(self.starts)
+        for at in range(0, len(chosen), size):
+            part = chosen[at : at + size]
+            ends = np.cumsum(sizes[part])
+            places = np.repeat(self.starts[part] - ends + sizes[part], sizes[part]) + np.arange(ends[-1])
+            of = self.of[:, places]
+            yield [self.tokens[i] for i in part.tolist()], self.n[part], tuple(np.ascontiguousarray(np.moveaxis(x[of], 2, 1)) for x in said)
+
+
+def known_tokens(batches: Iterable[pa.RecordBatch], buckets: int) -> Iterator[Part]:
+    for _, rows in bucketwise(batches):
+        tokens, n = unpacked(rows[0][1])
+        pairs, of, b, (by, found, bounds) = pairs_of(tokens, buckets)
+        path = np.empty((len(pairs), 9))
+        for (bucket, blob), want, lo, hi in zip(rows[1:], found.tolist(), bounds[:-1], bounds[1:], strict=True):
+            if bucket != want:
+                raise ValueError("answers of a part don't fit its pairs")
+            steps = np.frombuffer(pa.decompress(blob, 72 * int(hi - lo), "zstd")).reshape(9, -1)
+            path[by[lo:hi]] = np.cumsum(steps, 0).T
+        yield Part(tokens, n, np.searchsorted(b.token, np.arange(len(tokens) + 1)), of, pairs, path)
+
+
+def train(known: DataFrame, n_tokens: int, buckets: int) -> Mixer:
+    """A mixer from parts (known: their tokens and answers) of n_tokens tokens; without any that count it knows nothing."""
+    spark = known.sparkSession
+    tasks = max(1, -(-n_tokens // PART_TOKENS))
+    nothing = np.zeros((PREDICTORS, 0), np.float32)  # counts come from the parts
+    fresh = Mixer.fresh(nothing, nothing)
     shared = spark.sparkContext.broadcast(fresh)
 
     def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,23 +352,22 @@ def train(tokens: DataFrame, n_tokens: int) -> Mixer:
         weights, squares = model.weights.astype(np.float64), np.full(model.weights.shape, 1.0)
         seen, hits = np.zeros(8 * BUCKETS), np.zeros(8 * BUCKETS)
         done = 0.0
-        for tokens, n in batches_of(batches):
-            for at in range(0, len(tokens), 512):
-                b = bits_of(tokens[at : at + 512])
-                w = np.minimum(n[at : at + 512], 1000)[b.token].astype(np.float64)
-                guess, gate = model.guesses(b, without=True)
-                x = np.clip(sum(weights[gate, i] * guess[i] for i in range(PREDICTORS)), -CLIP, CLIP)
-                off = (b.ones - 1 / (1 + np.exp(-x))) * w
-                flat = gate.ravel()
-                for i in range(PREDICTORS):
-                    grad = np.bincount(flat, (off * guess[i]).ravel(), GATES)
-                    squares[:, i] += grad**2
-                    weights[:, i] += RATE * grad / np.sqrt(squares[:, i])
-                bucket = (np.arange(8)[:, None] * BUCKETS + bucket_of(x)).ravel()
-                spread = np.broadcast_to(w, b.ones.shape)
-                seen += np.bincount(bucket, spread.ravel(), 8 * BUCKETS)
-                hits += np.bincount(bucket, (spread * b.ones).ravel(), 8 * BUCKETS)
-                done += w.sum()
+        for tokens, n, (guess, level) in (x for part in known_tokens(batches, buckets) for x in part.batches(512, True)):
+            b = bits_of(tokens)
+            w = np.minimum(n, 1000)[b.token].astype(np.float64)
+            gate = gates(level, b)
+            x = np.clip(sum(weights[gate, i] * guess[i] for i in range(PREDICTORS)), -CLIP, CLIP)
+            off = (b.ones - 1 / (1 + np.exp(-x))) * w
+            flat = gate.ravel()
+            for i in range(PREDICTORS):
+                grad = np.bincount(flat, (off * guess[i]).ravel(), GATES)
+                squares[:, i] += grad**2
+                weights[:, i] += RATE * grad / np.sqrt(squares[:, i])
+            bucket = (np.arange(8)[:, None] * BUCKETS + bucket_of(x)).ravel()
+            spread = np.broadcast_to(w, b.ones.shape)
+            seen += np.bincount(bucket, spread.ravel(), 8 * BUCKETS)
+            hits += np.bincount(bucket, (spread * b.ones).ravel(), 8 * BUCKETS)
+            done += w.sum()
         if done:
             yield pa.RecordBatch.from_pydict({"g": [0], "c": [np.concatenate([weights.ravel() * done, seen, hits, [done]]).tobytes()]}, pa.schema([("g", pa.int32()), ("c", pa.binary())]))
 
@@ -302,8 +379,8 @@ def train(tokens: DataFrame, n_tokens: int) -> Mixer:
         if held is not None:
             yield pa.RecordBatch.from_pydict({"g": [0], "c": [held.tobytes()]}, pa.schema([("g", pa.int32()), ("c", pa.binary())]))
 
-    groups = max(1, round(parts**0.5))
-    learned = table.mapInArrow(lean(learn), "g int, c binary").withColumn("g", F.pmod(F.spark_partition_id(), F.lit(groups))).repartition(groups, "g").mapInArrow(lean(add), "g int, c binary")
+    groups = max(1, round(tasks**0.5))
+    learned = known_parts(known, tasks).mapInArrow(lean(learn), "g int, c binary").withColumn("g", F.pmod(F.spark_partition_id(), F.lit(groups))).repartition(groups, "g").mapInArrow(lean(add), "g int, c binary")
     got = sorted(bytes(r["c"]) for r in learned.collect())  # about the root of the number of parts, 15 KB each
     if not got:
         return fresh
@@ -312,18 +389,30 @@ def train(tokens: DataFrame, n_tokens: int) -> Mixer:
     seen, hits = held[cut : cut + 8 * BUCKETS], held[cut + 8 * BUCKETS : -1]
     start = identity().ravel()
     refined = ((hits + 20 * start) / (seen + 20)).reshape(8, BUCKETS)
-    return Mixer(zeros, ones, (held[:cut] / held[-1]).reshape(GATES, PREDICTORS).astype(np.float32), np.clip(refined, 1e-5, 1 - 1e-5))
+    return Mixer(nothing, nothing, (held[:cut] / held[-1]).reshape(GATES, PREDICTORS).astype(np.float32), np.clip(refined, 1e-5, 1 - 1e-5))
+
+
+def token_costs(known: DataFrame, parts: int, buckets: int, mixer: Mixer) -> DataFrame:
+    """(token, n, word, cost): every token, its lower-cased (A-Z) word (null without one) and log10 of its probability."""
+    model = known.sparkSession.sparkContext.broadcast(mixer)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tokens, n, said in (x for part in known_tokens(batches, buckets) for x in part.batches(4096, False)):
+            words = [t[:-1].lower() or None for t in tokens]
+            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary()), pa.array(n), pa.array(words, pa.binary()), pa.array(model.value.costs(tokens, said))], ["token", "n", "word", "cost"])
+
+    return known_parts(known, parts).mapInArrow(lean(run), "token binary, n long, word binary, cost double")
 
 
 class Ledger(dict):
-    """What a task knows of the tokens it has met: numbers for them and, by number, cost, word and its count."""
+    """What a task knows of the tokens it has met: numbers for them and, by number, what the broadcast says."""
 
-    def __init__(self, mixer: Mixer, frequent: dict[bytes, float], usual: dict[bytes, float]):
+    def __init__(self, usual: dict[bytes, tuple[float, float | None]]):
         super().__init__()
-        self.mixer, self.frequent, self.usual = mixer, frequent, usual
+        self.usual = usual
         self.order: list[bytes] = []
-        self.words: list[bytes | None] = []  # of words that aren't frequent
-        self.table = np.zeros((4, 1 << 16))  # 1 for a word, 1 for a frequent one, log10 of its count, cost
+        self.settled = 0
+        self.table = np.zeros((5, 1 << 16))  # 1 for a word, 1 for one with a count, log10 of the count, cost, 1 for a rare token
 
     def __missing__(self, token: bytes) -> int:
         n = self[token] = len(self.order)
@@ -335,64 +424,62 @@ class Ledger(dict):
 
     def settle(self) -> None:
         """Fills in what came up since the last time."""
-        at, n = len(self.words), len(self.order)
+        at, n = self.settled, len(self.order)
         while n > self.table.shape[1]:
             self.table = np.hstack([self.table, np.zeros_like(self.table)])
-        new = self.order[at:]
-        words = [t[:-1].lower() for t in new]
-        found = [self.frequent.get(w) for w in words]
-        self.words += [w if w and f is None else None for w, f in zip(words, found, strict=True)]
-        self.table[0, at:n] = [bool(w) for w in words]
-        self.table[1, at:n] = [f is not None and bool(w) for w, f in zip(words, found, strict=True)]
-        self.table[2, at:n] = [f if f is not None and w else 0.0 for w, f in zip(words, found, strict=True)]
-        cost = list(map(self.usual.get, new))
-        open_ = [i for i, c in enumerate(cost) if c is None]
-        for k in range(0, len(open_), 8192):
-            part = open_[k : k + 8192]
-            for i, c in zip(part, self.mixer.costs([new[i] for i in part]).tolist(), strict=True):
-                cost[i] = c
-        self.table[3, at:n] = cost
+        for i in range(at, n):
+            word, found = len(self.order[i]) > 1, self.usual.get(self.order[i])
+            cost, c = found or (0.0, None)
+            self.table[:, i] = word, c is not None, np.log10((c or 0) + 0.1) if word and found else 0.0, cost, found is None
+        self.settled = n
 
     def totals(self, codes: np.ndarray) -> tuple[int, int, float, float]:
-        """Words, frequent words, sum of their logarithms, cost."""
-        words, known, sure, cost = (row[codes].sum() for row in self.table)
+        """Words; of the tokens that aren't rare: words with a count, sum of the logarithms, cost."""
+        words, known, sure, cost = (row[codes].sum() for row in self.table[:4])
         return int(words), int(known), float(sure), float(cost)
 
-    def rare_words(self, codes: np.ndarray) -> list[bytes]:
-        rare = codes[(self.table[0, codes] > 0) & (self.table[1, codes] == 0)]
-        return list(map(self.words.__getitem__, rare.tolist()))
+    def rare(self, codes: np.ndarray) -> list[bytes]:
+        return list(map(self.order.__getitem__, codes[self.table[4, codes] > 0].tolist()))
 
     def trim(self) -> None:
         """Forgets all once there is too much."""
         if len(self.order) > CACHED_TOKENS:
             self.clear()
-            self.order, self.words = [], []
+            self.order, self.settled = [], 0
 
 
-def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, training: DataFrame | Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For every row of docs: id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     score is log10 of the model's probability of the whole text (its bytes and its end); a null text is scored
     as an empty one, whose only token is the end. Without training rows the counts are 0 and the model knows
-    nothing. Ids may repeat or be null; other columns aren't read.
+    nothing. training: rows with texts, or a condition that picks those of docs, which are then read once for both.
+    Ids may repeat or be null; other columns aren't read.
     """
     spark = docs.sparkSession
-    tokens = staged(gather_tokens(training, text_col))
-    counts = staged(word_counts(tokens))
-    size = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    n, v = size["n"] or 0, size["v"]
-    mixer = train(tokens, tokens.count())
-    model = spark.sparkContext.broadcast(mixer)
-    frequent = spark.sparkContext.broadcast({bytes(r["word"]): float(np.log10(r["c"] + 0.1)) for r in most_frequent(counts, "c", FREQUENT, "word").collect()})  # bounded by FREQUENT
-    # The costs of the most frequent tokens are worked out once instead of in every task.
-    often_seen = [bytes(r["token"]) for r in most_frequent(tokens, "n", FREQUENT, "token").select("token").collect()]  # bounded by FREQUENT
-    usual = spark.sparkContext.broadcast({t: c for at in range(0, len(often_seen), 8192) for t, c in zip(often_seen[at : at + 8192], mixer.costs(often_seen[at : at + 8192]).tolist(), strict=True)})
+    if isinstance(training, Column):
+        texts = docs.select(F.col(text_col).alias("t"), F.coalesce(training, F.lit(False)).alias("training"))
+    else:
+        texts = docs.select(F.col(text_col).alias("t"), F.lit(False).alias("training")).union(training.select(text_col, F.lit(True)))
+    tokens = staged(gather_tokens(texts))
+    counts = staged(word_counts(tokens.where("n > 0")))
+    size = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.max(F.when(F.col("word") == F.lit(b" "), F.col("c"))).alias("ends")).first()
+    n, v, ends = size["n"] or 0, size["v"], size["ends"]
+    n_tokens = tokens.count()
+    parts, buckets = -(-n_tokens // PART) or 1, 4 * (1 + n_tokens * TOKEN_PAIRS // (4 * PAIRS))
+    dealt = staged(parts_of(tokens, parts))
+    known = dealt.union(staged(answers(dealt.repartition(parts, "part"), buckets)))
+    mixer = train(known, n_tokens, buckets)
+    costs = staged(token_costs(known, parts, buckets, mixer).join(counts, "word", "left").select("token", "n", "cost", "c"))
+    # The most frequent tokens needn't be joined.
+    usual = spark.sparkContext.broadcast({bytes(r["token"]): (r["cost"], r["c"]) for r in most_frequent(costs, "n", FREQUENT, "token").collect()})  # bounded by FREQUENT
+    costs = costs.select("token", "cost", "c")
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    schema = f"row long, `{id_col}` {kind}, n_tokens long, known long, sure double, score double, n_bytes long, rare array<binary>"
+    schema = f"row long, `{id_col}` {kind}, n_tokens long, known long, sure double, cost double, n_bytes long, rare array<binary>"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ledger = Ledger(model.value, frequent.value, usual.value)
-        end = frequent.value.get(b" ")
+        ledger = Ledger(usual.value)
+        end = float(np.log10((ends or 0) + 0.1))
         id_type = pa.null()
 
         def seen(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,20 +494,20 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
             out: list[tuple] = []
             for (row, text, key), c in zip(held, codes, strict=True):
                 words, known, sure, cost = ledger.totals(c)
-                rare = ledger.rare_words(c) + ([b" "] if end is None else [])
-                out.append((row, key, words + 1, known + (end is not None), sure + (end or 0.0), cost, len((text or "").encode("utf-8", "replace")), rare))
+                out.append((row, key, words + 1, known + (ends is not None), sure + end, cost, len((text or "").encode("utf-8", "replace")), ledger.rare(c)))
             kinds = (pa.int64(), id_type, pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.binary()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["row", id_col, "n_tokens", "known", "sure", "score", "n_bytes", "rare"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["row", id_col, "n_tokens", "known", "sure", "cost", "n_bytes", "rare"])
             ledger.trim()
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("t"), F.col(id_col))
     scored = numbered.mapInArrow(lean(run), schema)
-    # A text without rare words gets a word of its own that no text has, so that such rows don't meet in one task.
-    own = F.concat(F.lit("\t").cast("binary"), F.col("row").cast("string").cast("binary"))
-    rare = scored.withColumn("word", F.explode(F.when(F.size("rare") > 0, F.col("rare")).otherwise(F.array(own)))).drop("rare")
-    joined = rare.join(counts, "word", "left").withColumn("real", F.substring(F.col("word"), 1, 1) != F.lit("\t").cast("binary"))
-    keys = ["row", id_col, "n_tokens", "known", "sure", "score", "n_bytes"]
-    summed = joined.groupBy(*keys).agg(F.sum(F.when(F.col("real"), F.log10(F.coalesce(F.col("c"), F.lit(0)) + F.lit(0.1))).otherwise(F.lit(0.0))).alias("more"), F.count(F.when(F.col("real"), F.col("c"))).alias("also"))
+    # A text without rare tokens gets a token of its own that no text has, so that such rows don't meet in one task.
+    tab = F.lit("\t").cast("binary")
+    own = F.concat(tab, F.col("row").cast("string").cast("binary"))
+    rare = scored.withColumn("token", F.explode(F.when(F.size("rare") > 0, F.col("rare")).otherwise(F.array(own)))).drop("rare")
+    joined = rare.join(costs.withColumnRenamed("cost", "its"), "token", "left").withColumn("real", (F.octet_length("token") > 1) & (F.substring(F.col("token"), 1, 1) != tab))
+    keys = ["row", id_col, "n_tokens", "known", "sure", "cost", "n_bytes"]
+    summed = joined.groupBy(*keys).agg(F.sum(F.when(F.col("real"), F.log10(F.coalesce(F.col("c"), F.lit(0)) + F.lit(0.1))).otherwise(F.lit(0.0))).alias("more"), F.count(F.when(F.col("real"), F.col("c"))).alias("also"), (F.col("cost") + F.sum(F.coalesce("its", F.lit(0.0)))).alias("score"))
     return summed.select(
         id_col,
         "n_tokens",

@@ -47,7 +47,7 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """log10 probabilities of every whole text by context mixing (score) and by word counts (base_score)."""
     docs = table(spark, sf_dir, "documents")
     out = langid.held_out(F.col("doc_id"), 10, 0)
-    scored = lm.score(docs, docs.where(~out))
+    scored = lm.score(docs, ~out)
     return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 

@@ -74,6 +74,44 @@ def test_mixing_learns(spark):
     assert lm.score(empty_documents(spark), docs).count() == 0
 
 
+def varied_words(n):
+    rng = random.Random(4)
+    return ["".join(rng.choice("etaoinx") for _ in range(rng.randrange(1, 7))) for _ in range(n)]
+
+
+def test_contexts_share_no_counts(spark, monkeypatch):
+    """Scores don't depend on the size of any table, nor counts on how tokens are dealt out."""
+    rng, words = random.Random(5), varied_words(120)
+    docs = spark.createDataFrame([(i, prose(rng, words, 40)) for i in range(30)], "doc_id long, text string")
+    usual = {r["doc_id"]: r["score"] for r in lm.score(docs, docs.where("doc_id < 20")).collect()}
+    monkeypatch.setattr(lm, "SLOT_BITS", 6)
+    monkeypatch.setattr(lm, "SLOTS", 64)
+    assert {r["doc_id"]: r["score"] for r in lm.score(docs, docs.where("doc_id < 20")).collect()} == pytest.approx(usual)
+
+
+def test_counts_along_paths_are_exact(spark):
+    rng, words = random.Random(6), varied_words(60)
+    table = {w.encode() + b" ": rng.choice([0, 1, 7, 2**33]) for w in words}
+    seen = Counter()
+    for t, n in table.items():
+        for at, byte in enumerate(t):
+            for i, c in enumerate((b"", *((at < k, t[max(0, at - k) : at]) for k in (1, 2, 3)), t[:at])):
+                for j in range(9):
+                    seen[i, c, byte >> 8 - j, j] += n
+    dealt = lm.parts_of(spark.createDataFrame(list(table.items()), "token binary, n long"), 5)
+    known = lm.known_parts(dealt.union(lm.answers(dealt, 8)), 2).toArrow().to_batches()
+    got = 0
+    for part in lm.known_tokens(known, 8):
+        tokens, path = part.tokens, part.path[part.of]
+        assert [table[t] for t in tokens] == part.n.tolist()
+        whole = [(i, at, t) for i in range(5) for t in tokens for at in range(len(t))]
+        for (i, at, t), counts in zip(whole, path.reshape(-1, 9).tolist(), strict=True):
+            c = t[:at] if i == 4 else (at < i, t[max(0, at - i) : at]) if i else b""
+            assert counts == [seen[i, c, t[at] >> 8 - j, j] for j in range(9)]
+        got += len(tokens)
+    assert got == len(table)
+
+
 def test_token_probabilities_add_up():
     """All tokens of a two-letter alphabet's prefix tree: the bits' probabilities of a byte add up to 1."""
     mixer = lm.Mixer.fresh(np.random.default_rng(0).random((lm.PREDICTORS, lm.SLOTS)).astype(np.float32), np.ones((lm.PREDICTORS, lm.SLOTS), np.float32))
