@@ -354,7 +354,7 @@ def train(known: DataFrame, n_tokens: int, buckets: int) -> Mixer:
         done = 0.0
         for tokens, n, (guess, level) in (x for part in known_tokens(batches, buckets) for x in part.batches(512, True)):
             b = bits_of(tokens)
-            w = np.minimum(n, 1000)[b.token].astype(np.float64)
+            w = n[b.token].astype(np.float64)
             gate = gates(level, b)
             x = np.clip(sum(weights[gate, i] * guess[i] for i in range(PREDICTORS)), -CLIP, CLIP)
             off = (b.ones - 1 / (1 + np.exp(-x))) * w

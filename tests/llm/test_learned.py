@@ -112,6 +112,16 @@ def test_counts_along_paths_are_exact(spark):
     assert got == len(table)
 
 
+def test_frequent_tokens_count_in_full(spark):
+    """The mixture is learned with every occurrence: one token of a million outweighs 300 of a thousand each."""
+    rng = random.Random(7)
+    table = {"".join(rng.choice("etaoinx") for _ in range(6)).encode() + b" ": 1000 for _ in range(300)} | {b"zz ": 10**6}
+    dealt = lm.parts_of(spark.createDataFrame(list(table.items()), "token binary, n long"), 1)
+    known = dealt.union(lm.answers(dealt, 4))
+    cost = {bytes(r["token"]): r["cost"] for r in lm.token_costs(known, 1, 4, lm.train(known, len(table), 4)).collect()}
+    assert cost[b"zz "] > -0.2
+
+
 def test_token_probabilities_add_up():
     """All tokens of a two-letter alphabet's prefix tree: the bits' probabilities of a byte add up to 1."""
     mixer = lm.Mixer.fresh(np.random.default_rng(0).random((lm.PREDICTORS, lm.SLOTS)).astype(np.float32), np.ones((lm.PREDICTORS, lm.SLOTS), np.float32))
