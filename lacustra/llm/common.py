@@ -66,6 +66,57 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_SPACES = b"\t\n\x0b\x0c\r "
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_IN_WORD = bytes(b not in _SPACES for b in range(256))
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of data (A-Z lower-cased, cut at ASCII white space) start, and a 64-bit hash of each.
+
+    Hashes are built from eight bytes at a time of all words at once; equal words have equal hashes anywhere.
+    """
+    data = b"\n" + data.translate(_LOWER) + b"\n"
+    inside = np.frombuffer(data.translate(_IN_WORD), np.bool_)
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    start, size = edge[0::2] + 1, edge[1::2] - edge[0::2]
+    eight = np.ndarray((len(data) + 1,), "<u8", buffer=data + bytes(8), strides=(1,))
+    with np.errstate(over="ignore"):
+        h = mixed((eight[start] & _FIRST[np.minimum(size, 8)]) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        at, more = 8, np.flatnonzero(size > 8)
+        while len(more):
+            part = eight[start[more] + at] & _FIRST[np.minimum(size[more] - at, 8)]
+            h[more] = mixed(h[more] * np.uint64(0xC2B2AE3D27D4EB4F) ^ part)
+            at += 8
+            more = more[size[more] > at]
+    return start - 1, h
+
+
+def squeezed(*arrays: np.ndarray) -> bytes:
+    """Integer arrays in as few bytes as the range of each needs."""
+    head, body = [len(arrays)], []
+    for a in arrays:
+        least = a.min() if len(a) else a.dtype.type(0)
+        above = (a - least).view(np.uint64) if a.dtype.itemsize == 8 else (a - least).astype(np.uint64)
+        most = int(above.max()) if len(a) else 0
+        width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
+        head += [len(a), width, int(np.array(least).astype(np.uint64 if a.dtype.kind == "u" else np.int64).view(np.int64))]
+        body.append(above.astype(f"<u{width}").tobytes())
+    return np.array(head, np.int64).tobytes() + b"".join(body)
+
+
+def unsqueezed(blob: bytes) -> list[np.ndarray]:
+    """What squeezed() packed, as int64 (uint64 values keep their bits)."""
+    n = int(np.frombuffer(blob, np.int64, 1)[0])
+    at, out = 8 * (1 + 3 * n), []
+    with np.errstate(over="ignore"):
+        for size, width, least in np.frombuffer(blob, np.int64, 3 * n, 8).reshape(n, 3).tolist():
+            out.append(np.frombuffer(blob, f"<u{width}", size, at).astype(np.uint64).view(np.int64) + np.int64(least))
+            at += size * width
+    return out
+
+
 def sliced(rows: Iterable[tuple], weight: Callable[[tuple], int], most: int = CHUNK_BYTES) -> Iterator[list[tuple]]:
     """Lists of rows whose weights sum to about `most`; a heavier row stands alone."""
     held, total = [], 0

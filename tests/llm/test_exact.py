@@ -151,6 +151,9 @@ def plain_lines(rows, percent=80):
 @pytest.mark.parametrize("percent,group,common", [(80, 1024, 2000), (80, 3, 2000), (60, 1024, 5), (90, 1024, 0)])
 def test_lines_equal_the_plain_way(spark, monkeypatch, percent, group, common):
     monkeypatch.setattr(line_dedup, "GROUP", group)
+    if group == 3:  # small pieces of everything
+        for name, value in {"TRIES": 1, "SMALL": 4, "WINDOW": 2, "LONG": 5, "LONE": 6, "WORDS": 20, "TEXT": 500}.items():
+            monkeypatch.setattr(line_dedup, name, value)
     monkeypatch.setattr(line_dedup, "COMMON", common)
     rng, rows = random.Random(percent), []
     pool = [[f"w{rng.randrange(90)}" for _ in range(rng.choice([1, 2, 3, 4, 5, 8, 20]))] for _ in range(30)]
@@ -295,12 +298,35 @@ def test_digest_columns(spark, ranks):
     assert rows[0]["n_tokens"] == 0 and rows[0]["ids_sha256"] == rows[0]["decoded_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
-def test_lists_are_narrowed_alike_in_any_pieces(monkeypatch):
+def test_lists_in_small_and_large_pieces_give_the_same_candidates():
     rng = np.random.default_rng(6)
-    sizes = rng.integers(5, 12, 300)
-    sets = line_dedup.LineSets([[f"w{rng.integers(40)}".encode() for _ in range(k)] for k in sizes], line_dedup.OrderKeys({}))
-    token, at = np.zeros(300, np.uint64), np.zeros(300, np.int64)
-    uid = np.sort(rng.permutation(300).astype(np.uint64))
-    whole = line_dedup.partnered(token, uid, sets.bits, sets.picked, sets.sizes, at, 80)
-    monkeypatch.setattr(line_dedup, "PAIRS", 500)
-    assert (line_dedup.partnered(token, uid, sets.bits, sets.picked, sets.sizes, at, 80) == whole).all() and (whole >= 0).any()
+    text = "\n".join(" ".join(f"w{rng.integers(40)}" for _ in range(rng.integers(5, 12))) for _ in range(300)).encode()
+    sets = line_dedup.LineSets(text, np.zeros(1 << 18, np.uint8))
+    every = np.arange(300)
+    given = np.zeros(300, np.int64), sets.bits(every, 1), sets.sizes, np.zeros(300, np.int64), 60
+    found = []
+    for small, window in ((400, 512), (0, 512), (0, 7)):
+        row, host, more = line_dedup.candidates(*given, 400, small, window)
+        assert not more.any()
+        found.append(set(zip(row.tolist(), host.tolist(), strict=True)))
+    words = [set(x.split()) for x in text.split(b"\n")]
+    true = {(i, j) for i in range(300) for j in range(i) if line_dedup.matches(words[i], words[j], 60)}
+    assert found[0] == found[1] == found[2] and true and true <= found[0]
+    for small in (400, 0):
+        row, host, more = line_dedup.candidates(*given, 2, small, 7)
+        few = set(zip(row.tolist(), host.tolist(), strict=True))
+        assert few == {(i, j) for i, j in found[0] if sum(a == i and b < j for a, b in found[0]) < 2}
+        assert set(np.flatnonzero(more)) == {i for i, _ in found[0] - few}
+
+
+def test_line_sets_equal_sets_of_words():
+    rng = random.Random(4)
+    lines = [" ".join(rng.choice(["Été", "a", "A", "bb", "***", "longer-than-eight", "日本", "x" * 70, "\t"]) for _ in range(rng.randrange(9))) for _ in range(200)]
+    sets = line_dedup.LineSets("\n".join(lines).encode(), np.zeros(1 << 18, np.uint8))
+    words = [set(line_dedup.line_words(x)) for x in lines]
+    assert sets.line.tolist() == [i for i, w in enumerate(words) if w]
+    assert sets.sizes.tolist() == [len(w) for w in words if w]
+    names = {}
+    for i, h in zip(sets.line.tolist(), zip(*(x.tolist() for x in sets.hashes), strict=True), strict=True):
+        assert names.setdefault(frozenset(words[i]), h) == h
+    assert len(set(names.values())) == len(names)
