@@ -6,9 +6,9 @@ has a Jaccard similarity of percent / 100 or more; all is judged on the input.
 1. A scan counts all words in a table of hashed slots, which follows the input up to a bound; its steps of
    rarity are broadcast. Words are ordered by rarity, then by hash.
 2. A second scan sends, for each distinct set of a chunk, its class (two hashes) with its place, and its prefix: the
-   n - ceil(p n) + 1 rarest words, of which matching sets share one. The COMMON most frequent words are
-   listed in pairs, from prefixes that are one word longer, so no list belongs to such a word alone. An entry holds a bit
-   map of the set (each word flips a bit) instead of the set.
+   n - ceil(p n) + 1 rarest words, of which matching sets share one. Words that come COMMON times are listed in pairs,
+   from prefixes that are one word longer, so no list belongs to such a word alone. An entry holds a bit map of the
+   set (each word flips a bit) instead of the set.
 3. Where a class meets, all its lines but the earliest are settled. In a list, each entry meets earlier ones by length,
    position (the word they share as their first) and bit maps; up to TRIES of them, the earliest, become
    candidates. A list in which an entry has more is kept as well.
@@ -33,8 +33,8 @@ from .ngram_join import at_least
 
 #: Slots of the table of word counts: one for so many bytes of input, within these powers of two (a byte each when broadcast).
 SLOT_BYTES, SLOT_BITS = 128, (18, 24)
-#: Of the frequent words the most frequent ones (by slots), which are listed in pairs only; for lines of LONE words or more, singly.
-COMMON, LONE = 2_000, 2_048
+#: Words that come so often (by slots) are listed in pairs only; for lines of LONE words or more, singly.
+COMMON, LONE = 20_000, 2_048
 #: Bytes of text whose lines are listed together, words of which sets are made at once, and words that are counted at once.
 TEXT, WORDS, COUNTED = 3 << 20, 100_000, 2_000_000
 #: Lines of so many words or more have bit maps of LONG_BITS words of 64 bits, shorter ones of one; lists are apart. Those
@@ -289,9 +289,7 @@ def found_rows(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
 def met(docs: DataFrame, percent: int) -> DataFrame:
     """Rows of FOUND from docs (id, t, k); k: a hash of id and text."""
     steps = rarity(docs)
-    falling = np.cumsum(np.bincount(steps[steps > 0], minlength=_STEPS)[::-1])[::-1]  # slots of a step or a higher one
-    usual = int((falling > COMMON).sum()) if COMMON else _STEPS
-    common = np.uint64(usual) << _HASH
+    common = np.uint64(int(steps_of(np.array([COMMON]))[0]) if COMMON else 0) << _HASH
     shared = docs.sparkSession.sparkContext.broadcast(steps)
     buckets = 4 * partitions(docs, 1.2, 12 << 20)
 

@@ -179,8 +179,9 @@ def test_lines_of_hard_rows(spark):
         line_dedup.deduplicated(docs, 50)
 
 
-def test_long_lines_of_common_words_only(spark):
+def test_long_lines_of_common_words_only(spark, monkeypatch):
     """More than 130 common words in a prefix: copies in other chunks are found as well."""
+    monkeypatch.setattr(line_dedup, "COMMON", 2)
     words = [f"w{k}" for k in range(1000)]
     rows = [(i, " ".join((words if i < 3 else [*words[:i], f"own{i}", *words[i + 1 :]]) * 4)) for i in range(9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(9, "doc_id")
