@@ -27,10 +27,9 @@ from .common import lean, rows_of, staged
 
 #: Bounds of the labelled sample, in rows.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 3000, 12000
-#: Bounds of the lexicon's candidates and of the lexicon.
-CANDIDATES, ENTRIES = 30_000, 5_000
-#: In how many distinct toxic texts an entry must be, and which share of its texts must be toxic.
-MIN_TEXTS, MIN_PRECISION = 5, 0.95
+#: In how many distinct toxic texts an entry must be, which share of its texts must be toxic (both labels weighing
+#: alike), and how many entries each toxic text should have, where there are any.
+MIN_TEXTS, MIN_PRECISION, COVER = 3, 0.85, 3
 STEM_LENGTHS = range(4, 13)
 
 # Letters of other scripts that look like Latin ones, and signs that stand for letters.
@@ -114,14 +113,13 @@ class ToxicityModel:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, b + w * math.log1p(total) + n * math.log1p(max(words, 0))))))
 
 
-def _counted(rows: DataFrame, only: object = None) -> DataFrame:
-    """(feature, n): in how many texts it stands; only: a broadcast set to keep to."""
+def _counted(rows: DataFrame) -> DataFrame:
+    """(feature, n): in how many texts it stands."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
         for (text,) in rows_of(batches):
-            f = features(fold(text))
-            found.update(f if only is None else f & only.value)
+            found.update(features(fold(text)))
             if len(found) > 500_000:
                 yield pa.RecordBatch.from_pydict({"f": list(found), "n": list(found.values())})
                 found.clear()
@@ -132,7 +130,7 @@ def _counted(rows: DataFrame, only: object = None) -> DataFrame:
 
 
 def learn_lexicon(toxic: list[tuple[int, ...]], names: list[str], positive: np.ndarray, negative: np.ndarray, n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Greedy cover: the entry that is in most toxic texts without two entries so far comes next.
+    """Greedy cover: the entry that is in most toxic texts without COVER entries so far comes next.
 
     So words that only copies of one toxic text share don't get in: the true entries have covered those texts.
     """
@@ -144,7 +142,7 @@ def learn_lexicon(toxic: list[tuple[int, ...]], names: list[str], positive: np.n
     covered = [set() for _ in toxic]  # words that the entries so far have hit, by text
     gain = {x: len(ts) for x, ts in where.items()}
     chosen: dict[str, float] = {}
-    while gain and len(chosen) < ENTRIES:
+    while gain:
         most = max(gain.values())
         if most < MIN_TEXTS:
             break
@@ -154,14 +152,15 @@ def learn_lexicon(toxic: list[tuple[int, ...]], names: list[str], positive: np.n
         chosen[names[x]] = float(weight[x])
         stem = names[x].rstrip()
         for t in where[x]:
-            full = len(covered[t]) >= 2
+            full = len(covered[t]) >= COVER
             covered[t].add(stem)
-            if len(covered[t]) >= 2 and not full:
+            if len(covered[t]) >= COVER and not full:
                 for y in toxic[t]:
                     if y in gain:
                         gain[y] -= 1
-        for y in [y for y in gain if names[y].startswith(stem)]:
-            del gain[y]  # what begins with it adds no hit
+        # What begins with it adds no hit, and its own beginnings only add words of other texts, if of any.
+        for y in [y for y in gain if names[y].startswith(stem) or stem.startswith(names[y].rstrip()) and len(where[y]) <= len(where[x])]:
+            del gain[y]
     return chosen
 
 
@@ -199,11 +198,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = staged(docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).join(F.broadcast(marked.where(picked)), "k").select("t", "y").distinct())
     toxic, clean = sample.where("y = 1"), sample.where("y = 0")
     n_toxic, n_clean = toxic.count(), clean.count()
-    top = _counted(toxic).where(F.col("n") >= MIN_TEXTS).orderBy(F.desc("n"), "f").limit(CANDIDATES).collect()  # bounded by CANDIDATES
-    share = spark.sparkContext.broadcast({r["f"] for r in top})
-    against = {r["f"]: r["n"] for r in _counted(clean, share).collect()}  # bounded by CANDIDATES
-    good = [(r["f"], r["n"], against.get(r["f"], 0)) for r in top]
-    good = [g for g in good if g[1] / n_toxic >= MIN_PRECISION * (g[1] / n_toxic + g[2] / max(1, n_clean))]
+    # Bounded by the sample: features of three of its toxic texts that are rare in its clean ones.
+    both = _counted(toxic).where(F.col("n") >= MIN_TEXTS).join(_counted(clean).withColumnRenamed("n", "m"), "f", "left").select("f", "n", F.coalesce("m", F.lit(0)).alias("m"))
+    rate = F.col("n") / F.lit(max(1, n_toxic))
+    good = sorted(((r["f"], r["n"], r["m"]) for r in both.where(rate >= F.lit(MIN_PRECISION) * (rate + F.col("m") / F.lit(max(1, n_clean)))).collect()), key=lambda g: (-g[1], g[0]))
     names = [g[0] for g in good]
     place = spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})
 
@@ -237,7 +235,7 @@ def _exceptions(sample: DataFrame, model: ToxicityModel) -> frozenset[str]:
         yield pa.RecordBatch.from_pydict({"p": [p for p, _ in found], "y": [y for _, y in found], "n": list(found.values())}, pa.schema([("p", pa.string()), ("y", pa.int32()), ("n", pa.int64())]))
 
     by = sample.select("t", "y").mapInArrow(lean(run), "p string, y int, n long").groupBy("p").agg(F.sum(F.expr("IF(y = 0, n, 0)")).alias("c"), F.sum(F.expr("IF(y = 1, n, 0)")).alias("x"))
-    return frozenset(r["p"] for r in by.where("c >= 2 AND x = 0").orderBy(F.desc("c"), "p").limit(ENTRIES).collect())
+    return frozenset(r["p"] for r in by.where("c >= 2 AND x = 0").collect())  # bounded by the hits in the sample's clean texts
 
 
 def _weighed(rows: DataFrame, model: ToxicityModel, key: str) -> DataFrame:
