@@ -18,13 +18,21 @@ TOXIC = 0.7
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that a weighted lexicon, learned from all labelled rows, finds toxic."""
+    """Without documents that a weighted lexicon finds toxic; it is learned from a bounded sample of the labelled rows.
+
+    Null and empty texts have no word and stay unless all labelled rows are toxic; without labels all rows stay. Rows that
+    repeat an id and rows with a null id are judged by their own texts. An empty table stays empty.
+    """
     labels = modest(spark).read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.rejected(docs, toxicity.train(docs, labels), TOXIC)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without lines that an earlier line matches; n_chars follows; documents of which no word is left go."""
+    """Without lines that an earlier line matches; n_chars follows; documents of which no word is left go.
+
+    Null and empty texts, and texts that lose no line, stay as they are. Of rows that repeat an id with other texts each
+    loses its own lines; rows that repeat id and text lose the same ones. An empty table stays empty.
+    """
     modest(spark)
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     done = line_dedup.deduplicated(docs, percent=80, carry=others)
@@ -38,21 +46,33 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group that links of five-word shingles at 0.8 connect.
 
-    Documents with a null id link with nothing and stay; of rows that repeat an id one stays.
+    Null, empty and wordless texts link with nothing and stay, as do documents with a null id. Rows that repeat an id with
+    other texts are documents of their own; of rows that repeat both id and text one stays. An empty table stays empty.
     """
     modest(spark)
-    groups = ngram_join.similar(docs, n=5, percent=80)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    node = F.xxhash64("doc_id", F.coalesce("text", F.lit("")), F.col("text").isNull())
+    rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text", node.alias("node"))
+    groups = ngram_join.similar(rows, n=5, percent=80, id_col="node").distinct()
+    named = groups.join(rows.select("node", "doc_id").distinct(), "node")
+    first = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "node")).alias("first")).select(F.col("first.node").alias("node"))
+    one = docs.where("doc_id IS NOT NULL").withColumn("_node", node).join(first.withColumnRenamed("node", "_node"), "_node", "left_semi").dropDuplicates(["_node"])
+    return one.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that hold 0.8 or more of the five-word shingles of a benchmark item."""
+    """Without documents that hold 0.8 or more of the five-word shingles of a benchmark item.
+
+    Null and wordless texts hold none and stay, as do rows with a null id. Rows that repeat an id are judged by their own
+    texts. Without benchmark items every row stays.
+    """
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 0.8)
 
 
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, and the text decoded from them."""
+    """(doc_id, n_tokens, ids, text) of every row: token ids of its text, and the text decoded from them.
+
+    A null text is encoded as an empty one, which has no ids. Null and repeated ids stay as they are.
+    """
     modest(spark)
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     done = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
