@@ -27,8 +27,8 @@ def evi_of(red: Column, nir: Column, blue: Column, G: float = 2.5, C1: float = 6
 
 def savi_of(nir: Column, red: Column, L: float = 0.5) -> Column:
     _numbers(L=L)
-    if not 0 <= L <= 1:
-        raise ValueError("L must be between 0 and 1")
+    if L < 0 or L > 1:
+        raise ValueError(f"the soil factor L is a share from 0 to 1, not {L}")
     nir, red = nir.cast("double"), red.cast("double")
     return cleaned(ratio(nir - red, nir + red + F.lit(float(L))) * F.lit(1.0 + L))
 

@@ -28,9 +28,16 @@ def sum_of(v: Column) -> Column:
     return F.coalesce(F.sum(not_nan(v)), F.lit(0.0))
 
 
-def median_of(v: Column) -> Column:
+def median_of(v: Column, accuracy: int | None = None) -> Column:
     """NaN if any value is NaN."""
-    return F.when(F.max(F.isnan(v)), F.lit(NAN)).otherwise(F.percentile(not_nan(v), F.lit(0.5)))
+    return percentile_of(v, 50.0, accuracy)
+
+
+def percentiles_of(x: Column, shares: Sequence[float], accuracy: int | None = None) -> dict[float, Column]:
+    """Percentiles (by share, 0 to 1) of the values that aren't null: all elements of one aggregate; with accuracy, of a bounded sketch."""
+    wanted = sorted(set(shares))
+    every = F.percentile(x, F.array(*[F.lit(float(q)) for q in wanted])) if accuracy is None else F.percentile_approx(x, [float(q) for q in wanted], accuracy)
+    return {q: every[i] for i, q in enumerate(wanted)}
 
 
 def percentile_of(v: Column, q: float, accuracy: int | None = None) -> Column:
@@ -94,16 +101,20 @@ def max(data: Raster, axis: int | None = None):
     return _reduce(data, "max", axis, True)
 
 
-def median(data: Raster, axis: int | None = None):
-    """NaN if any value is NaN; no validation."""
-    return _reduce(data, "median", axis, False)
+def median(data: Raster, axis: int | None = None, accuracy: int | None = None):
+    """NaN if any value is NaN; no validation. accuracy: from a bounded sketch."""
+    if accuracy is None:
+        return _reduce(data, "median", axis, False)
+    v = median_of(_number(F.col(data.bands[0]), data.df, data.bands[0]), accuracy).alias("median")
+    return data.df.agg(v).first()[0] if axis is None else data.df.groupBy(AXES[axis]).agg(v)
 
 
 def percentile(data: Raster, q, accuracy: int | None = None):
     """The percentile q (0 to 100), or a list for a list."""
     qs = q if isinstance(q, (list, tuple, np.ndarray)) else [q]
     v = _number(F.col(data.bands[0]), data.df, data.bands[0])
-    got = list(data.df.agg(*[percentile_of(v, float(p), accuracy).alias(f"p{i}") for i, p in enumerate(qs)]).first())
+    at = percentiles_of(not_nan(v), [float(p) / 100.0 for p in qs], accuracy)
+    got = list(data.df.agg(*[F.when(F.max(F.isnan(v)), F.lit(NAN)).otherwise(at[float(p) / 100.0]).alias(f"p{i}") for i, p in enumerate(qs)]).first()) if len(qs) else []
     return got if qs is q else got[0]
 
 
@@ -118,18 +129,19 @@ def unique(data: Raster, return_counts: bool = False) -> DataFrame:
     return out if return_counts else out.select("value")
 
 
-def stats_columns(v: Column, percentiles: Sequence[float] = (0, 25, 50, 75, 100), scale: float | None = None, compat: bool = False) -> list[Column]:
-    """The aggregates of `stats`, for one pass over a table."""
+def stats_columns(v: Column, percentiles: Sequence[float] = (0, 25, 50, 75, 100), scale: float | None = None, compat: bool = False, accuracy: int | None = None) -> list[Column]:
+    """The aggregates of `stats`, for one pass over a table; all percentiles are elements of one aggregate."""
     x = not_nan(v)
     whole = F.when(finite(v), v)
     n = F.count("*").cast("double")
+    at = percentiles_of(x, [0.5, *(p / 100.0 for p in percentiles)], accuracy)
     counts = {"valid": F.count_if(finite(v)), "nan": F.count_if(F.isnan(v)), "zeros": F.count_if(v == 0), "inf": F.count_if(F.abs(v) == F.lit(INF))}
     out = [
         F.min(x).alias("min"),
         F.max(x).alias("max"),
         F.avg(x).alias("mean"),
         F.stddev_pop(x).alias("std"),
-        F.percentile(x, F.lit(0.5)).alias("median"),
+        at[0.5].alias("median"),
         (F.max(x) - F.min(x)).alias("range"),
         F.var_pop(x).alias("variance"),
         F.count("*").alias("size"),
@@ -138,21 +150,23 @@ def stats_columns(v: Column, percentiles: Sequence[float] = (0, 25, 50, 75, 100)
         F.coalesce(F.kurtosis(whole), F.lit(NAN)).alias("kurtosis"),
         *[c.alias(k) for k, c in counts.items()],
         *[(ratio(c, n) * 100).alias(f"{k}_percent") for k, c in counts.items()],
-        *[F.percentile(x, F.lit(p / 100.0)).alias(f"p{p}") for p in percentiles],
+        *[at[p / 100.0].alias(f"p{p}") for p in percentiles],
     ]
     if scale is not None:
         y = ratio(x, F.lit(float(scale)))
-        kinds = {"min": F.min, "max": F.max, "mean": F.avg, "std": F.stddev_pop, "median": lambda c: F.percentile(c, F.lit(0.5))}
-        out += [f(y).alias(f"reflectance_{k}") for k, f in kinds.items()]
-        out += [F.percentile(y, F.lit(p / 100.0)).alias(f"reflectance_p{p}") for p in percentiles]
+        # Division by a positive number keeps the order, so the values' own percentiles are divided.
+        own = {q: ratio(c, F.lit(float(scale))) for q, c in at.items()} if scale > 0 else percentiles_of(y, list(at), accuracy)
+        kinds = {"min": F.min, "max": F.max, "mean": F.avg, "std": F.stddev_pop}
+        out += [f(y).alias(f"reflectance_{k}") for k, f in kinds.items()] + [own[0.5].alias("reflectance_median")]
+        out += [own[p / 100.0].alias(f"reflectance_p{p}") for p in percentiles]
     return out
 
 
-def stats(data: Raster, percentiles: Sequence[float] = (0, 25, 50, 75, 100), reflectance_scale: float | None = None, bins: int = 50, compat: bool = False) -> dict:
-    """Descriptive statistics as a nested dict; compat: `non_zero` counts what isn't NaN, and no histogram comes along."""
+def stats(data: Raster, percentiles: Sequence[float] = (0, 25, 50, 75, 100), reflectance_scale: float | None = None, bins: int = 50, compat: bool = False, accuracy: int | None = None) -> dict:
+    """Descriptive statistics as a nested dict; compat: `non_zero` counts what isn't NaN, and no histogram comes along; accuracy: percentiles from a bounded sketch."""
     validate_array(data, "data")
     band = data.bands[0]
-    row = data.df.agg(*stats_columns(_number(F.col(band), data.df, band), percentiles, reflectance_scale, compat)).first().asDict()
+    row = data.df.agg(*stats_columns(_number(F.col(band), data.df, band), percentiles, reflectance_scale, compat, accuracy)).first().asDict()
     out = {k: v for k, v in row.items() if not k.startswith(("p", "reflectance_")) and not k.endswith("_percent")}
     out |= {"percentiles": {str(p): row[f"p{p}"] for p in percentiles}, "percentages": {k: row[f"{k}_percent"] for k in ("valid", "nan", "zeros", "inf")}, "shape": data.shape, "dtype": data.meta.get("dtype", dict(data.df.dtypes)[band])}
     if reflectance_scale is not None:

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +24,8 @@ def feature_names(bands: tuple[str, ...], window_size: int) -> list[str]:
     return [*bands, *[f"{b}_{k}" for b in bands if window_size > 1 for k in ("mean", "variance")]]
 
 
-def extract_features(raster_data: Raster, window_size: int = 3) -> DataFrame:
-    """(row, col, features array<double>): every band in view, then local means and variances over a window."""
+def extract_features(raster_data: Raster, window_size: int = 3, indices: list[str] | None = None) -> DataFrame:
+    """(row, col, features array<double>): every band in view, then local means and variances over a window; `indices` has no effect."""
     bands = raster_data.bands
     df = raster_data.df.select("row", "col", *[F.col(b).cast("double").alias(b) for b in bands])
     if window_size > 1:
@@ -38,6 +41,15 @@ class Classified:
     labels: list[float]
     report: dict[str, dict[str, float]]
 
+    def report_text(self) -> str:
+        """The report as a table: a line for each class, then accuracy, and the plain and weighted means of the classes."""
+        kinds, total = ("precision", "recall", "f1"), sum(r["support"] for r in self.report.values())
+        lines = [(name, *(f"{r[k]:.2f}" for k in kinds), str(r["support"])) for name, r in self.report.items()]
+        lines.append(("accuracy", "", "", f"{self.accuracy:.2f}", str(total)))
+        for name, weight in (("macro avg", lambda r: 1 / len(self.report)), ("weighted avg", lambda r: r["support"] / total if total else 0.0)):
+            lines.append((name, *(f"{sum(r[k] * weight(r) for r in self.report.values()):.2f}" for k in kinds), str(total)))
+        return "\n".join("".join(f"{c:>14}" for c in line) for line in [("", "precision", "recall", "f1-score", "support"), *lines])
+
 
 def vectors(df: DataFrame) -> DataFrame:
     return df.withColumn("features", array_to_vector("features")) if dict(df.dtypes)["features"].startswith("array") else df
@@ -72,10 +84,27 @@ def train_classifier(samples: DataFrame, model_type: str = "rf", test_size: floa
 
 
 def predict_raster(model, features: DataFrame, batch_size: int | None = None) -> DataFrame:
-    """(row, col, prediction); Spark's partitions are the batches, so batch_size is accepted and has no effect."""
-    if not hasattr(model, "transform"):
-        raise TypeError("the model can't predict")
-    return model.transform(vectors(features)).select("row", "col", "prediction")
+    """(row, col, prediction) by a Spark ML model, or by any object whose predict() takes a matrix (rows of features) and gives a value for each row.
+
+    Such an object goes to the tasks and is asked for a batch of rows at a time; else Spark's partitions are the batches.
+    """
+    if hasattr(model, "transform") and not hasattr(model, "predict_proba"):
+        return model.transform(vectors(features)).select("row", "col", "prediction")
+    if not hasattr(model, "predict"):
+        raise TypeError("a model has to have transform() or predict()")
+    most = batch_size or 65_536
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, most):
+                part = whole.slice(at, most)
+                x = np.array(part.column(2).to_pylist(), np.float64)
+                said = np.asarray(model.predict(x), np.float64).ravel()
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(said)], ["row", "col", "prediction"])
+
+    arrays = features if dict(features.dtypes)["features"].startswith("array") else features.withColumn("features", vector_to_array("features"))
+    kinds = {c: arrays.schema[c].dataType.simpleString() for c in ("row", "col")}
+    return arrays.select("row", "col", F.col("features").cast("array<double>").alias("features")).mapInArrow(run, f"row {kinds['row']}, col {kinds['col']}, prediction double")
 
 
 def detect_changes_ml(raster1: Raster, raster2: Raster, model=None, threshold: float = 0.5) -> Raster:

@@ -2,21 +2,54 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacustra.storage import staged
 
 
-def components(edges: DataFrame) -> DataFrame:
+#: Edges (16 bytes each) that one task solves alone.
+TOGETHER = 200_000
+
+
+def roots_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of edges and the smallest node that each reaches: minima of neighbours, and of what these point at, until nothing changes."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        least = np.minimum(root[x], root[y])
+        new = root.copy()
+        for ends in (x, y, root[x], root[y]):
+            np.minimum.at(new, ends, least)
+        new = new[new]
+        if (new == root).all():
+            return nodes, nodes[root]
+        root = new
+
+
+def _solved(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if held:
+        node, root = roots_of(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["node", "root"])
+
+
+def components(edges: DataFrame, together: int = TOGETHER) -> DataFrame:
     """(node, root) for the nodes of edges (a long, b long): root is the smallest node reachable.
 
-    Alternates the large-star and small-star steps until nothing changes. Each step is two shuffles over the
-    edges, staged in the shared folder; minima are combined before the shuffle, so hubs don't gather anywhere.
-    Nodes without an edge don't come out.
+    Up to `together` edges, counted first, are solved by one task. More are solved by steps that alternate between large and small stars until nothing changes. Each step is two shuffles over the
+    edges, staged in the shared folder. Minima are combined before their shuffle; the joins that give each edge its
+    node's minimum are plain ones, whose hubs adaptive execution splits. Nodes without an edge don't come out.
     """
     now = staged(edges.where("a <> b AND a IS NOT NULL AND b IS NOT NULL").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = _mark(now)
+    if 0 < mark[0] <= together:
+        return now.coalesce(1).mapInArrow(_solved, "node long, root long")
     while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

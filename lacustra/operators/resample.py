@@ -34,7 +34,7 @@ KERNELS = {
 }
 #: Aggregates over the source cells whose share of the target cell is their weight.
 AREA = {
-    "mode": lambda v: F.mode(v),
+    "mode": lambda v: F.mode(v, True),  # of equally frequent values the smallest
     "max": F.max,
     "min": F.min,
     "med": lambda v: F.percentile(v, F.lit(0.5)),
@@ -74,16 +74,21 @@ def _table(df: DataFrame, rows: list[tuple[int, int, float]], axis: str) -> Data
     return F.broadcast(t) if len(rows) <= BROADCAST_ROWS else t
 
 
+def _checked_shape(shape: object) -> None:
+    """ValueError unless shape is a pair (height, width) of positive whole numbers."""
+    match shape:
+        case (int(h), int(w)) if isinstance(shape, tuple) and h > 0 and w > 0:
+            return
+    raise ValueError(f"a shape is a tuple (height, width) of positive whole numbers, not {shape!r}")
+
+
 def resample(array: Raster, target_shape: tuple[int, int], method: str = "bilinear") -> Raster:
     """The raster at another shape. Methods: nearest, bilinear, cubic, cubic_spline, lanczos, gauss, average, sum, rms, mode, max, min, med, q1, q3.
 
     Results are double; with meta dtype of an integer kind they are rounded. NaN cells take no part.
     """
     validate_array(array, "array")
-    if not isinstance(target_shape, tuple) or len(target_shape) != 2:
-        raise ValueError("target_shape must be a tuple of two sizes")
-    if not all(isinstance(n, int) and n > 0 for n in target_shape):
-        raise ValueError("target_shape must hold positive integers")
+    _checked_shape(target_shape)
     if method not in {"nearest", "average", "sum", "rms", *KERNELS, *AREA}:
         raise ValueError(f"unknown method: {method}")
     h, w = target_shape

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacustra.functions.expr import not_nan, ratio, scaled
-from lacustra.functions.stats import histogram
-from lacustra.raster import Raster, aligned
+from lacustra.functions.stats import histogram, percentiles_of
+from lacustra.raster import Raster, aligned, from_numpy
 
 
 @dataclass
@@ -87,9 +88,15 @@ def changes(data: Raster, title: str = "", symmetric: bool = True, vmin: float |
     return View([thinned(data, cells)], [title], (low if vmin is None else vmin, high if vmax is None else vmax), {"colorbar": colorbar_label})
 
 
-def hist(data: Raster, bins: int = 50, density: bool = True, title: str = "") -> View:
+def hist(data: Raster | np.ndarray | list, bins: int = 50, density: bool = True, title: str = "", xlabel: str = "Value", ylabel: str | None = None, reflectance_scale: float | None = None) -> View:
+    """A histogram of a raster, or of an array or (nested) list of numbers, which goes to the active session; ValueError if it is empty."""
+    if isinstance(data, (list, tuple, np.ndarray)):
+        flat = np.asarray(data, np.float64).reshape(1, -1)
+        if not flat.size:
+            raise ValueError("there is nothing to count")
+        data = from_numpy(SparkSession.getActiveSession(), flat)
     _checked(data)
-    return View([histogram(data.df, data.value, bins, density)], [title], None, {"y": "Density" if density else "Count"})
+    return View([histogram(data.df, scaled(data.value, reflectance_scale), bins, density)], [title], None, {"x": xlabel, "y": ylabel or ("Density" if density else "Count")})
 
 
 def distribution_comparison(data1: Raster, data2: Raster, bins: int = 50, density: bool = True, title1: str = "", title2: str = "") -> View:
@@ -98,13 +105,13 @@ def distribution_comparison(data1: Raster, data2: Raster, bins: int = 50, densit
     return View([histogram(d.df, d.value, bins, density) for d in (data1, data2)], [title1, title2], None, {"y": "Density" if density else "Count"})
 
 
-def rgb_columns(df: DataFrame, names: dict[str, str], scale_factor: float = 1.0, gamma: float = 1.0, percentile: float = 98.0, scale: float | None = None) -> list[Column]:
-    """Expressions for red, green and blue in 0..1, stretched to a percentile of each band (one aggregation, run here).
+def rgb_columns(df: DataFrame, names: dict[str, str], scale_factor: float = 1.0, gamma: float = 1.0, percentile: float = 98.0, scale: float | None = None, accuracy: int | None = None) -> list[Column]:
+    """Expressions for red, green and blue in 0..1, stretched to a percentile of each band (one aggregation, run here; accuracy: from bounded sketches).
 
     A band with NaN, or whose percentile is 0, has no finite stretch and comes out as null.
     """
     v = {k: scaled(F.col(n), scale) * F.lit(float(scale_factor)) for k, n in names.items()}
-    tops = df.agg(*[F.when(F.max(F.isnan(c)), F.lit(None)).otherwise(F.percentile(c, F.lit(percentile / 100.0))).alias(k) for k, c in v.items()]).first()
+    tops = df.agg(*[F.when(F.max(F.isnan(c)), F.lit(None)).otherwise(percentiles_of(c, [percentile / 100.0], accuracy)[percentile / 100.0]).alias(k) for k, c in v.items()]).first()
     out = []
     for k, c in v.items():
         part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ratio(c, F.lit(tops[k]).cast("double"))))
@@ -112,10 +119,10 @@ def rgb_columns(df: DataFrame, names: dict[str, str], scale_factor: float = 1.0,
     return out
 
 
-def plot_rgb(red: Raster, green: Raster, blue: Raster, title: str = "", scale_factor: float = 1.0, gamma: float = 1.0, percentile: float = 98.0, reflectance_scale: float | None = None) -> View:
+def plot_rgb(red: Raster, green: Raster, blue: Raster, title: str = "", scale_factor: float = 1.0, gamma: float = 1.0, percentile: float = 98.0, reflectance_scale: float | None = None, accuracy: int | None = None) -> View:
     _checked(red, green, blue)
     df, names = aligned(red, green, blue)
-    return View([df.select("row", "col", *rgb_columns(df, dict(zip(("red", "green", "blue"), names, strict=True)), scale_factor, gamma, percentile, reflectance_scale))], [title])
+    return View([df.select("row", "col", *rgb_columns(df, dict(zip(("red", "green", "blue"), names, strict=True)), scale_factor, gamma, percentile, reflectance_scale, accuracy))], [title])
 
 
 def compare_rgb(rgb1: tuple[Raster, Raster, Raster], rgb2: tuple[Raster, Raster, Raster], title1: str = "", title2: str = "", **options) -> View:

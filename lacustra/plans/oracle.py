@@ -57,6 +57,15 @@ _SHAPES = """h AS (SELECT max(row) + 1 AS h FROM m),
 _ORDERS = f"o AS (SELECT (o_orderkey // {ORDER_WIDTH})::INTEGER AS row, (o_orderkey % {ORDER_WIDTH})::INTEGER AS col, o_totalprice::DOUBLE AS v FROM orders), s AS (SELECT count(*) // {ORDER_WIDTH} AS h, {ORDER_WIDTH} AS w FROM orders)"
 
 
+#: Kernels over the distance x in target cells (in source cells where the raster grows).
+_KERNELS = {
+    "cubic": "CASE WHEN x < 1 THEN (1.5 * x - 2.5) * x * x + 1 WHEN x < 2 THEN ((2.5 - 0.5 * x) * x - 4) * x + 2 ELSE 0 END",
+    "cubic_spline": "CASE WHEN x < 1 THEN 2.0 / 3 - x * x + x * x * x / 2 WHEN x < 2 THEN (2 - x) ** 3 / 6 ELSE 0 END",
+    "lanczos": "CASE WHEN x < 1e-9 THEN 1 WHEN x < 3 THEN 3 * sin(pi() * x) * sin(pi() * x / 3) / (pi() * pi() * x * x) ELSE 0 END",
+    "gauss": "CASE WHEN x <= 1.5 THEN exp(-2 * x * x) ELSE 0 END",
+}
+
+
 def _weights(axis: str, size: str, out: int, kind: str) -> str:
     """(i, j, w) of one axis: triangles that widen when shrinking, or shares of area."""
     base = f"SELECT i, j, {size}::DOUBLE / {out} AS step FROM s, (SELECT unnest(range({out}))::INTEGER AS i), (SELECT unnest(range((SELECT {size} FROM s)))::INTEGER AS j)"
@@ -64,8 +73,10 @@ def _weights(axis: str, size: str, out: int, kind: str) -> str:
         "nearest": f"SELECT i, j, 1.0 AS w FROM ({base}) WHERE j = least((SELECT {size} FROM s) - 1, floor((i + 0.5) * step))",
         "bilinear": f"SELECT i, j, greatest(0.0, 1 - abs((j - ((i + 0.5) * step - 0.5)) / greatest(1.0, step))) AS w FROM ({base})",
         "average": f"SELECT i, j, least(j + 1, (i + 1) * step) - greatest(j, i * step) AS w FROM ({base})",
+        **{k: f"SELECT i, j, {w} AS w FROM (SELECT i, j, abs((j - ((i + 0.5) * step - 0.5)) / greatest(1.0, step)) AS x FROM ({base}))" for k, w in _KERNELS.items()},
     }[kind]
-    return f"{axis} AS (SELECT i, j, w / sum(w) OVER (PARTITION BY i) AS w FROM ({raw}) WHERE w > 1e-12)"
+    kept = "w > 1e-12" if kind not in _KERNELS else "abs(w) > 1e-12"
+    return f"{axis} AS (SELECT i, j, w / sum(w) OVER (PARTITION BY i) AS w FROM ({raw}) WHERE {kept})"
 
 
 def _resampled(h: int, w: int, kind: str, digits: int) -> str:
@@ -73,6 +84,16 @@ def _resampled(h: int, w: int, kind: str, digits: int) -> str:
         SELECT a.i::INTEGER AS row, b.i::INTEGER AS col, {_r("sum(o.v * a.w * b.w)", digits)} AS value FROM o JOIN wr a ON a.j = o.row JOIN wc b ON b.j = o.col GROUP BY a.i, b.i"""
 
 
+def _areas(h: int, w: int) -> str:
+    """(method, row, col, value) by the aggregates over the cells that a target cell covers."""
+    kinds = {"sum": f"sum(t * ww) * any_value(area) / {h * w}", "rms": "sqrt(sum(t * t * ww))", "max": "max(t)", "min": "min(t)", "med": "quantile_cont(t, 0.5)", "q1": "quantile_cont(t, 0.25)", "q3": "quantile_cont(t, 0.75)"}
+    each = " UNION ALL ".join(f"SELECT '{k}' AS method, i::INTEGER AS row, k::INTEGER AS col, {_r(x)} AS value FROM c GROUP BY i, k" for k, x in kinds.items())
+    return f"""WITH {_ORDERS}, {_weights("wr", "h", h, "average")}, {_weights("wc", "w", w, "average")},
+        c AS (SELECT a.i AS i, b.i AS k, floor(o.v / 10000) AS t, a.w * b.w AS ww, s.h * s.w AS area FROM o JOIN wr a ON a.j = o.row JOIN wc b ON b.j = o.col, s),
+        n AS (SELECT i, k, t, row_number() OVER (PARTITION BY i, k ORDER BY count(*) DESC, t) AS place FROM c GROUP BY i, k, t)
+        {each} UNION ALL SELECT 'mode', i::INTEGER, k::INTEGER, {_r("t")} FROM n WHERE place = 1"""
+
+
 def _histogram(source: str, bins: int) -> str:
     """SELECT (bin, bin_start, bin_end, n, height) of the column v of a table."""
     return f"""SELECT b.bin::INTEGER AS bin, b.lo AS bin_start, b.hi AS bin_end, count(t.v) AS n, count(t.v) / ((SELECT count(*) FROM {source}) * any_value(b.width)) AS height FROM
@@ -103,7 +124,10 @@ _ALL = f"WITH {_CELLS} SELECT row, col, {_r('v')} AS value FROM e"
 ORACLE_SQL: dict[str, str] = {
     "s1_read_geotiff": _ALL,
     "s2_write_pixels": _ALL,
-    "v1_v2_v3_validation": "SELECT count(l_extendedprice) AS l_extendedprice_valid, count(l_quantity) AS l_quantity_valid, count(l_discount) AS l_discount_valid, count(l_tax) AS l_tax_valid, count(*) AS size FROM lineitem",
+    "v1_v2_v3_validation": """SELECT * FROM (VALUES ('array', 'None'), ('array of NaN', 'ValueError'), ('array without cells', 'ValueError'), ('no array', 'TypeError'), ('bands', 'None'), ('no bands', 'ValueError'),
+        ('bands of two shapes', 'ValueError'), ('a band of NaN', 'ValueError'), ('index of two shapes', 'ValueError'), ('index of a number', 'TypeError'), ('index with a bad factor', 'ValueError'), ('index', '(1000, 8)')) t(checked, outcome)""",
+    "v4_pixel_size": "SELECT * FROM (VALUES ('30', '900.0'), ('10 x 20', '200.0'), ('0', 'ValueError'), ('-1', 'ValueError'), ('three', 'ValueError'), ('text', 'TypeError')) t(size, outcome)",
+    "s3_s4_model_round_trip": "SELECT count(*) AS n, count(*) AS same, 'rf' AS kind FROM embeddings",
     "a1_a5_reductions": f"WITH {_CELLS} SELECT {_REDUCTIONS} FROM e",
     "a1_a5_reductions_axis0": f"WITH {_CELLS} SELECT col, {_REDUCTIONS} FROM e GROUP BY col",
     "a1_a5_reductions_axis1": f"WITH {_CELLS} SELECT row, {_REDUCTIONS} FROM e GROUP BY row",
@@ -134,6 +158,10 @@ ORACLE_SQL: dict[str, str] = {
     "r1_resample_nearest": _resampled(60, 70, "nearest", 6),
     "r1_resample_bilinear": _resampled(60, 150, "bilinear", 8),
     "r1_resample_average": _resampled(30, 40, "average", 8),
+    "r1_resample_kernels": " UNION ALL ".join(f"SELECT '{k}' AS method, row, col, value FROM ({_resampled(40, 130, k, 3)})" for k in _KERNELS),
+    "r1_resample_areas": _areas(30, 40),
+    "r1_resample_whole_numbers": f"""WITH {_ORDERS}, m AS (SELECT row // 2 AS row, col // 2 AS col, sum(floor(v / 10000)) AS t FROM o, s WHERE row < h GROUP BY ALL)
+        SELECT row::INTEGER AS row, col::INTEGER AS col, CASE WHEN t % 4 = 2 THEN 2 * floor((t + 4) / 8) ELSE round(t / 4) END + 0.0 AS value FROM m""",
     "r2_components": f"WITH RECURSIVE {_BODIES} SELECT row, col, body_id FROM body",
     "r3_shape_metrics": f"WITH RECURSIVE {_BODIES}, {_SHAPES} SELECT body_id, pixels, " + ", ".join(f"{_r(c)} AS {c}" for c in ("perimeter", "compactness", "elongation", "orientation")) + " FROM shape",
     "r4_water_stats": f"""WITH RECURSIVE {_BODIES}, z AS (SELECT body_id, count(*) AS n FROM body GROUP BY body_id)
@@ -153,6 +181,17 @@ ORACLE_SQL: dict[str, str] = {
         SELECT e.row, e.col, {_r("any_value(e.v)")} AS value, {_r("avg(q.v)")} AS mean, {_r("greatest(0.0, avg(q.v * q.v) - avg(q.v) * avg(q.v))")} AS variance FROM q JOIN e ON e.row = q.row AND e.col = q.col GROUP BY e.row, e.col""",
     "m4_detect_changes": f"WITH {_CELLS} SELECT a.row, a.col, abs(b.v - a.v) > 0.2::DOUBLE AS changed FROM e a JOIN e b ON a.row = b.row AND b.col = a.col + 32 WHERE a.col < 32",
     "m5_augment": "SELECT copy::INTEGER AS copy, label, count(*) AS n FROM embeddings, (SELECT unnest([0, 1, 3]) AS copy) GROUP BY ALL",
+    "m6a_kmeans": "SELECT (o_orderkey % 3)::INTEGER AS cluster, count(*) AS n FROM orders GROUP BY 1",
+    "m6b_dbscan": """WITH RECURSIVE s AS (SELECT day(ts) AS d, floor(value) AS v, count(*) AS w, min(event_id) AS p FROM events GROUP BY ALL),
+        near AS (SELECT a.p, b.p AS q, b.w FROM s a JOIN s b ON a.d = b.d AND abs(a.v - b.v) <= 1),
+        core AS (SELECT p FROM near GROUP BY p HAVING sum(w) >= 8),
+        links AS (SELECT p, q FROM near WHERE p IN (FROM core) AND q IN (FROM core)),
+        reach(p, l) AS (SELECT p, p FROM core UNION SELECT links.q, reach.l FROM reach JOIN links ON links.p = reach.p WHERE reach.l < links.q),
+        own AS (SELECT p, min(l) AS f FROM reach GROUP BY p),
+        settled AS (FROM own UNION ALL SELECT near.p, min(f) FROM near JOIN own ON own.p = near.q WHERE near.p NOT IN (FROM core) GROUP BY near.p),
+        named AS (SELECT f, row_number() OVER (ORDER BY f) - 1 AS cluster FROM (SELECT DISTINCT f FROM own))
+        SELECT coalesce(cluster, -1) AS cluster, sum(w)::BIGINT AS n FROM s LEFT JOIN settled USING (p) LEFT JOIN named USING (f) GROUP BY 1""",
+    "m8_optimize_clustering": "SELECT 4 AS n_clusters, 3 AS tried",
     "m6c_standard_scaler": f"SELECT {_K}, " + ", ".join(f"{_r(f'({c} - (SELECT avg({c}) FROM lineitem)) / (SELECT stddev_pop({c}) FROM lineitem)')} AS {c}" for c in ("l_extendedprice", "l_quantity")) + " FROM lineitem",
     "m7_analyze_clusters": f"""WITH RECURSIVE {_BODIES}, {_SHAPES} SELECT body_id, {_r("pixels * 900.0::DOUBLE")} AS area_m2, {_r("perimeter * 30.0::DOUBLE")} AS perimeter_m,
         {_r("CASE WHEN perimeter > 0 THEN 4 * pi() * pixels / (perimeter * perimeter) ELSE 0.0 END")} AS compactness FROM shape""",

@@ -12,7 +12,7 @@ from lacustra.functions.expr import rounded, scaled
 from lacustra.operators import clustering, features, neighbors, resample, views, water
 from lacustra.operators.components import label
 from lacustra.plans.tables import LINE_BANDS, ORDER_WIDTH, embedding_cells, embedding_raster, event_cells, event_masks, line_cells, table
-from lacustra.raster import Raster
+from lacustra.raster import Raster, pixel_area_m2, validate_array, validate_bands
 from lacustra.sources import pixels
 from lacustra.storage import new_path, staged
 from lacustra.streaming import scenes
@@ -68,11 +68,43 @@ def s3_s4_model_round_trip(spark, sf_dir):
 # Validation
 
 
+def _outcome(check: Callable[[], object]) -> str:
+    """What a validator gives or raises."""
+    try:
+        return str(check())
+    except (TypeError, ValueError) as e:
+        return type(e).__name__
+
+
 @query
 def v1_v2_v3_validation(spark, sf_dir):
-    """How many values of each band are there, and how many aren't NaN."""
-    bands = ["l_extendedprice", "l_quantity", "l_discount", "l_tax"]
-    return line_cells(spark, sf_dir).agg(*[F.count(F.when(~F.isnan(b), F.col(b))).alias(f"{b}_valid") for b in bands], F.count("*").alias("size"))
+    """What the validators say of bands of lineitem: whole ones, one of NaN only, one without cells, one of another shape, and no raster at all."""
+    cells = line_cells(spark, sf_dir).withColumns({"row": F.col("l_orderkey").cast("int"), "col": F.col("l_linenumber"), "missing": F.lit(float("nan"))})
+    whole = Raster(cells, 1000, 8, ("l_quantity", "l_tax", "missing"))
+    good, other, missing = whole["l_quantity"], whole["l_tax"], whole["missing"]
+    empty, wide = Raster(cells, 0, 8, ("l_quantity",)), Raster(cells, 1000, 9, ("l_quantity",))
+    checks: dict[str, Callable[[], object]] = {
+        "array": lambda: validate_array(good),
+        "array of NaN": lambda: validate_array(missing),
+        "array without cells": lambda: validate_array(empty),
+        "no array": lambda: validate_array(1.5),
+        "bands": lambda: validate_bands(good, other),
+        "no bands": lambda: validate_bands(),
+        "bands of two shapes": lambda: validate_bands(good, wide),
+        "a band of NaN": lambda: validate_bands(good, missing),
+        "index of two shapes": lambda: indices.ndvi(good, wide),
+        "index of a number": lambda: indices.ndvi(good, 3),
+        "index with a bad factor": lambda: indices.savi(good, other, L=2),
+        "index": lambda: indices.ndvi(good, other).shape,
+    }
+    return spark.createDataFrame([(k, _outcome(f)) for k, f in checks.items()], "checked string, outcome string")
+
+
+@query
+def v4_pixel_size(spark, sf_dir):
+    """Areas of cells by edges, and what is no edge."""
+    sizes = {"30": 30.0, "10 x 20": (10.0, 20.0), "0": 0, "-1": (30.0, -1.0), "three": (1.0, 2.0, 3.0), "text": "30"}
+    return spark.createDataFrame([(k, _outcome(lambda v=v: pixel_area_m2(v))) for k, v in sizes.items()], "size string, outcome string")
 
 
 # Reductions
@@ -196,6 +228,36 @@ def r1_resample_average(spark, sf_dir):
     return rounds(resample.resample(_orders(spark, sf_dir), (30, 40), "average").df, 8)
 
 
+def _several(r: Raster, methods: dict[str, tuple[int, int]], digits: int = 6) -> DataFrame:
+    """(method, row, col, value) of a raster resampled in several ways."""
+    parts = [resample.resample(r, shape, m).df.withColumn("method", F.lit(m)) for m, shape in methods.items()]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return rounds(whole, digits)
+
+
+@query
+def r1_resample_kernels(spark, sf_dir):
+    """Orders through the kernels, to fewer rows and more columns."""
+    return _several(_orders(spark, sf_dir), dict.fromkeys(("cubic", "cubic_spline", "lanczos", "gauss"), (40, 130)), 3)
+
+
+@query
+def r1_resample_areas(spark, sf_dir):
+    """Thousands of orders' prices by the aggregates over cells that a target cell covers."""
+    r = _orders(spark, sf_dir)
+    thousands = r.with_value(F.floor(F.col("value") / 10000).cast("double"))
+    return _several(thousands, dict.fromkeys(("sum", "rms", "mode", "max", "min", "med", "q1", "q3"), (30, 40)))
+
+
+@query
+def r1_resample_whole_numbers(spark, sf_dir):
+    """A raster of an integer type: means are rounded, halves to even."""
+    r = _orders(spark, sf_dir)
+    return rounds(resample.resample(Raster(r.df.select("row", "col", F.floor(F.col("value") / 10000).cast("double").alias("value")), r.height, r.width, ("value",), {"dtype": "uint8"}), (r.height // 2, 50), "average").df)
+
+
 @query
 def r2_components(spark, sf_dir):
     return label(event_masks(spark, sf_dir)[0])
@@ -301,17 +363,20 @@ def _scene(spark: SparkSession, sf_dir: str) -> Raster:
 
 @query
 def m6a_kmeans(spark, sf_dir):
-    clusters, _ = clustering.cluster_water_bodies(_scene(spark, sf_dir), n_clusters=3)
+    """Sizes of three clusters that lie apart: prices, moved by the order's key modulo 3."""
+    r = _orders(spark, sf_dir)
+    third, price = (F.col("row") * ORDER_WIDTH + F.col("col")) % 3, F.col("value") / 1e6
+    apart = Raster(r.df.select("row", "col", (price + 10 * third).alias("a"), (price - 5 * third).alias("b")), r.height, r.width, ("a", "b"))
+    clusters, _ = clustering.cluster_water_bodies(apart, n_clusters=3)
     return clusters.df.groupBy("cluster").agg(F.count("*").alias("n"))
 
 
 @query
 def m6b_dbscan(spark, sf_dir):
-    """Sizes of the clusters of events' values by hour of the month; -1 is noise."""
-    e = table(spark, sf_dir, "events")
-    points = e.select(F.col("event_id").alias("id"), (F.dayofmonth("ts") + F.hour("ts") / 24.0).alias("t"), F.round("value", 1).alias("v"))
-    found = clustering.dbscan(points, ["t", "v"], eps=0.05, min_samples=4)
-    return found.groupBy("cluster").agg(F.count("*").alias("n"))
+    """Sizes of the clusters of events by day (days are far apart) and whole value; -1 is noise."""
+    points = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), (F.dayofmonth("ts") * 10.0).alias("day"), F.floor("value").cast("double").alias("v"))
+    found = clustering.dbscan(points, ["day", "v"], eps=1.0, min_samples=8)
+    return found.groupBy(F.col("cluster").cast("long").alias("cluster")).agg(F.count("*").alias("n"))
 
 
 @query
@@ -328,7 +393,8 @@ def m7_analyze_clusters(spark, sf_dir):
 
 @query
 def m8_optimize_clustering(spark, sf_dir):
-    best, results = clustering.optimize_clustering(_scene(spark, sf_dir), param_grid={"n_clusters": [2, 3], "seed": [42]})
+    """The default grid: inertia falls with every further cluster, so the largest number is the best."""
+    best, results = clustering.optimize_clustering(_scene(spark, sf_dir))
     return spark.createDataFrame([(best["n_clusters"], len(results))], "n_clusters int, tried int")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lacustra.raster import Raster, validate_array
 from lacustra.sources import tiff
+from lacustra.storage import staged
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -71,56 +72,47 @@ STRIP_ROWS = 64
 
 
 def write(filepath: str, data: Raster, metadata: dict | None = None) -> None:
-    """A GeoTIFF of one band. Strips are encoded on the executors and appended one by one; RuntimeError if it fails.
+    """A GeoTIFF of one band; RuntimeError if it fails, after validate_array's errors.
 
-    validate_array's errors come first. metadata: dtype (uint8, int16, uint16, int32, float32, float64), compress
-    (none or deflate), transform (six numbers).
+    Strips are encoded on the executors and staged; once their sizes are known the header is written, and the strips follow
+    one by one, as one file has one writer. metadata: dtype (uint8, int16, uint16, int32, float32, float64), compress (none
+    or deflate), transform (six numbers), crs (EPSG:code) and nodata (cells that are NaN get it); what the raster's own
+    metadata say of place, coordinate system and missing values holds where metadata don't.
     """
     validate_array(data, "data")
-    meta = {"dtype": "float64", "compress": "deflate"} | (metadata or {})
+    meta = {"dtype": "float64", "compress": "deflate"} | {k: v for k, v in data.meta.items() if k in ("transform", "crs", "geo", "nodata")} | (metadata or {})
+    if "crs" in (metadata or {}) and "geo" not in metadata:
+        meta.pop("geo", None)
     w, h = data.width, data.height
+    fill = np.nan if meta.get("nodata") is None else float(meta["nodata"])
 
     def encode(pdf: pd.DataFrame) -> pd.DataFrame:
         strip = int(pdf["strip"].iloc[0])
         block = np.full((min(STRIP_ROWS, h - strip * STRIP_ROWS), w), np.nan)
         block[pdf["row"] - strip * STRIP_ROWS, pdf["col"]] = pdf["v"]
-        return pd.DataFrame({"strip": [strip], "data": [tiff.encoded(block, meta["dtype"], meta["compress"])]})
+        return pd.DataFrame({"strip": [strip], "data": [tiff.encoded(np.where(np.isnan(block), fill, block), meta["dtype"], meta["compress"])]})
 
     try:
-        cells: DataFrame = data.df.select(F.floor(F.col("row") / STRIP_ROWS).cast("int").alias("strip"), "row", "col", data.value.cast("double").alias("v"))
-        strips = cells.groupBy("strip").applyInPandas(encode, "strip int, data binary").repartitionByRange("strip").sortWithinPartitions("strip")
         spark = data.df.sparkSession
+        cells: DataFrame = data.df.select(F.floor(F.col("row") / STRIP_ROWS).cast("int").alias("strip"), "row", "col", data.value.cast("double").alias("v"))
+        strips = staged(cells.groupBy("strip").applyInPandas(encode, "strip int, data binary"))
+        sizes = {r["strip"]: r["n"] for r in strips.select("strip", F.octet_length("data").alias("n")).collect()}  # a number for each STRIP_ROWS rows of cells
+        empty = {k: tiff.encoded(np.full((min(STRIP_ROWS, h - k * STRIP_ROWS), w), fill), meta["dtype"], meta["compress"]) for k in range(-(-h // STRIP_ROWS)) if k not in sizes}
+        order = [sizes[k] if k in sizes else len(empty[k]) for k in range(-(-h // STRIP_ROWS))]
         path = spark._jvm.org.apache.hadoop.fs.Path(filepath)
         out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
         try:
-            at, places = 8, []
-            out.write(bytearray(b"II*\0\0\0\0\0"))
-            for r in strips.toLocalIterator():  # one strip at a time
-                places.append((at, len(r["data"])))
+            out.write(bytearray(tiff.head(h, w, STRIP_ROWS, order, meta)))
+            at = 0
+            for r in strips.repartitionByRange(max(1, len(sizes) // 16), "strip").sortWithinPartitions("strip").toLocalIterator():  # a few strips at a time
+                while at < r["strip"]:
+                    out.write(bytearray(empty[at]))
+                    at += 1
                 out.write(bytearray(r["data"]))
-                at += len(r["data"])
-            directory, offset = tiff.directory(at, h, w, STRIP_ROWS, places, meta)
-            out.write(bytearray(directory))
+                at += 1
+            for k in range(at, len(order)):
+                out.write(bytearray(empty[k]))
         finally:
             out.close()
-        _patch(spark, filepath, offset)
     except Exception as e:
         raise RuntimeError(f"can't write {filepath}") from e
-
-
-def _patch(spark: SparkSession, filepath: str, offset: int) -> None:
-    """Puts the directory's place into the header; stores only append, so the file is copied once with a new header."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    source, target = jvm.org.apache.hadoop.fs.Path(f"{filepath}.part"), jvm.org.apache.hadoop.fs.Path(filepath)
-    fs = target.getFileSystem(conf)
-    fs.delete(source, True)
-    fs.rename(target, source)
-    out, inp = fs.create(target, True), fs.open(source)
-    try:
-        out.write(bytearray(b"II*\0" + offset.to_bytes(4, "little")))
-        inp.seek(8)
-        jvm.org.apache.hadoop.io.IOUtils.copyBytes(inp, out, 1 << 20, False)
-    finally:
-        inp.close()
-        out.close()
-    fs.delete(source, True)

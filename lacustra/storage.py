@@ -3,18 +3,26 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Temporary folders by application, of sessions that run in one process.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; only where it names none, a temporary folder (as in tests)."""
+    """The session's spark.checkpoint.dir. Where it names none, a temporary folder if all runs in this process, else RuntimeError."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lacustra-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        context = spark.sparkContext
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = _OWN.setdefault(context.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="lacustra-")
+        _OWN[context.applicationId] = found
     return found.rstrip("/")
 
 

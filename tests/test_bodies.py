@@ -60,11 +60,12 @@ def test_labels_equal_a_search_across_tiles(spark, monkeypatch):
     assert (got == flood(m)).all()
 
 
-def test_graph_components(spark):
+@pytest.mark.parametrize("together", [0, 1000])
+def test_graph_components(spark, together):
     edges = spark.createDataFrame([(5, 9), (9, 7), (1, 2), (7, 30), (2, 1), (4, 4), (None, 3)], "a long, b long")
-    assert sorted(map(tuple, components(edges).collect())) == [(1, 1), (2, 1), (5, 5), (7, 5), (9, 5), (30, 5)]
+    assert sorted(map(tuple, components(edges, together).collect())) == [(1, 1), (2, 1), (5, 5), (7, 5), (9, 5), (30, 5)]
     chain = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
-    assert {r["root"] for r in components(chain).collect()} == {0}
+    assert {r["root"] for r in components(chain, together).collect()} == {0}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 

@@ -162,3 +162,118 @@ def test_stream_of_scenes(spark, tmp_path):
     stream = with_indices(spark.readStream.schema("red double, nir double").parquet(f"{tmp_path}/in"), ["ndvi"])
     stream.writeStream.format("memory").queryName("scenes").trigger(availableNow=True).start().awaitTermination()
     assert sorted(round(r["ndvi"], 6) for r in spark.table("scenes").collect()) == [0.0, 0.333333]
+
+
+def lzw(data: bytes) -> bytes:
+    """A plain LZW writer for TIFF: codes get wider as soon as entry 511, 1023 or 2047 is added."""
+    out, held, bits = bytearray(), 0, 0
+    table, word, width = {bytes([i]): i for i in range(256)}, b"", 9
+
+    def put(code: int) -> None:
+        nonlocal held, bits
+        held, bits = held << width | code, bits + width
+        while bits >= 8:
+            bits -= 8
+            out.append(held >> bits & 255)
+
+    put(256)
+    following = 258
+    for b in data:
+        if word + bytes([b]) in table:
+            word += bytes([b])
+            continue
+        put(table[word])
+        table[word + bytes([b])] = following
+        following += 1
+        width = min(12, max(9, following.bit_length()))
+        word = bytes([b])
+        if following == 4094:
+            put(table[word])
+            put(256)
+            table, word, following, width = {bytes([i]): i for i in range(256)}, b"", 258, 9
+    if word:
+        put(table[word])
+        following += 1
+        width = min(12, max(9, following.bit_length()))
+    put(257)
+    return bytes(out) + bytes([held << (8 - bits) & 255] if bits else [])
+
+
+def test_lzw_and_pack_bits():
+    rng = np.random.default_rng(3)
+    for data in (b"", b"\7\7\7\10\10\7\7\6\6", bytes(rng.integers(0, 4, 9000).astype(np.uint8)), bytes(rng.integers(0, 256, 20_000).astype(np.uint8)), b"a" * 5000):
+        assert tiff.unpacked_lzw(lzw(data)) == data
+    assert tiff.unpacked_bits(b"\xfe\xaa\x02\x80\x00\x2a\xfd\xaa\x03\x80\x00\x2a\x22\xf7\xaa\x80") == bytes.fromhex("aaaaaa80002aaaaaaaaa80002a22" + "aa" * 10)
+
+
+@pytest.mark.parametrize("kind", ["<f4", ">f8"])
+def test_predicted_floats(kind):
+    block = np.random.default_rng(5).normal(size=(4, 7)).astype(kind)
+    high_first = block.astype(np.dtype(kind).newbyteorder(">")).view(np.uint8).reshape(4, 7, -1).transpose(0, 2, 1).reshape(4, -1)
+    steps = np.diff(high_first, axis=1, prepend=np.uint8(0)).astype(np.uint8)
+    assert (tiff.undone(steps.tobytes(), np.dtype(kind), 4, 7, 1, 3)[:, :, 0] == block).all()
+
+
+@pytest.mark.parametrize("big", [False, True])
+def test_header_of_tiff_and_bigtiff(big):
+    meta = {"dtype": "int16", "compress": "none", "transform": [30.0, 0.0, 500.0, 0.0, -30.0, 900.0], "crs": "EPSG:32633", "nodata": -9999}
+    a, b = np.arange(12, dtype="<i2").reshape(2, 6), np.arange(6, dtype="<i2").reshape(1, 6)
+    sizes, data = [24, 12], a.tobytes() + b.tobytes()
+    first = len(tiff._head(0, 3, 6, 2, sizes, meta, big))
+    content = tiff._head(first, 3, 6, 2, sizes, meta, big) + data
+    said = tiff.metadata(content)
+    assert (said["crs"], said["nodata"], said["transform"], said["dtype"]) == ("EPSG:32633", -9999.0, meta["transform"], "int16")
+    assert [(r, x.tolist()) for r, x in tiff.strips(content)] == [(0, a.tolist()), (2, b.tolist())]
+
+
+def test_place_and_missing_values_are_kept(spark, tmp_path):
+    values = np.arange(200.0).reshape(100, 2)
+    values[3, 1] = np.nan
+    one, two = f"file://{tmp_path}/one.tif", f"file://{tmp_path}/two.tif"
+    q.write(one, q.from_numpy(spark, values), {"crs": "EPSG:4326", "nodata": -1, "transform": [1.0, 0.0, 2.0, 0.0, -1.0, 3.0]})
+    raster, meta = q.read(spark, one)
+    q.write(two, raster)
+    again = q.read(spark, two)[1]
+    assert again["crs"] == meta["crs"] == "EPSG:4326" and again["nodata"] == -1 and again["transform"] == meta["transform"] and again["geo"] == meta["geo"]
+    assert raster.to_numpy()[3, 1] == -1
+
+
+def test_any_model_that_predicts(spark):
+    class Threshold:
+        """Neither of Spark ML nor of another library."""
+
+        def predict(self, x):
+            return (x[:, 0] > 2).astype(int)
+
+    r = q.from_numpy(spark, np.arange(6.0).reshape(2, 3))
+    said = {(x["row"], x["col"]): x["prediction"] for x in q.predict_raster(Threshold(), q.extract_features(r, 1, indices=["ndvi"]), batch_size=2).collect()}
+    assert said == {(i, j): float(3 * i + j > 2) for i in range(2) for j in range(3)}
+    with pytest.raises(TypeError):
+        q.predict_raster(object(), q.extract_features(r, 1))
+
+
+def test_histograms_of_lists(spark):
+    counts = [x["n"] for x in q.hist([[0, 1], [2, 3]], bins=3, density=False, reflectance_scale=10).panels[0].orderBy("bin").collect()]
+    assert counts == [1, 1, 2]
+    with pytest.raises(ValueError):
+        q.hist([])
+
+
+def test_report_as_text():
+    from lacustra.operators.features import Classified
+
+    c = Classified(None, 0.75, [[2, 0], [1, 1]], [0.0, 1.0], {"0.0": {"precision": 2 / 3, "recall": 1.0, "f1": 0.8, "support": 2}, "1.0": {"precision": 1.0, "recall": 0.5, "f1": 2 / 3, "support": 2}})
+    lines = c.report_text().splitlines()
+    assert lines[1].split() == ["0.0", "0.67", "1.00", "0.80", "2"] and lines[3].split() == ["accuracy", "0.75", "4"] and lines[4].split() == ["macro", "avg", "0.83", "0.75", "0.73", "4"]
+
+
+def test_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from lacustra import storage
+
+    without = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077", applicationId="a"))
+    with pytest.raises(RuntimeError):
+        storage.shared_dir(without)
+    without.sparkContext.master = "local[2]"
+    assert storage.shared_dir(without) == storage.shared_dir(without) and storage.shared_dir(without).startswith("file://")
