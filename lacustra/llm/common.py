@@ -158,22 +158,36 @@ def bucket_bounds(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def most_frequent(df: DataFrame, count: str, most: int, *order: str) -> DataFrame:
-    """Rows with the highest counts, `most` at most, ordered by count (highest first) and then by `order`.
+    """Rows with the highest counts, about `most` at most, ordered by count (highest first) and then by `order`.
 
     A sorted limit would send that many rows from every task to the driver. Here counts fall into steps of an
     eighth of a power of two; one small table says which steps fit within `most` as a whole, and only their rows
-    come out.
+    come out. If even the highest step has more rows, a hash of `order` picks a share of it.
     """
     step = F.floor(F.log2(F.col(count).cast("double")) * F.lit(8.0)).cast("int")
-    sizes = df.where(F.col(count) > 0).groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()  # 512 rows at most
+    sizes = sorted(((r["step"], r["n"]) for r in df.where(F.col(count) > 0).groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True)  # 512 rows at most
     least, total = None, 0
-    for r in sorted(sizes, key=lambda r: -r["step"]):
-        total += r["n"]
+    for s, n in sizes:
+        total += n
         if total > most:
             break
-        least = r["step"]
-    kept = df.where((F.col(count) > 0) & (step >= F.lit(least)) if least is not None else F.lit(False))
-    return kept.coalesce(64).orderBy(F.desc(count), *order)
+        least = s
+    if not sizes:
+        return df.where(F.lit(False))
+    if least is None:
+        share = int(most / sizes[0][1] * (1 << 30))
+        kept = df.where((F.col(count) > 0) & (step == F.lit(sizes[0][0])) & (F.pmod(F.xxhash64(*order), F.lit(1 << 30)) < F.lit(share)))
+    else:
+        kept = df.where((F.col(count) > 0) & (step >= F.lit(least)))
+    return kept.orderBy(F.desc(count), *order)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, with underscores added until df has no column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def bucketwise(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, unused
 
 #: Rows of sketches (16 bytes each), of candidates and of keys of hits up to which they are broadcast, and rows of sketches up to
 #: which the items' shingles are (about 90 bytes for each such row); beyond it they are joined by a shuffle. All are counted first.
@@ -108,5 +108,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> Data
 
     Rows that repeat an id with other texts are judged by their own texts.
     """
-    hit = staged(_verified(docs, benchmark, threshold, "doc_id", "text", "item_id", "text").select(F.col("key").alias("_hit")).distinct())
-    return docs.join(_small(hit, BROADCAST_ROWS), (_key("doc_id", "text") == F.col("_hit")) & F.col("doc_id").isNotNull(), "left_anti").select(docs.columns)
+    name = unused(docs, "_hit")
+    hit = staged(_verified(docs, benchmark, threshold, "doc_id", "text", "item_id", "text").select(F.col("key").alias(name)).distinct())
+    return docs.join(_small(hit, BROADCAST_ROWS), (_key("doc_id", "text") == F.col(name)) & F.col("doc_id").isNotNull(), "left_anti").select(docs.columns)
