@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacustra.llm import bpe, decontaminate, line_dedup, ngram_join, toxicity
-from lacustra.llm.common import modest, staged
+from lacustra.llm.common import modest, staged, unused
 
 #: Documents of this score or more are rejected.
 TOXIC = 0.7
@@ -55,7 +55,8 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     groups = ngram_join.similar(rows, n=5, percent=80, id_col="node").distinct()
     named = groups.join(rows.select("node", "doc_id").distinct(), "node")
     first = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "node")).alias("first")).select(F.col("first.node").alias("node"))
-    one = docs.where("doc_id IS NOT NULL").withColumn("_node", node).join(first.withColumnRenamed("node", "_node"), "_node", "left_semi").dropDuplicates(["_node"])
+    name = unused(docs, "_node")
+    one = docs.where("doc_id IS NOT NULL").withColumn(name, node).join(first.withColumnRenamed("node", name), name, "left_semi").dropDuplicates([name])
     return one.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
