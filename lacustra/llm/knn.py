@@ -182,19 +182,24 @@ def scores(blocks: DataFrame, sent: DataFrame, salts: DataFrame, k: int) -> Data
             q, v = unpacked(qv, dim), unpacked(dv, dim)
             most = q @ np.frombuffer(centre) + np.sqrt((q.astype(np.float64) ** 2).sum(1)) * radius
             kept = most + np.abs(most) * 1e-9 + 1e-6 >= least
-            ids, q = ids[kept], q[kept]
+            ids, q, least = ids[kept], q[kept], least[kept]
             for at in range(0, len(ids), 256):
                 score = products(q[at : at + 256], v)
-                same = ids[at : at + 256, None] == d_ids[None, :]
+                enough = score >= least[at : at + 256, None]
+                asks = np.flatnonzero(enough.any(1))  # the others find nothing here that counts
+                if not len(asks):
+                    continue
+                score, enough, own_ids = score[asks], enough[asks], ids[at : at + 256][asks]
+                same = own_ids[:, None] == d_ids[None, :]
                 want = k + int(same.sum(1).max())  # the query itself can stand among the best
                 rows, cols = [], []
                 for i, c in enumerate(best(score, want)):
-                    c = c[~same[i, c]]
+                    c = c[enough[i, c] & ~same[i, c]]
                     c = c[np.lexsort((d_ids[c], -score[i, c]))][:k]
                     rows.append(np.full(len(c), i))
                     cols.append(c)
                 r, c = np.concatenate(rows), np.concatenate(cols)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 256][r]), pa.array(d_ids[c]), pa.array(score[r, c])], schema=_FOUND)
+                yield pa.RecordBatch.from_arrays([pa.array(own_ids[r]), pa.array(d_ids[c]), pa.array(score[r, c])], schema=_FOUND)
 
     met = asked.join(own, ["dim", "cell", "salt"]).select("dim", "ids", "qv", "least", "centre", "radius", "d_ids", "d")
     return met.mapInArrow(lean(run), "query_id long, vec_id long, score long").dropDuplicates()
