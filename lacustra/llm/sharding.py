@@ -56,7 +56,8 @@ def shuffled_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         {"_shard": shard_of(key, shards, seed), "_grown_shard": shard_of(key, shards + 1, seed), "_sub": F.pmod(spread, F.lit(subs)), "_spread": spread}
     ).withColumn("_bucket", (F.col("_shard") * F.lit(subs) + F.col("_sub")).cast("long"))
     parts = min(shards * subs, 1 << 20)
-    sent = scattered.drop("_sub").repartition(parts, "_bucket").sortWithinPartitions("_bucket", "_spread", id_col)
+    # One bucket, one task: dealt by a hash, several would meet in some.
+    sent = scattered.drop("_sub").repartitionById(parts, (F.col("_bucket") % F.lit(parts)).cast("int")).sortWithinPartitions("_bucket", "_spread", id_col)
     names = [c for c in sent.columns if c != "_spread"]
     schema = T.StructType([*(sent.schema[c] for c in names), T.StructField("_at", T.LongType())])
 
