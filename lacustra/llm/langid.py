@@ -31,9 +31,8 @@ CHUNK_CHARS = 1 << 18
 def _letters() -> np.ndarray:
     """What each code point counts as: itself if a letter, else a space."""
     table = np.full(0x110000, 32, np.uint32)
-    for c in range(0x32000):
-        if chr(c).isalpha():
-            table[c] = c
+    letter = np.fromiter((chr(c).isalpha() for c in range(len(table))), bool, len(table))
+    table[letter] = np.flatnonzero(letter)
     return table
 
 
