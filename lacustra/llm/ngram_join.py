@@ -8,12 +8,11 @@ a percentage. Nothing is approximate but the hashing (two of a pair's shingles c
    shingles. Any fixed order gives the same result; this one keeps common passages out of the prefixes.
 2. A second scan emits prefixes. Linked sets x, y share at least l(x) shingles of their prefixes of length
    n - ceil(p n) + l(n), with l a tenth of the size. The index lists of the prefix shingles are cut into
-   blocks of sizes that can link, and whole blocks with one set are skipped. A set stays only if l(x) of its
+   blocks of sizes and positions that can link, and whole blocks with one set are skipped. A set stays only if l(x) of its
    prefix shingles stand in a block with another set. Those of a block share a group, named by its smallest id.
    For hot shingles the group is known from the first scan, so their lists are never gathered at all.
-3. The sets of a group are joined in blocks: overlaps of all its pairs are derived from how each differs from
-   what most of the group holds, so near copies cost only their differences. A block gives one link for each
-   set, not all pairs. Groups of more than GROUP sets are dealt over tasks; blocks are joined with each other
+3. The sets of a group are joined in blocks: the answers of each set are derived from those of a similar set
+   before it, so near copies cost only their differences. A block gives one link for each set, not all pairs. Groups of more than GROUP sets are dealt over tasks; blocks are joined with each other
    only where that can still connect something.
 4. Links and classes give components by alternating stars.
 """
@@ -25,11 +24,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_bounds, bucketwise, components, exchanged, lean, mixed, most_frequent, partitions, rows_of, staged, texts_of
+from .common import bucket_bounds, bucketwise, components, exchanged, lean, mixed, most_frequent, partitions, rows_of, staged, texts_of, word_hashes
 
 #: Shingles that are broadcast with the id of their group; 16 bytes each.
 HOT = 200_000
@@ -42,25 +40,14 @@ HELD, SENT = 1_500_000, 1_000_000
 _TURN = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, computed at first sight."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def shingle_set(text: str | None, n: int, known: WordHashes) -> np.ndarray:
+def shingle_set(text: str | None, n: int) -> np.ndarray:
     """Sorted distinct hashes of the n-word shingles of a text (A-Z lower-cased, words cut at ASCII white space).
 
     With fewer than n words the whole sequence is the one shingle; without words the set is empty.
     """
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    h = word_hashes((text or "").encode("utf-8", "replace"))[1]
+    if not len(h):
+        return h
     with np.errstate(over="ignore"):
         if len(h) < n:
             total = np.uint64(len(h))
@@ -70,7 +57,8 @@ def shingle_set(text: str | None, n: int, known: WordHashes) -> np.ndarray:
         total = h[: len(h) - n + 1] * _TURN[0]
         for i in range(1, n):
             total = total + h[i : len(h) - n + 1 + i] * _TURN[i % len(_TURN)] * np.uint64(2 * (i // len(_TURN)) + 1)
-        return np.unique(mixed(total))
+        total = np.sort(mixed(total))
+        return total[np.append(True, total[1:] != total[:-1])]
 
 
 def at_least(n, percent: int):
@@ -90,6 +78,19 @@ def size_class(n: np.ndarray, percent: int) -> np.ndarray:
     return np.floor(np.log(np.maximum(n, 1)) / (np.log(100 / percent) * (1 + 1e-9))).astype(np.int64)
 
 
+def position_blocks(token: np.ndarray, grade: np.ndarray, place: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
+    """Where blocks begin in rows sorted by list (token), class of sizes and position.
+
+    Of two linked sets, what stands before a shared shingle in one and behind it in the other is lost to both, so its
+    positions differ by (1 - p) of the larger set at most. A block ends where the next position is farther away than that,
+    for the largest set of the list's class; no set of one block can link with one of another by this list.
+    """
+    new = np.append(True, (token[1:] != token[:-1]) | (grade[1:] != grade[:-1]))
+    start = np.flatnonzero(new)
+    largest = np.repeat(np.maximum.reduceat(size, start), np.diff(np.append(start, len(size))))
+    return new | (100 * np.diff(place, prepend=place[:1]) > (100 - percent) * largest)
+
+
 def _blob(*arrays: np.ndarray) -> bytes:
     return np.array([len(a) for a in arrays], np.int64).tobytes() + b"".join(a.tobytes() for a in arrays)
 
@@ -107,7 +108,7 @@ def profiles(docs: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("ref", pa.int64())])
-        known, seen = WordHashes(), set()
+        seen: set[bytes] = set()
         hashes, ids, total = [], [], 0
 
         def repeated() -> pa.RecordBatch:
@@ -129,7 +130,7 @@ def profiles(docs: DataFrame, n: int) -> DataFrame:
         for held in texts_of(batches):
             out = []
             for key, text in held:
-                s = shingle_set(text, n, known)
+                s = shingle_set(text, n)
                 digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
                 out.append((0, key, len(s), digest, None))
                 if key is not None and digest is not None and digest not in seen:
@@ -152,7 +153,7 @@ def _memberships(docs: DataFrame, n: int, percent: int, hot: tuple[np.ndarray, n
     buckets = 4 * partitions(docs, 0.6, 16 << 20)
 
     def prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = WordHashes(), set()
+        seen: set[bytes] = set()
         hot_keys, hot_refs = shared.value
         ids, sizes, parts, total = [], [], [], 0
 
@@ -162,21 +163,22 @@ def _memberships(docs: DataFrame, n: int, percent: int, hot: tuple[np.ndarray, n
             doc_ids, doc_sizes = np.array(ids, np.int64), np.array(sizes, np.uint32)
             of = np.repeat(np.arange(len(parts), dtype=np.uint32), [len(p) for p in parts])
             tokens = np.concatenate(parts)
+            place = np.concatenate([np.arange(len(p), dtype=np.uint32) for p in parts])
             at = np.searchsorted(hot_keys, tokens)
             is_hot = (hot_keys[np.minimum(at, len(hot_keys) - 1)] == tokens) if len(hot_keys) else np.zeros(len(tokens), bool)
             kept = ~is_hot
-            jobs = [(0, tokens[kept], of[kept], tokens[kept])]
+            jobs = [(0, tokens[kept], of[kept], place[kept], tokens[kept])]
             if is_hot.any():
                 owners = of[is_hot]
-                jobs.append((1, hot_refs[at[is_hot]].view(np.uint64), owners, mixed(doc_ids[owners].view(np.uint64))))
-            for kind, values, owner, key in jobs:
+                jobs.append((1, hot_refs[at[is_hot]].view(np.uint64), owners, place[is_hot], mixed(doc_ids[owners].view(np.uint64))))
+            for kind, values, owner, where, key in jobs:
                 order, found, bounds = bucket_bounds(key, buckets)
-                values, owner = values[order], owner[order]
+                values, owner, where = values[order], owner[order], where[order]
                 for b, lo, hi in zip(found.tolist(), bounds, bounds[1:], strict=False):
                     mine, back = np.unique(owner[lo:hi], return_inverse=True)
                     out_bucket.append(b)
                     out_kind.append(kind)
-                    out_blob.append(_blob(doc_ids[mine], doc_sizes[mine], values[lo:hi], back.astype(np.uint32)))
+                    out_blob.append(_blob(doc_ids[mine], doc_sizes[mine], values[lo:hi], back.astype(np.uint32), where[lo:hi]))
             ids.clear()
             sizes.clear()
             parts.clear()
@@ -186,7 +188,7 @@ def _memberships(docs: DataFrame, n: int, percent: int, hot: tuple[np.ndarray, n
 
         for held in texts_of(batches):
             for key, text in held:
-                s = shingle_set(text, n, known)
+                s = shingle_set(text, n)
                 if key is None or not len(s) or (digest := hashlib.blake2b(s.tobytes(), digest_size=16).digest()) in seen:
                     continue
                 seen.add(digest)
@@ -209,33 +211,36 @@ def _memberships(docs: DataFrame, n: int, percent: int, hot: tuple[np.ndarray, n
         for _, rows in bucketwise(batches):
             by: dict[int, list] = {0: [], 1: []}
             for kind, blob in rows:
-                d, size, v, back = _arrays(blob, np.int64, np.uint32, np.uint64, np.uint32)
-                by[kind].append((v, d[back], size[back].astype(np.int64)))
+                d, size, v, back, where = _arrays(blob, np.int64, np.uint32, np.uint64, np.uint32, np.uint32)
+                by[kind].append((v, d[back], size[back].astype(np.int64), where.astype(np.int64)))
             for kind, held in by.items():
                 if not held:
                     continue
-                token, doc, size = (np.concatenate(x) for x in zip(*held, strict=True))
+                token, doc, size, place = (np.concatenate(x) for x in zip(*held, strict=True))
                 if kind == 0:  # lists with one entry lead to nothing
                     order = np.argsort(token, kind="stable")
-                    token, doc, size = token[order], doc[order], size[order]
+                    token, doc, size, place = token[order], doc[order], size[order], place[order]
                     same = token[1:] == token[:-1]
                     more = np.append(same, False) | np.append(False, same)
-                    token, doc, size = token[more], doc[more], size[more]
+                    token, doc, size, place = token[more], doc[more], size[more], place[more]
                 if not len(token):
                     continue
                 grade = size_class(size, percent)
-                token, doc, size = np.tile(token, 2), np.tile(doc, 2), np.tile(size, 2)
+                token, doc, size, place = np.tile(token, 2), np.tile(doc, 2), np.tile(size, 2), np.tile(place, 2)
                 grade = np.append(grade, grade + 1)
                 if kind == 0:
-                    order = np.lexsort((doc, grade, token))
-                    token, doc, size, grade = token[order], doc[order], size[order], grade[order]
-                    new = np.append(True, (token[1:] != token[:-1]) | (grade[1:] != grade[:-1]))
+                    order = np.lexsort((doc, place, grade, token))
+                    token, doc, size, place, grade = (x[order] for x in (token, doc, size, place, grade))
+                    new = position_blocks(token, grade, place, size, percent)
                     start = np.flatnonzero(new)
-                    last = np.append(start[1:], len(doc)) - 1
-                    several = np.repeat(doc[start] != doc[last], last - start + 1)
-                    group = np.repeat(doc[start], last - start + 1)[several]
+                    count = np.diff(np.append(start, len(doc)))
+                    least, most = np.minimum.reduceat(doc, start), np.maximum.reduceat(doc, start)
+                    several = np.repeat(least != most, count)
+                    group = np.repeat(least, count)[several]
                     token, doc, size = token[several], doc[several], size[several]
-                    once = np.unique(np.stack([doc, token.view(np.int64)]), axis=1)[0]
+                    pairs = np.lexsort((token, doc))
+                    fresh = np.append(True, (doc[pairs][1:] != doc[pairs][:-1]) | (token[pairs][1:] != token[pairs][:-1])) if len(doc) else np.zeros(0, bool)
+                    once = doc[pairs][fresh]
                 else:
                     group = mixed(token * np.uint64(64) + grade.astype(np.uint64)).view(np.int64)
                     once = doc[: len(doc) // 2]
@@ -253,47 +258,47 @@ def _memberships(docs: DataFrame, n: int, percent: int, hot: tuple[np.ndarray, n
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """How many elements each two sets share, from their differences to what most of them hold."""
+    """How many elements each two sets share.
+
+    Sets are taken in the order of their smallest elements, so that similar ones follow one another. The answers of a
+    set, its overlaps with all sets, are those of the set before, plus the lists of the elements that it has gained and
+    minus the lists of those that it has lost; it is counted anew only where that would touch more lists.
+    """
     m = len(sets)
     out = np.zeros((m, m), np.int32)
-    owner = np.repeat(np.arange(m), [len(s) for s in sets])
+    size = np.array([len(s) for s in sets])
     token = np.concatenate(sets)
-    order = np.argsort(token, kind="stable")
-    token, owner = token[order], owner[order]
-    start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-    size = np.diff(np.append(start, len(token)))
-    np.fill_diagonal(out, 0)
-    common = size > m / 2
-    lists: dict[int, list[np.ndarray]] = {}
-    # Elements that most sets hold: count them for all, less where one or the other lacks them, plus where both do.
-    kept = int(common.sum())
-    lacks = np.zeros(m, np.int32)
-    if kept:
-        here = np.zeros(m, bool)
-        for s, k in zip(start[common], size[common], strict=True):
-            here[:] = True
-            here[owner[s : s + k]] = False
-            missing = np.flatnonzero(here)
-            lacks[missing] += 1
-            if len(missing):
-                lists.setdefault(len(missing), []).append(missing)
-        out += kept - lacks[:, None] - lacks[None, :]
-    rare = ~common & (size > 1)
-    for k in np.unique(size[rare]):
-        at = start[rare & (size == k)]
-        lists.setdefault(int(k), []).extend(owner[at[:, None] + np.arange(k)])
-    flat = out.reshape(-1)
-    for k, found in lists.items():
-        if k > 128:
-            for x in found:
-                out[np.ix_(x, x)] += 1
+    owner = np.repeat(np.arange(m), size)
+    by = np.argsort(token, kind="stable")
+    new = np.append(True, token[by][1:] != token[by][:-1]) if len(token) else np.zeros(0, bool)
+    start = np.append(np.flatnonzero(new), len(token))
+    number = np.empty(len(token), np.int64)
+    number[by] = np.cumsum(new) - 1
+    holders, begins = owner[by], np.cumsum(size) - size
+    held = np.zeros(len(start) - 1, bool)
+
+    def counted(elements: np.ndarray) -> np.ndarray:
+        """How many of these elements each set holds."""
+        count = start[elements + 1] - start[elements]
+        places = np.repeat(start[elements] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        return np.bincount(holders[places], minlength=m)
+
+    first = [number[b : b + 3].tolist() if n >= 3 else number[b : b + n].tolist() for b, n in zip(begins.tolist(), size.tolist(), strict=True)]
+    before = -1
+    for y in sorted(range(m), key=first.__getitem__):
+        mine = number[begins[y] : begins[y] + size[y]]
+        if before >= 0 and size[before] + size[y] - 2 * out[before, y] < size[y]:
+            theirs = number[begins[before] : begins[before] + size[before]]
+            held[theirs] = True
+            gained = mine[~held[mine]]
+            held[theirs] = False
+            held[mine] = True
+            lost = theirs[~held[theirs]]
+            held[mine] = False
+            out[y] = out[before] + counted(gained) - counted(lost)
         else:
-            rows = np.array(found, np.int64)
-            step = max(1, 2_000_000 // (k * k))
-            for at in range(0, len(rows), step):
-                part = rows[at : at + step]
-                pairs, times = np.unique((part[:, :, None] * m + part[:, None, :]).ravel(), return_counts=True)
-                flat[pairs] += times.astype(np.int32)
+            out[y] = counted(mine)
+        before = y
     return out
 
 
@@ -379,7 +384,7 @@ def join_groups(members: DataFrame, large: DataFrame, percent: int, parts: int)
     links = staged(_joined(blocked.select("group", "block", "id", "s"), percent, parts))
     while True:
         # The first of each component stands for it in its group; those go on as a smaller problem.
-        root = components(links)
+        root = components(links, 0)
         rooted = blocked.where("m IS NOT NULL").join(root.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
         left = rooted.groupBy("group").agg(F.countDistinct("root").alias("k")).where("k > 1").select("group")
         open_ = staged(rooted.join(left, "group"))
@@ -428,9 +433,8 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_i
     wanted = kept.join(sizes, "group").groupBy("id").agg(F.collect_set("group").alias("groups"))  # at most a prefix of one document
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for held in texts_of(batches):
-            out = [(g, key, shingle_set(text, n, known).tobytes()) for key, text, groups in held for g in groups]
+            out = [(g, key, shingle_set(text, n).tobytes()) for key, text, groups in held for g in groups]
             for at in range(0, len(out), 256):
                 g, k, s = zip(*out[at : at + 256], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(k, pa.int64()), pa.array(s, pa.binary())], ["group", "id", "s"])
@@ -439,6 +443,6 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_i
     links = join_groups(members, large, percent, partitions(docs, 2.0))
     twice = base.where("digest IS NOT NULL AND id IS NOT NULL").join(classes, "digest").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     # Copies of a class hang on its first; only firsts (and repeated ids) take part in the search for components.
-    root = components(links.select("a", "b").union(twice.join(links.select(F.col("a").alias("x")).union(links.select(F.col("b").alias("x"))).distinct(), twice["a"] == F.col("x"), "left_semi")))
+    root = components(links.select("a", "b").union(twice.join(links.select(F.col("a").alias("x")).union(links.select(F.col("b").alias("x"))).distinct(), twice["a"] == F.col("x"), "left_semi")), 0)
     named = classes.join(root.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("component_id"))
     return base.join(named, "digest", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))

@@ -131,6 +131,23 @@ def test_components_of_hard_rows(spark):
     assert ngram_join.similar(empty_documents(spark)).count() == 0
 
 
+def test_positions_cut_lists_only_where_nothing_links():
+    rng = np.random.default_rng(4)
+    base = np.sort(rng.choice(1 << 40, 100, replace=False)).astype(np.uint64)
+    others = rng.integers(0, 1 << 30, (60, 100)).astype(np.uint64)  # smaller than most of base
+    sets = [np.unique(np.where(rng.random(100) < share, other, base)) for share, other in zip(rng.choice([0.02, 0.05, 0.8], 60), others, strict=True)]
+    size = np.array([len(s) for s in sets])
+    linked = ngram_join.linked(sets, 80)
+    cut = 0
+    for t in base:
+        where = [(int(np.searchsorted(s, t)), i) for i, s in enumerate(sets) if t in s]
+        place, who = (np.array(x) for x in zip(*sorted(where), strict=True))
+        block = np.cumsum(ngram_join.position_blocks(np.zeros(len(who), np.uint64), np.zeros(len(who), np.int64), place, size[who], 80))
+        cut += block[-1] > 1
+        assert not (linked[np.ix_(who, who)] & (block[:, None] != block[None, :])).any()
+    assert cut
+
+
 def test_overlaps_from_differences():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.choice(60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(40)] + [np.arange(50, dtype=np.uint64)] * 60
@@ -213,6 +230,30 @@ def test_search_equals_brute_force(spark):
     assert knn.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_search_of_clusters_leaves_most_cells_out(spark):
+    """Clustered vectors: equal to brute force, and each query visits few of the cells."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 16)) * 5000
+    x = (centres[rng.integers(0, 40, 3000)] + rng.normal(size=(3000, 16)) * 100).astype(np.int64)
+    vectors = spark.createDataFrame([(i, [int(v) for v in row]) for i, row in enumerate(x)], "id long, v array<long>").repartition(4)
+    got = {}
+    for r in knn.top_k(vectors, vectors.where("id % 100 = 0"), 5).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q in range(0, 3000, 100):
+        s = x @ x[q]
+        best = sorted((i for i in range(3000) if i != q), key=lambda i: (-s[i], i))[:5]
+        assert sorted(got[q]) == [(k, i, s[i]) for k, i in enumerate(best, 1)]
+    pivots = knn.choose_pivots(x[:1000], 27)
+    cell = knn.cells_of(x.astype(float), pivots)
+    far = lambda c, i: float(np.sqrt(((x[cell == i] - c) ** 2).sum(1)).max())
+    present = np.unique(cell)
+    cells = knn.Cells(present, pivots[present], np.bincount(cell)[present], np.array([far(pivots[i], i) for i in present]), np.array([far(0, i) for i in present]))
+    asked = x[::100]
+    least = np.sort(asked @ x.T, axis=1)[:, -5]
+    visits = cells.first(asked, 5) | cells.later(asked, 5, least)
+    assert visits.mean() < 0.25 and (cells.bounds(asked) + 1e-3 >= np.stack([(asked @ x[cell == i].T).max(1) for i in present], 1)).all()
+
+
 def test_products_stay_exact_beyond_floats():
     big = np.array([[2**31 - 1, 2**30 + 1]])
     assert knn.products(big, big)[0, 0] == (2**31 - 1) ** 2 + (2**30 + 1) ** 2
