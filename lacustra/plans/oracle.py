@@ -160,7 +160,7 @@ ORACLE_SQL: dict[str, str] = {
     "r1_resample_average": _resampled(30, 40, "average", 8),
     "r1_resample_kernels": " UNION ALL ".join(f"SELECT '{k}' AS method, row, col, value FROM ({_resampled(40, 130, k, 3)})" for k in _KERNELS),
     "r1_resample_areas": _areas(30, 40),
-    "r1_resample_whole_numbers": f"""WITH {_ORDERS}, m AS (SELECT row // 2 AS row, col // 2 AS col, sum(floor(v / 10000)) AS t FROM o, s WHERE row < h GROUP BY ALL)
+    "r1_resample_whole_numbers": f"""WITH {_ORDERS}, m AS (SELECT row // 2 AS row, col // 2 AS col, sum(floor(v / 10000)) AS t FROM o, s WHERE row < h // 2 * 2 GROUP BY ALL)
         SELECT row::INTEGER AS row, col::INTEGER AS col, CASE WHEN t % 4 = 2 THEN 2 * floor((t + 4) / 8) ELSE round(t / 4) END + 0.0 AS value FROM m""",
     "r2_components": f"WITH RECURSIVE {_BODIES} SELECT row, col, body_id FROM body",
     "r3_shape_metrics": f"WITH RECURSIVE {_BODIES}, {_SHAPES} SELECT body_id, pixels, " + ", ".join(f"{_r(c)} AS {c}" for c in ("perimeter", "compactness", "elongation", "orientation")) + " FROM shape",

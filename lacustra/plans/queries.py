@@ -253,9 +253,11 @@ def r1_resample_areas(spark, sf_dir):
 
 @query
 def r1_resample_whole_numbers(spark, sf_dir):
-    """A raster of an integer type: means are rounded, halves to even."""
+    """A raster of an integer type, halved both ways: means are rounded, halves to even. An odd last row is left out."""
     r = _orders(spark, sf_dir)
-    return rounds(resample.resample(Raster(r.df.select("row", "col", F.floor(F.col("value") / 10000).cast("double").alias("value")), r.height, r.width, ("value",), {"dtype": "uint8"}), (r.height // 2, 50), "average").df)
+    half = r.height // 2
+    tens = r.df.where(F.col("row") < 2 * half).select("row", "col", F.floor(F.col("value") / 10000).cast("double").alias("value"))
+    return rounds(resample.resample(Raster(tens, 2 * half, r.width, ("value",), {"dtype": "uint8"}), (half, r.width // 2), "average").df)
 
 
 @query
