@@ -373,7 +373,7 @@ def _crossed(members: DataFrame, percent: int, parts: int) -> DataFrame:
 
 
 def join_groups(members: DataFrame, large: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Links that connect all linked sets of each group.
+    """Links that connect all linked sets of each group; those found before a group of more than GROUP was looked at again are stars.
 
     members: (group, id, s); large: staged (group, m) with the number of members of groups of more than GROUP.
     """
@@ -388,8 +388,9 @@ def join_groups(members: DataFrame, large: DataFrame, percent: int, parts: int)
         rooted = blocked.where("m IS NOT NULL").join(root.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
         left = rooted.groupBy("group").agg(F.countDistinct("root").alias("k")).where("k > 1").select("group")
         open_ = staged(rooted.join(left, "group"))
+        stars = root.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
         if open_.isEmpty():
-            return links
+            return stars
         firsts = open_.where("id = root").select("group", "id", "s").distinct()
         sizes = firsts.groupBy("group").agg(F.count("*").alias("m"))
         again = firsts.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64(F.lit(3), "id"), F.ceil(F.col("m") / F.lit(GROUP))).cast("long"))
@@ -401,7 +402,7 @@ def join_groups(members: DataFrame, large: DataFrame, percent: int, parts: int)
     last = open_.select("group", "block", "id", "root", "s", F.ceil(F.col("m") / F.lit(GROUP // 2)).cast("long").alias("g"))
     other = last.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - F.lit(1)))).where("o <> block OR g = 1")
     crossed = other.select("group", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"), "block", "id", "root", "s")
-    return staged(links.union(_crossed(crossed, percent, parts)))
+    return staged(stars.union(_crossed(crossed, percent, parts)))
 
 
 def similar(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -420,14 +421,17 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_i
     keys, refs = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy()
     order = np.argsort(keys)
     hot = (keys[order].copy(), refs[order].copy())
-    classes = base.where("digest IS NOT NULL AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"))
-    found = staged(_memberships(rows, n, percent, hot))
+    classes = staged(base.where("digest IS NOT NULL AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep")))
+    named = staged(base.join(classes, "digest", "left").select("id", "n", "rep"))
+    classed = named.where("rep IS NOT NULL AND id IS NOT NULL")
+    found = _memberships(rows, n, percent, hot)
     size = F.col("n")
     asked = F.greatest(F.lit(1), F.floor(F.ceil(size * F.lit(percent) / F.lit(100)) / F.lit(EXTEND)))
-    enough = found.groupBy("id", "n").agg(F.sum("hits").alias("hits")).where(F.col("hits") >= asked).select("id").distinct()
+    # One shuffle brings all of an id together: its hits, its groups (at most a prefix of one document) and its name.
+    each = found.repartition("id").groupBy("id", "n").agg(F.sum("hits").alias("hits"), F.collect_set("group").alias("groups"))
+    enough = each.groupBy("id").agg(F.max(F.col("hits") >= asked).alias("enough"), F.flatten(F.collect_list("groups")).alias("groups")).where("enough")
     # A task sends one text of each class, whichever comes first; here its class's first document takes its place.
-    named = base.where("digest IS NOT NULL AND id IS NOT NULL").join(classes, "digest").select("id", "rep").distinct()
-    kept = staged(found.select("group", "id").distinct().join(enough, "id").join(named, "id").select("group", F.col("rep").alias("id")).distinct())
+    kept = staged(enough.join(classed.select("id", "rep"), "id").select(F.explode("groups").alias("group"), F.col("rep").alias("id")).distinct())
     sizes = kept.groupBy("group").agg(F.count("*").alias("m")).where("m > 1")
     large = staged(sizes.where(F.col("m") > GROUP))
     wanted = kept.join(sizes, "group").groupBy("id").agg(F.collect_set("group").alias("groups"))  # at most a prefix of one document
@@ -441,8 +445,7 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_i
 
     members = rows.join(wanted.hint("shuffle_hash"), "id").select("id", "t", "groups").mapInArrow(lean(sets), "group long, id long, s binary")
     links = join_groups(members, large, percent, partitions(docs, 2.0))
-    twice = base.where("digest IS NOT NULL AND id IS NOT NULL").join(classes, "digest").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    twice = classed.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     # Copies of a class hang on its first; only firsts (and repeated ids) take part in the search for components.
     root = components(links.select("a", "b").union(twice.join(links.select(F.col("a").alias("x")).union(links.select(F.col("b").alias("x"))).distinct(), twice["a"] == F.col("x"), "left_semi")), 0)
-    named = classes.join(root.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("component_id"))
-    return base.join(named, "digest", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    return named.join(root.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "id").alias("component_id"))

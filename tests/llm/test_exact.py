@@ -12,6 +12,7 @@ import tiktoken
 from cases import empty_documents, hard_documents
 
 from lacustra.llm import bpe, decontaminate, knn, line_dedup, ngram_join, sharding, suffix_dedup
+from lacustra.operators import graph
 
 
 def documents(spark, rows):
@@ -131,6 +132,21 @@ def test_components_of_hard_rows(spark):
     assert ngram_join.similar(empty_documents(spark)).count() == 0
 
 
+def test_a_join_of_large_groups_takes_few_shuffles(spark, monkeypatch):
+    plans, kept = [], ngram_join.staged
+    for module in (ngram_join, graph):
+        monkeypatch.setattr(module, "staged", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), kept(df))[1])
+    monkeypatch.setattr(ngram_join, "GROUP", 8)
+    common = " ".join(f"c{i}" for i in range(12))
+    rows = near_copies(9) + [(1000 + i, f"{common} " + " ".join(f"o{i * 50 + k}" for k in range(12))) for i in range(40)]
+    base = [f"b{i}" for i in range(120)]
+    rows += [(2000 + i, " ".join([*base[:i], "x", *base[i + 1 :]])) for i in range(60)] + [(3000 + i, " ".join(base)) for i in range(80)]
+    joined = ngram_join.similar(documents(spark, rows), 4, 85)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in joined.collect()}
+    assert got == plain_components(rows, 4, 85)
+    assert sum(p.count("Exchange hashpartitioning") for p in plans) <= 55  # each is a stage, whatever the size
+
+
 def test_positions_cut_lists_only_where_nothing_links():
     rng = np.random.default_rng(4)
     base = np.sort(rng.choice(1 << 40, 100, replace=False)).astype(np.uint64)

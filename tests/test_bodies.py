@@ -1,8 +1,10 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import lacustra as q
 from lacustra.operators import components as C
+from lacustra.operators import graph
 from lacustra.operators.graph import components
 from lacustra.operators.neighbors import box, gradient, opening
 
@@ -69,6 +71,30 @@ def test_graph_components(spark, together):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_star_steps_are_few_and_of_three_shuffles(spark, monkeypatch):
+    plans, kept = [], graph.staged
+    monkeypatch.setattr(graph, "staged", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), kept(df))[1])
+    rng = np.random.default_rng(3)
+    name = rng.permutation(4000) * 7
+    pairs = [(i, i + 1) for i in range(1500)] + [(1600, i) for i in range(1601, 2400)] + rng.integers(2500, 4000, (900, 2)).tolist()
+    edges = [(int(name[a]), int(name[b])) for a, b in rng.permutation(pairs)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges + edges[:50], "a long, b long").repartition(8), 0).collect()}
+    node, root = graph.roots_of(*np.array([e for e in edges if e[0] != e[1]]).T)
+    assert got == dict(zip(node.tolist(), root.tolist(), strict=True))
+    assert len(plans) <= 6 and all(p.count("Exchange hashpartitioning") <= 3 for p in plans)
+
+
+def test_edges_of_a_task_are_contracted_in_bounded_parts(monkeypatch):
+    monkeypatch.setattr(graph, "TOGETHER", 100)
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(0, 200, (2, 950))
+    u, v = np.maximum(a, b)[a != b], np.minimum(a, b)[a != b]
+    parts = list(graph._contracted(pa.RecordBatch.from_arrays([pa.array(u[i : i + 30]), pa.array(v[i : i + 30])], ["u", "v"]) for i in range(0, len(u), 30)))
+    assert len(parts) > 5 and all(len(set(p.column(0).to_pylist())) == p.num_rows for p in parts)
+    left = np.concatenate([np.stack([p.column(0).to_numpy(), p.column(1).to_numpy()]) for p in parts], 1)
+    assert all((x == y).all() for x, y in zip(graph.roots_of(*left), graph.roots_of(u, v), strict=True))
+
+
 def test_statistics_and_catalogue(spark):
     m = mask((4, 4), [(0, 0), (0, 1), (3, 3), (1, 2)])
     r = q.from_numpy(spark, m)
