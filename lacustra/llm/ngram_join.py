@@ -24,7 +24,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bucket_bounds, bucketwise, components, exchanged, lean, mixed, most_frequent, partitions, rows_of, staged, texts_of, word_hashes
@@ -428,10 +428,10 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_i
     size = F.col("n")
     asked = F.greatest(F.lit(1), F.floor(F.ceil(size * F.lit(percent) / F.lit(100)) / F.lit(EXTEND)))
     # One shuffle brings all of an id together: its hits, its groups (at most a prefix of one document) and its name.
-    each = found.repartition("id").groupBy("id", "n").agg(F.sum("hits").alias("hits"), F.collect_set("group").alias("groups"))
-    enough = each.groupBy("id").agg(F.max(F.col("hits") >= asked).alias("enough"), F.flatten(F.collect_list("groups")).alias("groups")).where("enough")
+    each = found.repartition("id").withColumn("hits", F.sum("hits").over(Window.partitionBy("id", "n")))
+    enough = each.withColumn("enough", F.max(F.col("hits") >= asked).over(Window.partitionBy("id"))).where("enough")
     # A task sends one text of each class, whichever comes first; here its class's first document takes its place.
-    kept = staged(enough.join(classed.select("id", "rep"), "id").select(F.explode("groups").alias("group"), F.col("rep").alias("id")).distinct())
+    kept = staged(enough.join(classed.select("id", "rep"), "id").select("group", F.col("rep").alias("id")).distinct())
     sizes = kept.groupBy("group").agg(F.count("*").alias("m")).where("m > 1")
     large = staged(sizes.where(F.col("m") > GROUP))
     wanted = kept.join(sizes, "group").groupBy("id").agg(F.collect_set("group").alias("groups"))  # at most a prefix of one document
