@@ -35,8 +35,8 @@ SPAN = WIDTH - GRAM + 1
 OFTEN, OFTEN_ANCHORS = 200_000, 500_000
 #: Bytes of documents in a chunk, and of segments whose suffixes are sorted together.
 CHUNK, SORTED = 3 << 20, 1 << 20
-#: Hashes among which minima are sought at once (places in it take 24 bits).
-BLOCK = 8 << 20
+#: Windows whose anchors are sought at once (places among them take 24 bits): few enough that what they need stays in a core's cache.
+BLOCK = 1 << 16
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93)]
 
 
@@ -73,23 +73,27 @@ def leftmost_minima(hashes: np.ndarray) -> np.ndarray:
 
 def anchors(sizes: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of texts of these sizes laid end to end: for each anchor its text, place in the text, hash, and the first and last start of its windows."""
-    none = np.zeros(0, np.int64)
-    if len(data) < WIDTH:
-        return none, none, none.astype(np.uint64), none, none
-    hashes = gram_hashes(data)
-    place = np.concatenate([at + leftmost_minima(hashes[at : at + BLOCK + SPAN - 1]) for at in range(0, len(hashes) - SPAN + 1, BLOCK)])
-    text = np.repeat(np.arange(len(sizes)), sizes)
     begin = np.cumsum(sizes) - sizes
-    start = np.arange(len(place))
-    inside = start + WIDTH <= (begin + sizes)[text[: len(place)]]
-    start, place = start[inside], place[inside]
-    if not len(start):
-        return none, none, none.astype(np.uint64), none, none
-    new = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-    last = np.append(new[1:], len(start)) - 1
-    at = place[new]
-    owner = text[at]
-    return owner, at - begin[owner], hashes[at], start[new] - begin[owner], start[last] - begin[owner]
+    end = begin + sizes
+    found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for at in range(0, len(data) - WIDTH + 1, BLOCK):
+        hashes = gram_hashes(data[at : at + BLOCK + WIDTH - 1])
+        place = leftmost_minima(hashes)
+        stop = at + len(place)
+        texts = np.arange(np.searchsorted(end, at, "right"), np.searchsorted(begin, stop))
+        text = np.repeat(texts, np.minimum(end[texts], stop) - np.maximum(begin[texts], at))
+        start = np.flatnonzero(np.arange(at + WIDTH, stop + WIDTH) <= end[text])
+        if not len(start):
+            continue
+        text, place = text[start], place[start]
+        new = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+        last = np.append(new[1:], len(start)) - 1
+        found.append((text[new], at + place[new], hashes[place[new]], at + start[new], at + start[last]))
+    owner, place, h, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
+    # An anchor whose windows lie in two blocks was found in both.
+    new = np.append(True, place[1:] != place[:-1])[: len(place)]
+    owner, place, h, first, last = owner[new], place[new], h[new], first[new], last[np.append(new[1:], True)[: len(new)]]
+    return owner, place - begin[owner], h, first - begin[owner], last - begin[owner]
 
 
 def suffix_array(data: np.ndarray, depth: int = WIDTH) -> np.ndarray:
@@ -97,19 +101,22 @@ def suffix_array(data: np.ndarray, depth: int = WIDTH) -> np.ndarray:
     n = len(data)
     if n == 0:
         return np.zeros(0, np.int64)
-    wide = data.astype(np.int64)
-    differs = np.append(wide[:-1] != wide[1:], True)
-    turn = np.minimum.accumulate(np.where(differs, np.arange(n), n)[::-1])[::-1]
-    smaller = np.append(wide, -1)[turn + 1] > wide[turn]  # than its successor
+    kind = place_type(n)
+    wide = data.astype(np.int16)
+    turn = np.arange(n, dtype=kind)
+    turn[:-1][wide[:-1] == wide[1:]] = n
+    turn = np.minimum.accumulate(turn[::-1], out=turn[::-1])[::-1]
+    smaller = np.append(wide, wide.dtype.type(-1))[turn + 1] > wide[turn]  # than its successor
+    del turn
     # Stage one: sort those directly, eight bytes at a time; only what is still tied goes on.
     key = eight_bytes(data)
-    order = np.flatnonzero(smaller)
-    group = np.zeros(len(order), np.int64)
-    tied = np.arange(len(order))
+    order = np.flatnonzero(smaller).astype(kind)
+    group = np.zeros(len(order), kind)
+    tied = np.arange(len(order), dtype=kind)
     for at in range(0, depth + 8, 8):
         if not len(tied):
             break
-        k = key[np.minimum(order[tied] + at, n)]
+        k = key[np.minimum(order[tied] + at, n)].astype(np.uint64)
         by = np.lexsort((k, group[tied]))
         order[tied] = order[tied][by]
         g, k = group[tied], k[by]
@@ -120,11 +127,11 @@ def suffix_array(data: np.ndarray, depth: int = WIDTH) -> np.ndarray:
     # Stage two: bucket by bucket, what precedes a suffix and is larger than it goes to the end of its own bucket.
     first = wide[order]
     cuts = np.searchsorted(first, np.arange(257))
-    waiting: dict[int, list[np.ndarray]] = {int(wide[-1]): [np.array([n - 1])]} if not smaller[-1] else {}
+    waiting: dict[int, list[np.ndarray]] = {int(wide[-1]): [np.array([n - 1], kind)]} if not smaller[-1] else {}
     out = []
     for c in range(256):
         found = waiting.pop(c, [])
-        wave = np.concatenate(found) if found else np.zeros(0, np.int64)
+        wave = np.concatenate(found) if found else np.zeros(0, kind)
         part = [wave]
         while len(wave):
             wave = wave[wave > 0] - 1
@@ -146,20 +153,21 @@ def suffix_array(data: np.ndarray, depth: int = WIDTH) -> np.ndarray:
     return np.concatenate(out)
 
 
+def place_type(n: int) -> type:
+    """The narrowest type of places in n bytes, and of those a little beyond."""
+    return np.int32 if n < (1 << 31) - 2 * WIDTH else np.int64
+
+
 def eight_bytes(data: np.ndarray) -> np.ndarray:
-    """At each place the next eight bytes as a big-endian number (zeros after the end); one place more than data."""
-    padded = np.concatenate([data, np.zeros(9, np.uint8)]).astype(np.uint64)
-    out = np.zeros(len(data) + 1, np.uint64)
-    for t in range(8):
-        out |= padded[t : t + len(out)] << np.uint64(8 * (7 - t))
-    return out
+    """At each place the next eight bytes as a big-endian number (zeros after the end); one place more than data. A view of a copy of data."""
+    return np.ndarray((len(data) + 1,), ">u8", buffer=data.tobytes() + bytes(8), strides=(1,))
 
 
 def equal_windows(data: np.ndarray, order: np.ndarray) -> np.ndarray:
     """For each suffix in order, whether it shares WIDTH bytes with the one before."""
     key, n = eight_bytes(data), len(data)
     same = np.zeros(len(order), bool)
-    at = np.arange(1, len(order))
+    at = np.arange(1, len(order), dtype=place_type(n))
     for step in [*range(0, WIDTH - 8, 8), WIDTH - 8]:
         a, b = order[at] + step, order[at - 1] + step
         at = at[(key[np.minimum(a, n)] == key[np.minimum(b, n)]) & (np.maximum(a, b) + 8 <= n)]
@@ -288,9 +296,10 @@ def settle(groups: list[list[tuple[bytes, int, int, int]]]) -> Iterator[tuple[in
         data = np.frombuffer(b"".join(x[0] for x in held), np.uint8)
         begin = np.cumsum(sizes) - sizes
         order = suffix_array(data)
-        owner = np.repeat(np.arange(len(held)), sizes)
-        offset = np.arange(len(data)) - begin[owner]
-        whole = offset + WIDTH <= sizes[owner]
+        kind = place_type(len(data))
+        owner = np.repeat(np.arange(len(held), dtype=kind), sizes)
+        offset = np.arange(len(data), dtype=kind) - begin.astype(kind)[owner]
+        whole = offset + WIDTH <= sizes.astype(kind)[owner]
         order = order[whole[order]]  # only windows inside a segment
         if not len(order):
             continue

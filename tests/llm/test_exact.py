@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -353,6 +354,39 @@ def test_suffix_order(letters):
         assert [b[i : i + 100] for i in suffix_dedup.suffix_array(d)] == [b[i : i + 100] for i in sorted(range(n), key=lambda i: b[i:])]
 
 
+@pytest.mark.parametrize("block", [1, 61, 100, 1 << 16])
+def test_anchors_by_blocks(monkeypatch, block):
+    """Those of each window alone, wherever blocks end."""
+    rng = random.Random(block)
+    raw = [bytes(rng.choice(letters) for _ in range(n)) for letters in (b"x", b"ab", b"abcdefgh ") for n in (0, 99, 100, 101, 500, 99)]
+    want = []
+    for k, text in enumerate(raw):
+        for a in range(len(text) - suffix_dedup.WIDTH + 1):
+            hashes = suffix_dedup.gram_hashes(np.frombuffer(text[a : a + suffix_dedup.WIDTH], np.uint8))
+            at = int(np.argmin(hashes >> np.uint64(8)))
+            if want and want[-1][:2] == [k, a + at]:
+                want[-1][4] = a
+            else:
+                want.append([k, a + at, int(hashes[at]), a, a])
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+    got = suffix_dedup.anchors(np.array([len(x) for x in raw], np.int64), np.frombuffer(b"".join(raw), np.uint8))
+    assert [list(x) for x in zip(*(c.tolist() for c in got), strict=True)] == want
+
+
+def test_memory_of_a_chunk():
+    """Two tasks of an executor hold a chunk at once, beside a heap of 60 % of its memory."""
+    data = np.random.default_rng(0).integers(97, 123, suffix_dedup.CHUNK).astype(np.uint8)
+    sizes = np.full(len(data) // 2048, 2048)
+    part = data[: suffix_dedup.SORTED]
+    order = suffix_dedup.suffix_array(part)
+    for run, most in ((lambda: suffix_dedup.anchors(sizes, data), 8 * len(data)), (lambda: suffix_dedup.suffix_array(part), 40 * len(part)), (lambda: suffix_dedup.equal_windows(part, order), 40 * len(part))):
+        tracemalloc.start()
+        run()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most
+
+
 def test_digest_columns(spark, ranks):
     rows = bpe.digest(bpe.decode(bpe.encode(hard_documents(spark), ranks, public_tokenizers.PATTERN), ranks)).where("doc_id = 2").collect()
     assert rows[0]["n_tokens"] == 0 and rows[0]["ids_sha256"] == rows[0]["decoded_sha256"] == hashlib.sha256(b"").hexdigest()
