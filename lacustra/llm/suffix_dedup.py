@@ -10,16 +10,17 @@ whole corpus, so strings are brought together first, by content alone:
    documents only the first is sent; the others are known to be repeats there and then. An anchor that comes
    very often sends its windows one by one, so that what follows or precedes a common passage doesn't gather
    in one task.
-3. In a bucket, an anchor with one distinct segment is settled by its first place. The segments of all other
-   anchors are joined to texts of bounded size whose suffixes are sorted in two stages: those smaller than
-   their successors directly, the rest induced from them by scanning the buckets of first bytes. Adjacent
-   common prefixes of WIDTH bytes then name equal windows, and the first place of each stays.
+3. In a bucket, an anchor with one distinct segment is settled by its first place. Of an anchor with many, only
+   the parts whose windows' hashes come again are kept. The segments of all other anchors are joined to texts
+   of bounded size whose suffixes are sorted in two stages: those smaller than their successors directly, the
+   rest induced from them by scanning the buckets of first bytes. Adjacent common prefixes of WIDTH bytes then
+   name equal windows, and the first place of each stays.
 4. Documents take the removed runs and return what is left.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Generator, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +41,10 @@ BLOCK = 1 << 16
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93)]
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hashes of all GRAM-byte substrings (48 bits)."""
+def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
+    """Hashes of all substrings of `gram` bytes (48 bits)."""
     h = data.astype(np.uint64) + np.uint64(1)
-    kept, size, parts = GRAM, 1, []
+    kept, size, parts = gram, 1, []
     with np.errstate(over="ignore"):
         while True:
             if kept & size:
@@ -54,7 +55,7 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
             size *= 2
         total, at = None, 0
         for size, h in parts:
-            part = h[at : at + len(data) - GRAM + 1]
+            part = h[at : at + len(data) - gram + 1]
             total = part if total is None else total * _ODD[5] + part
             at += size
         return mixed(total) >> np.uint64(16)
@@ -270,18 +271,52 @@ def _run_rows(ids: list[int], vs: list[int], first: list[int], last: list[int])
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vs, pa.int64()), pa.array(first, pa.int64()), pa.array(last, pa.int64())], ["id", "v", "first", "last"])
 
 
+def repeated_parts(segments: list[tuple[bytes, int, int, int]]) -> list[tuple[bytes, int, int, int]]:
+    """The parts of segments (bytes, id, v, start) whose windows may come again: equal ones all stay, others too if 32 bits of their hashes are equal."""
+    hashes = []
+    for held in sliced(segments, lambda x: len(x[0]), BLOCK):
+        sizes = np.array([len(x[0]) for x in held], np.int64)
+        h = gram_hashes(np.frombuffer(b"".join(x[0] for x in held), np.uint8), WIDTH)
+        whole = np.arange(WIDTH, len(h) + WIDTH) <= np.repeat(np.cumsum(sizes), sizes)[: len(h)]
+        hashes.append(h[whole].astype(np.uint32))
+    h = np.concatenate(hashes)
+    s = np.sort(h)
+    twice = np.append(np.unique(s[1:][s[1:] == s[:-1]]), np.uint32(0xFFFFFFFF))  # the last is there for places beyond
+    again = np.concatenate([twice[np.searchsorted(twice, x)] == x for x in hashes])
+    count = np.array([len(x[0]) - WIDTH + 1 for x in segments], np.int64)
+    begin = np.cumsum(count) - count
+    edge = np.zeros(len(again) + 1, bool)
+    edge[begin] = edge[-1] = True
+    first = np.flatnonzero(again & (edge[:-1] | ~np.append(False, again[:-1])))
+    last = np.flatnonzero(again & (edge[1:] | ~np.append(again[1:], False)))
+    owner = np.searchsorted(begin, first, "right") - 1
+    out = []
+    for k, a, b in zip(owner.tolist(), (first - begin[owner]).tolist(), (last - begin[owner]).tolist(), strict=True):
+        s, i, v, start = segments[k]
+        out.append((s[a : b + WIDTH], i, v, start + a))
+    return out
+
+
+def _first_places(segments: list[tuple[bytes, int, int, int]]) -> Generator[tuple[int, int, int, int], None, dict[bytes, tuple[int, int, int]]]:
+    """Runs of all but the first of equal segments; returns (id, v, start) of the first of each."""
+    firsts: dict[bytes, tuple[int, int, int]] = {}
+    for s, i, v, start in segments:
+        if s not in firsts or (i, start) < (firsts[s][0], firsts[s][2]):
+            firsts[s] = (i, v, start)
+    for s, i, v, start in segments:
+        if (i, start) != (firsts[s][0], firsts[s][2]):
+            yield i, v, start, start + len(s) - WIDTH
+    return firsts
+
+
 def settle(groups: list[list[tuple[bytes, int, int, int]]]) -> Iterator[tuple[int, int, int, int]]:
     """Removed runs of window starts (id, v, first, last) of segments (bytes, id, v, start), grouped by anchor."""
     texts: list[list[tuple[bytes, int, int, int]]] = [[]]
     size = 0
     for group in groups:
-        firsts: dict[bytes, tuple[int, int, int]] = {}
-        for s, i, v, start in group:
-            if s not in firsts or (i, start) < (firsts[s][0], firsts[s][2]):
-                firsts[s] = (i, v, start)
-        for s, i, v, start in group:
-            if (i, start) != (firsts[s][0], firsts[s][2]):
-                yield i, v, start, start + len(s) - WIDTH
+        firsts = yield from _first_places(group)
+        if sum(map(len, firsts)) > SORTED:
+            firsts = yield from _first_places(repeated_parts([(s, *place) for s, place in firsts.items()]))
         if len(firsts) > 1:
             if size > SORTED:
                 texts.append([])

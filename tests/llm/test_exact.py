@@ -387,6 +387,37 @@ def test_memory_of_a_chunk():
         assert peak < most
 
 
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_large_groups_of_segments(monkeypatch, most):
+    monkeypatch.setattr(suffix_dedup, "SORTED", most)
+    rng = random.Random(most)
+    make = lambda n, letters="ab": bytes(rng.choice(letters.encode()) for _ in range(n))
+    for sides in (1, 2, 5, 60):
+        left, right = [make(rng.randrange(70)) for _ in range(sides)], [make(rng.randrange(70)) for _ in range(sides)]
+        middle = make(60, "abc")
+        texts = [x for x in (rng.choice(left) + middle + rng.choice(right) for _ in range(120)) if len(x) >= 100]
+        group = [(x, rng.randrange(50), 0, 1000 * k) for k, x in enumerate(texts)]
+        rng.shuffle(group)
+        windows = {}
+        for x, i, v, start in group:
+            for a in range(len(x) - 99):
+                windows.setdefault(x[a : a + 100], []).append((i, start + a))
+        want = {p for places in windows.values() for p in places if p != min(places)}
+        assert {(i, p) for i, _, a, b in suffix_dedup.settle([group]) for p in range(a, b + 1)} == want
+
+
+def test_memory_of_a_common_line():
+    """Of segments around it, hardly anything else comes again."""
+    rng = random.Random(0)
+    side = lambda: bytes(rng.choices(range(97, 123), k=40))
+    group = [(side() + b"x" * 50 + side(), i, 0, 10) for i in range(20_000)]
+    tracemalloc.start()
+    assert not list(suffix_dedup.settle([group]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 << 20
+
+
 def test_digest_columns(spark, ranks):
     rows = bpe.digest(bpe.decode(bpe.encode(hard_documents(spark), ranks, public_tokenizers.PATTERN), ranks)).where("doc_id = 2").collect()
     assert rows[0]["n_tokens"] == 0 and rows[0]["ids_sha256"] == rows[0]["decoded_sha256"] == hashlib.sha256(b"").hexdigest()
