@@ -1,7 +1,8 @@
 """Reductions, descriptive statistics and histograms; NaN is missing.
 
 Everything here is one aggregation: partial sums per task, then a shuffle of one row per task (or per line of
-the axis). Exact percentiles keep a count for each distinct value; `accuracy` switches to bounded sketches.
+the axis). Exact percentiles are found by narrowing (lacustra.functions.selection), in several passes before;
+`accuracy` switches to bounded sketches.
 """
 
 from __future__ import annotations
@@ -13,8 +14,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lacustra.functions import selection
 from lacustra.functions.expr import INF, NAN, finite, not_nan, ratio
 from lacustra.raster import Raster, validate_array
+from lacustra.storage import repeatable
 
 #: Which column each axis keeps.
 AXES = {0: "col", 1: "row"}
@@ -28,22 +31,30 @@ def sum_of(v: Column) -> Column:
     return F.coalesce(F.sum(not_nan(v)), F.lit(0.0))
 
 
-def median_of(v: Column, accuracy: int | None = None) -> Column:
-    """NaN if any value is NaN."""
-    return percentile_of(v, 50.0, accuracy)
+def _sketched(v: Column, shares: Sequence[float], accuracy: int) -> dict[float, Column]:
+    """Percentiles (by share, 0 to 1) of the values that are neither null nor NaN, from one bounded sketch."""
+    wanted = sorted(set(shares))
+    every = F.percentile_approx(not_nan(v), [float(q) for q in wanted], accuracy)
+    return {q: every[i] for i, q in enumerate(wanted)}
+
 
+def _fixed(value: float | None) -> Column:
+    return F.lit(value).cast("double")
 
-def percentiles_of(x: Column, shares: Sequence[float], accuracy: int | None = None) -> dict[float, Column]:
-    """Percentiles (by share, 0 to 1) of the values that aren't null: all elements of one aggregate; with accuracy, of a bounded sketch."""
+
+def percentiles_of(df: DataFrame, columns: dict[str, Column], shares: Sequence[float], accuracy: int | None = None) -> dict[str, dict[float, float | None]]:
+    """Percentiles (by share, 0 to 1) by linear interpolation: NaN if any value is NaN, None without values; with accuracy, of bounded sketches. Runs jobs."""
+    if accuracy is None:
+        return selection.percentiles(df, columns, shares, nan_wins=True)
+    got = df.agg(*[F.when(F.max(F.isnan(v.cast("double"))), F.lit(NAN)).otherwise(at) for v in columns.values() for _, at in sorted(_sketched(v, shares, accuracy).items())]).first() if shares and columns else ()
     wanted = sorted(set(shares))
-    every = F.percentile(x, F.array(*[F.lit(float(q)) for q in wanted])) if accuracy is None else F.percentile_approx(x, [float(q) for q in wanted], accuracy)
-    return {q: every[i] for i, q in enumerate(wanted)}
+    return {k: dict(zip(wanted, got[i * len(wanted) :], strict=False)) for i, k in enumerate(columns)}
 
 
-def percentile_of(v: Column, q: float, accuracy: int | None = None) -> Column:
-    """Linear interpolation, NaN if any value is NaN; with accuracy, a sketch's value."""
-    exact = F.percentile(not_nan(v), F.lit(q / 100.0)) if accuracy is None else F.percentile_approx(not_nan(v), q / 100.0, accuracy)
-    return F.when(F.max(F.isnan(v)), F.lit(NAN)).otherwise(exact)
+def percentile_table(df: DataFrame, v: Column, qs: Sequence[float], accuracy: int | None = None) -> DataFrame:
+    """One row with the percentiles (0 to 100) as p0, p25, ..."""
+    at = percentiles_of(df, {"v": v}, [q / 100.0 for q in qs], accuracy)["v"]
+    return df.sparkSession.range(1).select(*[_fixed(at[q / 100.0]).alias(f"p{q}") for q in qs])
 
 
 REDUCTIONS = {
@@ -52,15 +63,22 @@ REDUCTIONS = {
     "std": lambda v: F.stddev_pop(not_nan(v)),
     "min": lambda v: F.min(not_nan(v)),
     "max": lambda v: F.max(not_nan(v)),
-    "median": median_of,
     "count_nonzero": lambda v: F.count_if(v != 0),
 }
 
 
 def reduced(df: DataFrame, band: str, kinds: Sequence[str], axis: int | None = None) -> DataFrame:
-    """The reductions of a band over all cells, or for each column (axis 0) or row (axis 1), in one pass."""
+    """The reductions of a band over all cells, or for each column (axis 0) or row (axis 1), in one pass; medians (NaN if any value is NaN) take some passes before."""
     v = _number(F.col(band), df, band)
-    columns = [REDUCTIONS[k](v).alias(k) for k in kinds]
+    made = {}
+    if "median" in kinds and axis is None:
+        made["median"] = F.max(_fixed(percentiles_of(df, {"v": v}, [0.5])["v"][0.5]))
+    elif "median" in kinds:
+        df = repeatable(df.select(AXES[axis], v.alias(band)))
+        df, at = selection.with_large(df, [AXES[axis]], band, 0.5)
+        v = F.col(band)
+        made["median"] = F.when(F.max(F.isnan(v)), F.lit(NAN)).otherwise(at)
+    columns = [(made[k] if k in made else REDUCTIONS[k](v)).alias(k) for k in kinds]
     return df.agg(*columns) if axis is None else df.groupBy(AXES[axis]).agg(*columns)
 
 
@@ -105,16 +123,17 @@ def median(data: Raster, axis: int | None = None, accuracy: int | None = None):
     """NaN if any value is NaN; no validation. accuracy: from a bounded sketch."""
     if accuracy is None:
         return _reduce(data, "median", axis, False)
-    v = median_of(_number(F.col(data.bands[0]), data.df, data.bands[0]), accuracy).alias("median")
-    return data.df.agg(v).first()[0] if axis is None else data.df.groupBy(AXES[axis]).agg(v)
+    v = _number(F.col(data.bands[0]), data.df, data.bands[0])
+    near = F.when(F.max(F.isnan(v)), F.lit(NAN)).otherwise(_sketched(v, [0.5], accuracy)[0.5]).alias("median")
+    return data.df.agg(near).first()[0] if axis is None else data.df.groupBy(AXES[axis]).agg(near)
 
 
 def percentile(data: Raster, q, accuracy: int | None = None):
     """The percentile q (0 to 100), or a list for a list."""
     qs = q if isinstance(q, (list, tuple, np.ndarray)) else [q]
     v = _number(F.col(data.bands[0]), data.df, data.bands[0])
-    at = percentiles_of(not_nan(v), [float(p) / 100.0 for p in qs], accuracy)
-    got = list(data.df.agg(*[F.when(F.max(F.isnan(v)), F.lit(NAN)).otherwise(at[float(p) / 100.0]).alias(f"p{i}") for i, p in enumerate(qs)]).first()) if len(qs) else []
+    at = percentiles_of(data.df, {"v": v}, [float(p) / 100.0 for p in qs], accuracy)["v"]
+    got = [at[float(p) / 100.0] for p in qs]
     return got if qs is q else got[0]
 
 
@@ -129,12 +148,19 @@ def unique(data: Raster, return_counts: bool = False) -> DataFrame:
     return out if return_counts else out.select("value")
 
 
-def stats_columns(v: Column, percentiles: Sequence[float] = (0, 25, 50, 75, 100), scale: float | None = None, compat: bool = False, accuracy: int | None = None) -> list[Column]:
-    """The aggregates of `stats`, for one pass over a table; all percentiles are elements of one aggregate."""
+def stats_table(df: DataFrame, v: Column, percentiles: Sequence[float] = (0, 25, 50, 75, 100), scale: float | None = None, compat: bool = False, accuracy: int | None = None) -> DataFrame:
+    """The row of `stats`: one pass over the table, after those that find exact percentiles; NaN is left out."""
     x = not_nan(v)
     whole = F.when(finite(v), v)
     n = F.count("*").cast("double")
-    at = percentiles_of(x, [0.5, *(p / 100.0 for p in percentiles)], accuracy)
+    shares = [0.5, *(p / 100.0 for p in percentiles)]
+    # Division by a positive number keeps the order, so the values' own percentiles are divided.
+    values = {"x": x} if scale is None or scale > 0 else {"x": x, "y": ratio(x, F.lit(float(scale)))}
+    if accuracy is None:
+        by = {k: {q: _fixed(c) for q, c in at.items()} for k, at in selection.percentiles(df, values, shares).items()}
+    else:
+        by = {k: _sketched(c, shares, accuracy) for k, c in values.items()}
+    at = by["x"]
     counts = {"valid": F.count_if(finite(v)), "nan": F.count_if(F.isnan(v)), "zeros": F.count_if(v == 0), "inf": F.count_if(F.abs(v) == F.lit(INF))}
     out = [
         F.min(x).alias("min"),
@@ -154,19 +180,18 @@ def stats_columns(v: Column, percentiles: Sequence[float] = (0, 25, 50, 75, 100)
     ]
     if scale is not None:
         y = ratio(x, F.lit(float(scale)))
-        # Division by a positive number keeps the order, so the values' own percentiles are divided.
-        own = {q: ratio(c, F.lit(float(scale))) for q, c in at.items()} if scale > 0 else percentiles_of(y, list(at), accuracy)
+        own = by["y"] if "y" in by else {q: ratio(c, F.lit(float(scale))) for q, c in at.items()}
         kinds = {"min": F.min, "max": F.max, "mean": F.avg, "std": F.stddev_pop}
         out += [f(y).alias(f"reflectance_{k}") for k, f in kinds.items()] + [own[0.5].alias("reflectance_median")]
         out += [own[p / 100.0].alias(f"reflectance_p{p}") for p in percentiles]
-    return out
+    return df.agg(*out)
 
 
 def stats(data: Raster, percentiles: Sequence[float] = (0, 25, 50, 75, 100), reflectance_scale: float | None = None, bins: int = 50, compat: bool = False, accuracy: int | None = None) -> dict:
     """Descriptive statistics as a nested dict; compat: `non_zero` counts what isn't NaN, and no histogram comes along; accuracy: percentiles from a bounded sketch."""
     validate_array(data, "data")
     band = data.bands[0]
-    row = data.df.agg(*stats_columns(_number(F.col(band), data.df, band), percentiles, reflectance_scale, compat, accuracy)).first().asDict()
+    row = stats_table(data.df, _number(F.col(band), data.df, band), percentiles, reflectance_scale, compat, accuracy).first().asDict()
     out = {k: v for k, v in row.items() if not k.startswith(("p", "reflectance_")) and not k.endswith("_percent")}
     out |= {"percentiles": {str(p): row[f"p{p}"] for p in percentiles}, "percentages": {k: row[f"{k}_percent"] for k in ("valid", "nan", "zeros", "inf")}, "shape": data.shape, "dtype": data.meta.get("dtype", dict(data.df.dtypes)[band])}
     if reflectance_scale is not None:

@@ -8,7 +8,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lacustra.functions.selection import GROUP_LIMIT, with_large
 from lacustra.raster import Raster, validate_array
+from lacustra.storage import repeatable
 
 #: Weight tables of up to so many rows are broadcast.
 BROADCAST_ROWS = 500_000
@@ -37,10 +39,9 @@ AREA = {
     "mode": lambda v: F.mode(v, True),  # of equally frequent values the smallest
     "max": F.max,
     "min": F.min,
-    "med": lambda v: F.percentile(v, F.lit(0.5)),
-    "q1": lambda v: F.percentile(v, F.lit(0.25)),
-    "q3": lambda v: F.percentile(v, F.lit(0.75)),
 }
+#: Percentiles of the same cells, by their share.
+SHARES = {"med": 0.5, "q1": 0.25, "q3": 0.75}
 
 
 def weights(method: str, n_in: int, n_out: int) -> list[tuple[int, int, float]]:
@@ -89,15 +90,23 @@ def resample(array: Raster, target_shape: tuple[int, int], method: str = "biline
     """
     validate_array(array, "array")
     _checked_shape(target_shape)
-    if method not in {"nearest", "average", "sum", "rms", *KERNELS, *AREA}:
+    if method not in {"nearest", "average", "sum", "rms", *KERNELS, *AREA, *SHARES}:
         raise ValueError(f"unknown method: {method}")
     h, w = target_shape
     v = array.value.cast("double")
     cells = array.df.select("row", "col", F.when(F.isnan(v), F.lit(None)).otherwise(v).alias("v"))
+    # Only where so many cells meet in a target cell can its percentile take passes of its own.
+    large = method in SHARES and math.prod(math.ceil(n_in / n_out) + 1 for n_in, n_out in zip(array.shape, target_shape, strict=True)) > GROUP_LIMIT
+    if large:
+        cells = repeatable(cells)
     rows, cols = (_table(cells, weights(method, n_in, n_out), axis) for axis, n_in, n_out in (("row", array.height, h), ("col", array.width, w)))
-    if method in AREA:
-        met = cells.join(rows, "row").join(cols, "col")
-        out = met.groupBy(F.col("row_out").alias("row"), F.col("col_out").alias("col")).agg(AREA[method](F.col("v")).alias("value"))
+    if method in AREA or method in SHARES:
+        met = cells.join(rows, "row").join(cols, "col").select(F.col("row_out").alias("row"), F.col("col_out").alias("col"), "v")
+        if large:
+            met, at = with_large(met, ["row", "col"], "v", SHARES[method])
+        else:
+            at = AREA[method](F.col("v")) if method in AREA else F.percentile("v", F.lit(SHARES[method]))
+        out = met.groupBy("row", "col").agg(at.alias("value"))
     else:
         x = F.col("v") * F.col("v") if method == "rms" else F.col("v")
         # Sums of weights and of weighted values go through both passes, so that NaN cells are left out exactly.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -106,12 +107,12 @@ def distribution_comparison(data1: Raster, data2: Raster, bins: int = 50, densit
 
 
 def rgb_columns(df: DataFrame, names: dict[str, str], scale_factor: float = 1.0, gamma: float = 1.0, percentile: float = 98.0, scale: float | None = None, accuracy: int | None = None) -> list[Column]:
-    """Expressions for red, green and blue in 0..1, stretched to a percentile of each band (one aggregation, run here; accuracy: from bounded sketches).
+    """Expressions for red, green and blue in 0..1, stretched to a percentile of each band (found here; accuracy: from bounded sketches).
 
     A band with NaN, or whose percentile is 0, has no finite stretch and comes out as null.
     """
     v = {k: scaled(F.col(n), scale) * F.lit(float(scale_factor)) for k, n in names.items()}
-    tops = df.agg(*[F.when(F.max(F.isnan(c)), F.lit(None)).otherwise(percentiles_of(c, [percentile / 100.0], accuracy)[percentile / 100.0]).alias(k) for k, c in v.items()]).first()
+    tops = {k: None if (top := at[percentile / 100.0]) is None or math.isnan(top) else top for k, at in percentiles_of(df, v, [percentile / 100.0], accuracy).items()}
     out = []
     for k, c in v.items():
         part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ratio(c, F.lit(tops[k]).cast("double"))))

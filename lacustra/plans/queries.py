@@ -132,7 +132,7 @@ def a6_median(spark, sf_dir):
 
 @query
 def a7_percentile(spark, sf_dir):
-    return rounds(line_cells(spark, sf_dir).agg(*[stats.percentile_of(F.col("l_extendedprice"), q).alias(f"p{q}") for q in (0, 2, 25, 50, 75, 98, 100)]))
+    return rounds(stats.percentile_table(line_cells(spark, sf_dir), F.col("l_extendedprice"), (0, 2, 25, 50, 75, 98, 100)))
 
 
 @query
@@ -148,7 +148,7 @@ def a9_unique(spark, sf_dir):
 
 @query
 def a10_stats(spark, sf_dir):
-    return rounds(line_cells(spark, sf_dir).agg(*stats.stats_columns(F.col("l_extendedprice"), (0, 25, 50, 75, 100), 1000.0)), 4)
+    return rounds(stats.stats_table(line_cells(spark, sf_dir), F.col("l_extendedprice"), (0, 25, 50, 75, 100), 1000.0), 4)
 
 
 # Spectral indices

@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Nodes of plans that are scans and work on single rows.
+_PLAIN = {"LogicalRelation", "LogicalRDD", "LocalRelation", "Range", "Project", "Filter", "Generate", "Union"}
 #: Temporary folders by application, of sessions that run in one process.
 _OWN: dict[str, str] = {}
 
@@ -47,3 +49,14 @@ def staged(df: DataFrame) -> DataFrame:
     path = new_path(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def repeatable(df: DataFrame) -> DataFrame:
+    """df if it only scans files and works on single rows, else df staged: several passes cost scans and see the same values."""
+
+    def plain(node) -> bool:
+        children = node.children()
+        return node.getClass().getSimpleName() in _PLAIN and all(plain(children.apply(i)) for i in range(children.size()))
+
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return df if plan.deterministic() and plain(plan) else staged(df)
