@@ -41,6 +41,14 @@ def test_percentile_reads_no_distinct_values(spark):
     assert read < 2_000_000
 
 
+def test_plot_rgb_reads_no_distinct_values(spark):
+    r, values = distinct(spark)
+    read, view = most_read(spark, lambda: q.plot_rgb(r["a"], r["b"], r["c"], percentile=90.0))
+    assert read < 2_000_000
+    got = view.panels[0].where("col < 100").orderBy("col").select("red", "green", "blue").toPandas().to_numpy()
+    np.testing.assert_allclose(got, np.clip(np.stack([values[k][:100] / np.percentile(values[k], 90) for k in "abc"], 1), 0, 1), rtol=1e-12)
+
+
 @pytest.fixture
 def narrow(monkeypatch):
     monkeypatch.setattr(selection, "LIMIT", 20)
