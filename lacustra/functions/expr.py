@@ -38,3 +38,8 @@ def scaled(v: Column, scale: float | None) -> Column:
 
 def rounded(v: Column, digits: int = 9) -> Column:
     return F.round(v, digits) + F.lit(0.0)
+
+
+def in_parts(n: Column) -> Column:
+    """n, a count, in a way that has Spark compile the aggregates beside it in parts: many of them in one method are too large for the JVM to compile."""
+    return n + F.size(F.collect_list(F.lit(None)))

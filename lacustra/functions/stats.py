@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacustra.functions import selection
-from lacustra.functions.expr import INF, NAN, finite, not_nan, ratio
+from lacustra.functions.expr import INF, NAN, finite, in_parts, not_nan, ratio
 from lacustra.raster import Raster, validate_array
 from lacustra.storage import repeatable
 
@@ -170,7 +170,7 @@ def stats_table(df: DataFrame, v: Column, percentiles: Sequence[float] = (0, 25,
         at[0.5].alias("median"),
         (F.max(x) - F.min(x)).alias("range"),
         F.var_pop(x).alias("variance"),
-        F.count("*").alias("size"),
+        in_parts(F.count("*")).alias("size"),
         (F.count(x) if compat else F.count_if((v != 0) & ~F.isnan(v))).alias("non_zero"),
         F.coalesce(F.skewness(whole), F.lit(NAN)).alias("skewness"),
         F.coalesce(F.kurtosis(whole), F.lit(NAN)).alias("kurtosis"),

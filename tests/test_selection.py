@@ -49,6 +49,16 @@ def test_plot_rgb_reads_no_distinct_values(spark):
     np.testing.assert_allclose(got, np.clip(np.stack([values[k][:100] / np.percentile(values[k], 90) for k in "abc"], 1), 0, 1), rtol=1e-12)
 
 
+@pytest.mark.parametrize("scale", [4.0, -4.0])
+def test_stats_read_no_distinct_values(spark, scale):
+    r, values = distinct(spark)
+    read, got = most_read(spark, lambda: q.stats(r["c"], reflectance_scale=scale))
+    assert read < 2_000_000 and got["size"] == N
+    c = values["c"]
+    assert [got["median"], *got["percentiles"].values()] == pytest.approx(list(np.percentile(c, [50, 0, 25, 50, 75, 100])), rel=1e-12)
+    assert list(got["reflectance_stats"]["percentiles"].values()) == pytest.approx(list(np.percentile(c / scale, [0, 25, 50, 75, 100])), rel=1e-12)
+
+
 @pytest.fixture
 def narrow(monkeypatch):
     monkeypatch.setattr(selection, "LIMIT", 20)
