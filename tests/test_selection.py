@@ -59,6 +59,16 @@ def test_stats_read_no_distinct_values(spark, scale):
     assert list(got["reflectance_stats"]["percentiles"].values()) == pytest.approx(list(np.percentile(c / scale, [0, 25, 50, 75, 100])), rel=1e-12)
 
 
+def test_compare_rgb_reads_no_distinct_values(spark):
+    r, values = distinct(spark)
+    read, view = most_read(spark, lambda: q.compare_rgb((r["a"], r["b"], r["c"]), (r["c"], r["a"], r["b"])))
+    assert read < 2_000_000
+    tops = {k: np.percentile(v, 98) for k, v in values.items()}
+    for panel, names in zip(view.panels, ("abc", "cab"), strict=True):
+        got = panel.where("col < 100").orderBy("col").select("red", "green", "blue").toPandas().to_numpy()
+        np.testing.assert_allclose(got, np.clip(np.stack([values[k][:100] / tops[k] for k in names], 1), 0, 1), rtol=1e-12)
+
+
 @pytest.fixture
 def narrow(monkeypatch):
     monkeypatch.setattr(selection, "LIMIT", 20)
